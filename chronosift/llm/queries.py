@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.llm import rule_ledger, sstable
+from chronosift.llm import fair_mix, rule_ledger, sstable, winnow
 from chronosift.llm.common import table
 
 #: Appended to each document by op1.
@@ -25,6 +25,21 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(manifest, n)
 
 
+def op6_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mix.taken_rows(fair_mix.plan(table(spark, sf_dir, "documents")))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = winnow.hit_words("spans")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = rule_ledger.ledger(table(spark, sf_dir, "documents"), ["doc_id"])
     return entries.select(
@@ -37,6 +52,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
+    "op6_fair_mix": op6_fair_mix,
+    "op7_decontaminate": op7_decontaminate,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}

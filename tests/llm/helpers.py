@@ -1,6 +1,5 @@
 """Small tables with the awkward cases every operator has to take."""
 
-import hashlib  # noqa: F401
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -48,3 +47,7 @@ def clashing(spark):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+#: Smallest generated tables, for queries against brute force.
+SF = "/root/testdata/sf0.001"
