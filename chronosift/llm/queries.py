@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.llm import fair_mix, rule_ledger, sstable, winnow
+from chronosift.llm import fair_mix, lang_kernel, rule_ledger, secret_grammar, sstable, winnow
 from chronosift.llm.common import table
 
 #: Appended to each document by op1.
@@ -25,6 +25,20 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(manifest, n)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_grammar.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "grammar")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_grammar.KINDS]
+    return found.select("doc_id", *counts, F.sha2(secret_grammar.listed(base), 256).alias("base_sha256"), secret_grammar.listed(F.col("spans")).alias("spans"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_kernel.fit(lang_kernel.sample(docs))
+    found = lang_kernel.predict(docs, model, ["doc_id"])
+    return found.select("doc_id", lang_kernel.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.taken_rows(fair_mix.plan(table(spark, sf_dir, "documents")))
 
@@ -52,6 +66,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
+    "op4_secrets": op4_secrets,
+    "op5_language": op5_language,
     "op6_fair_mix": op6_fair_mix,
     "op7_decontaminate": op7_decontaminate,
     "op9_quality_rules": op9_quality_rules,
