@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.llm import fair_mix, lang_kernel, rule_ledger, secret_grammar, sstable, winnow
+from chronosift.llm import fair_mix, lang_kernel, partenum, rule_ledger, secret_grammar, sstable, winnow
 from chronosift.llm.common import table
 
 #: Appended to each document by op1.
@@ -64,6 +64,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op4_secrets": op4_secrets,
@@ -71,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fair_mix": op6_fair_mix,
     "op7_decontaminate": op7_decontaminate,
     "op9_quality_rules": op9_quality_rules,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
