@@ -45,7 +45,7 @@ from pyspark.sql.window import Window
 
 from chronosift.llm.common import forget, map_text, settle
 from chronosift.llm.components import connected
-from chronosift.llm.textops import PLACES, WordHasher, grams, mix
+from chronosift.llm.textops import PLACES, WordHasher, grams, mix, splitmix
 
 SHINGLE = 5
 #: Largest size in a band is so many times the smallest, about (4 / 3) ** 3.
@@ -92,7 +92,7 @@ class Band:
         self.subset = 2 if high <= PAIRS_UP_TO else 1
         self.parts = most + 3 if self.subset == 2 else max(int(PARTITIONS * high) + 1, most + 2)
         self.edges = (np.arange(1, self.parts, dtype=np.float64) / self.parts * 2.0**64).astype(np.uint64)
-        self.salt = mix(np.arange(self.parts, dtype=np.uint64) * PLACES[7] + np.uint64(number) * PLACES[8])
+        self.salt = mix(np.arange(self.parts, dtype=np.uint64) * PLACES[7] + np.uint64(splitmix(number)))
 
     def needed(self, k: int) -> int:
         """Signatures of which one at least is shared by sets with k differences at most."""
@@ -280,6 +280,20 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without those linked to a smaller identifier; of rows with one identifier and one text, one stays.
+
+    Only identifiers are joined with the texts, and only identifiers that
+    occur more than once have their rows dealt out by key.
+    """
+    comp = settle(components(docs, id_col, text_col), "components")
+    gone = comp.filter("component_id <> doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("gone")).distinct()
+    d = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["gone"]), "left_anti")
+    again = comp.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again"))
+    key = d[f"`{id_col}`"].eqNullSafe(again["again"])
+    return d.join(again, key, "left_anti").unionByName(d.join(again, key, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 #: All pairs of open buckets are compared once there are at most so many a row; before that, pairs with the best pivots.
 PAIRS_A_ROW = 20
 

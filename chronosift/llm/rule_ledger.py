@@ -164,6 +164,12 @@ def passes(version: str, bits: str = "failed_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0
 
 
+def passing(docs: DataFrame, version: str, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, that pass a policy."""
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(f"`{text_col}`").alias("text"))
+    return ledger(body, ["own"]).filter(passes(version)).select("own.*")
+
+
 def ablation(entries: DataFrame, version: str) -> DataFrame:
     """For each rule of a policy: rows failing it, rows failing it alone, rows kept without it."""
     chosen = POLICIES[version]

@@ -170,6 +170,12 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     return _shuffled(docs, items, window, gram, id_col, text_col)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs whose identifier has no text with a window of an item."""
+    hit = find(docs, benchmark, id_col=id_col, **options).filter(F.size("items") > 0).select(F.col(f"`{id_col}`").alias("hit")).distinct()
+    return docs.join(hit, docs[f"`{id_col}`"].eqNullSafe(hit["hit"]), "left_anti")
+
+
 def _broadcast(docs: DataFrame, items: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
     rows = [(r["item"], r["text"].encode() if r["text"] is not None else None) for r in items.collect()]
     shared = docs.sparkSession.sparkContext.broadcast(Index.of(rows, window, gram))
