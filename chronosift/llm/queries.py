@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.llm import fair_mix, lang_kernel, partenum, rule_ledger, secret_grammar, sstable, winnow
+from chronosift.llm import cotrain, fair_mix, lang_kernel, license_rules, partenum, rule_ledger, secret_grammar, sstable, winnow, wordpiece
 from chronosift.llm.common import table
 
 #: Appended to each document by op1.
@@ -25,6 +25,17 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(manifest, n)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, model).withColumn("kept", F.col("score") >= 0.5)
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_rules.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_grammar.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "grammar")
@@ -54,6 +65,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.counts(table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"])
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = rule_ledger.ledger(table(spark, sf_dir, "documents"), ["doc_id"])
     return entries.select(
@@ -70,11 +85,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_licenses": op3_licenses,
     "op4_secrets": op4_secrets,
     "op5_language": op5_language,
     "op6_fair_mix": op6_fair_mix,
     "op7_decontaminate": op7_decontaminate,
+    "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": license_rules.oracle()}
