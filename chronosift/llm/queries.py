@@ -36,10 +36,14 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_grammar.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "grammar")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_grammar.KINDS]
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in secret_grammar.KINDS]
     return found.select("doc_id", *counts, F.sha2(secret_grammar.listed(base), 256).alias("base_sha256"), secret_grammar.listed(F.col("spans")).alias("spans"))
 
 
