@@ -4,47 +4,95 @@ from __future__ import annotations
 
 import numpy as np
 
+TAIL = b".,"
+
 
 class ChunkEncoder:
     """Texts to token ids as little-endian uint32 bytes, with add_special_tokens off.
 
     The tokenizer must never join what ASCII white space parts (its pre-tokenizer
-    drops white space). A text is then encoded chunk by chunk, and a chunk met
-    before is not encoded again. At most 2 * limit chunks are remembered: when
-    the young generation is full it becomes the old one, and what is still in
-    use moves back.
+    drops white space) and must put letters into lower case. A text is then
+    encoded chunk by chunk, and a chunk met before is not encoded again. Of a new
+    chunk, letters before a tail of full stops and commas are a word of their
+    own, as for the pre-tokenizer. New words of letters are encoded many at once
+    and told apart by the vocabulary's word ends; should their number differ,
+    they are encoded one by one, as are all other chunks.
+
+    At most 2 * limit chunks are remembered: when the young generation is full
+    it becomes the old one, and what is still in use moves back.
     """
 
-    def __init__(self, path: str, limit: int = 250_000, batch: int = 400):
+    def __init__(self, path: str, limit: int = 400_000, batch: int = 512):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.limit, self.batch = limit, batch
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _one_by_one(self, chunks: list[bytes]) -> None:
         for i in range(0, len(chunks), self.batch):
             part = chunks[i : i + self.batch]
             found = self.tok.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
             for c, e in zip(part, found, strict=True):
                 self.young[c] = np.array(e.ids, dtype="<u4").tobytes()
 
+    def _words(self, words: list[bytes]) -> None:
+        """Encode words of letters in joined texts."""
+        parts = [words[i : i + self.batch] for i in range(0, len(words), self.batch)]
+        found = self.tok.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)
+        for part, e in zip(parts, found, strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                self._one_by_one(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, (ends * 4).tolist(), strict=True):
+                self.young[w] = raw[at:end]
+                at = end
+
+    def _known(self, chunk: bytes) -> bool:
+        if chunk in self.young:
+            return True
+        if chunk in self.old:
+            self.young[chunk] = self.old[chunk]
+            return True
+        return False
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        words: dict[bytes, None] = {}
+        others: dict[bytes, None] = {}
+        whole: list[tuple[bytes, bytes, bytes]] = []
+        for c in chunks:
+            low = c.lower()
+            stem = low.rstrip(TAIL)
+            if stem.decode("utf-8", "replace").isalpha():
+                if not self._known(stem):
+                    words[stem] = None
+                tail = low[len(stem) :]
+                if tail and not self._known(tail):
+                    others[tail] = None
+                if stem != c:
+                    whole.append((c, stem, tail))
+            else:
+                others[c] = None
+        self._one_by_one(list(others))
+        self._words(list(words))
+        for c, stem, tail in whole:
+            self.young[c] = self.young[stem] + (self.young[tail] if tail else b"")
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         split = [t.split() if t else [] for t in texts]
-        young, old = self.young, self.old
-        missing: dict[bytes, None] = {}
-        for words in split:
-            for w in words:
-                if w not in young:
-                    if w in old:
-                        young[w] = old[w]
-                    else:
-                        missing[w] = None
-        self._learn(list(missing))
+        young = self.young
+        missing = [w for w in set().union(*split) if w not in young and not self._known(w)]
+        self._learn(missing)
         return [b"".join(map(young.__getitem__, words)) for words in split]
 
 
