@@ -93,7 +93,7 @@ def _circumplex(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6(a, "arousal"), r6(v, "valence"))
 
 
-@query("calibrate", f"WITH {EVENTS_SQL} SELECT event_id, round((value - 2.8) / 50 * 1000, 6) AS ecg, round(24.0 * value - 49.2, 6) AS gsr, round(21.341 * value - 32.085, 6) AS skt, round((value - 2) / 4000 * 1e6, 6) + 0.0 AS emg, round(0.5 + 9 * (value + 26225) / 52450, 6) AS joystick FROM ev")
+@query("calibrate", f"WITH {EVENTS_SQL} SELECT event_id, round((value - 2.8) / 50 * 1000, 6) AS ecg, round(24.0 * value - 49.2, 6) + 0.0 AS gsr, round(21.341 * value - 32.085, 6) AS skt, round((value - 2) / 4000 * 1e6, 6) + 0.0 AS emg, round(0.5 + 9 * (value + 26225) / 52450, 6) AS joystick FROM ev")
 def _calibrate(spark, d):
     return events(spark, d).select("event_id", *[r6(exprs.calibrate(k, F.col("value")), k) for k in ("ecg", "gsr", "skt", "emg", "joystick")])
 
