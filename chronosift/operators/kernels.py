@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from chronosift.shipping import ship
+
 # --- filters -------------------------------------------------------------------------------------
 
 
@@ -226,6 +228,7 @@ def skin_features(x: np.ndarray, tonic: np.ndarray | None, phasic: np.ndarray |
 
 
 def _schema(by: list[str], df: DataFrame, more: str) -> str:
+    ship(df.sparkSession)  # each grouped map comes by here
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + ", " + more
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from chronosift import schema
 from chronosift.functions import exprs
+from chronosift.shipping import ship
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 
@@ -172,6 +173,7 @@ def demographics_xlsx(spark: SparkSession, path: str, dataset: str, participant:
 
 def rdf_xml(spark: SparkSession, path: str) -> DataFrame:
     """Triples (s, p, o) of RDF/XML files; each file is parsed by one task, many files in parallel."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def parse(batches):

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronosift.shipping import ship
+
 
 def window_features(stream: DataFrame, by: list[str], width: str, delay: str, ts: str = "ts", value: str = "value") -> DataFrame:
     """by, window_end, n, mean, min, max of tumbling windows, each emitted once the watermark has passed it."""
@@ -53,4 +55,5 @@ def state_runs(stream: DataFrame, closing: float = 30.0, timeout_ms: int = 3_600
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(done, columns=["client_id", "var", "state", "start_time", "end_time"])
 
+    ship(stream.sparkSession)
     return stream.groupBy("client_id", "var").applyInPandasWithState(update, "client_id string, var string, state string, start_time double, end_time double", "level string, start double, last double", "append", "ProcessingTimeTimeout")
