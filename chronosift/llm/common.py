@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronosift.shipping import ship
+
 #: Rows in an Arrow batch: texts of 100 kB each still make a batch of some 25 MB.
 BATCH_ROWS = 256
 
@@ -54,8 +57,15 @@ def forget(*frames: DataFrame) -> None:
             target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are no longer referred to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch by its rows; documents can be long."""
+    """Make ready for Arrow kernels: workers get the code, and rows bound a batch's bytes, for documents can be long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

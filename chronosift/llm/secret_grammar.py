@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronosift.llm.common import map_text, settle
+from chronosift.llm.common import map_text, settle, small_batches
 
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -237,6 +237,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     scanned = settle(scan(docs, [id_col], text_col), "secret-scan")
     secret, plain = train(scanned, sample)
     shared = docs.sparkSession.sparkContext.broadcast((secret, plain, gain, gain_each))
+    small_batches(docs.sparkSession)
     tokens = F.col("candidates.value")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -304,6 +304,7 @@ def read(manifest: DataFrame, partitions: int) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
+    small_batches(manifest.sparkSession)
     return manifest.select("shard", "start").repartition(partitions, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
