@@ -19,10 +19,13 @@ shingles are common is estimated on part of the documents; the estimate
 influences how many candidates there are, never which pairs are found.
 
 Equal sets are one node, whatever the number of copies. Nodes that share a
-signature are candidates; each candidate pair that may still join two
-components is compared exactly. First each bucket's nodes are compared with one
-pivot, which joins large groups of near copies in linear time; then all pairs
-of nodes in different components are, that share a signature.
+signature, in its bucket, are candidates; each candidate pair that may still
+join two components is compared exactly. First each node is compared with the
+heaviest pivot of its buckets, which joins large groups of near copies in linear
+time. Then all pairs of nodes of a small bucket in different components are
+compared; nodes of larger buckets that are still open are sifted by their
+rarest shingles first (a prefix filter, exact too), so that a popular text's
+altered copies need not all be compared with one another.
 
 Cases: a text without words, or null, has an empty set, linked with nothing; a
 document without identifier has no component (null) but its copies do; rows
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from chronosift.llm.common import forget, map_text, settle
+from chronosift.llm.common import forget, map_text, release, settle
 from chronosift.llm.components import connected
 from chronosift.llm.textops import PLACES, WordHasher, grams, mix, splitmix
 
@@ -167,7 +170,7 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
-    """(sig, k) rows of all sets; a task gives those of a set it remembers once only."""
+    """(bucket, k) rows of all sets, the bucket being a signature; a task gives those of a set it remembers once only."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     body = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
 
@@ -186,14 +189,30 @@ def signatures(docs: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
                 sigs += parts
                 keys.append(k)
                 counts.append(sum(map(len, parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.repeat(np.array(keys, dtype=np.int64), counts))], names=["sig", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.repeat(np.array(keys, dtype=np.int64), counts))], names=["bucket", "k"])
 
-    return body.mapInArrow(run, "sig long, k long")
+    return body.mapInArrow(run, "bucket long, k long")
+
+
+#: A side of at most so many (long, long) rows, some 16 MB, is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Buckets of at most so many nodes have all their open pairs compared; those of larger ones are sifted first.
+LIGHT = 16
+#: Sifted pairs are compared once there are at most so many a row; before that, nodes with pivots.
+PAIRS_A_ROW = 20
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, with a hint to broadcast it if it has few rows; df has rows of two integers and is cheap to count."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, s) of the wanted nodes (k, rep): the set as bytes, computed from the text of the document rep."""
-    d = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("t")).join(wanted, "rep")
+    """(k, s) of the wanted nodes (k, rep): the set as bytes, computed from the text of the document rep.
+
+    Rows that share an identifier may give a node twice.
+    """
+    d = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("t")).join(_small(wanted), "rep")
 
     def kernel(batches: Iterator[list[bytes | None]]) -> Iterator[list[pa.Array]]:
         hasher = WordHasher()
@@ -202,7 +221,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
             yield [pa.array([set_hash(s) if len(s) else None for s in found], type=pa.int64()), pa.array([s.tobytes() for s in found], type=pa.binary())]
 
     fields = T.StructType([T.StructField("own", T.LongType()), T.StructField("s", T.BinaryType())])
-    return map_text(d, "t", fields, kernel, ["k"]).filter("k = own").select("k", "s").dropDuplicates(["k"])
+    return map_text(d, "t", fields, kernel, ["k"]).filter("k = own").select("k", "s")
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -217,10 +236,11 @@ def similar(a: bytes, b: bytes) -> bool:
 
 
 def linked(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar."""
-    left = sets_of.select(F.col("k").alias("a"), F.col("s").alias("sa"))
-    right = sets_of.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
+    """The pairs (a, b) that are similar. Only sets of nodes in pairs are dealt out."""
+    few = _small(pairs)
+    left = sets_of.select(F.col("k").alias("a"), F.col("s").alias("sa")).join(_small(pairs.select("a").distinct()), "a", "left_semi")
+    right = sets_of.select(F.col("k").alias("b"), F.col("s").alias("sb")).join(few, "b")
+    both = right.join(left, "a").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,49 +250,136 @@ def linked(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _join_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels (node, comp) after further links between nodes."""
-    if labels is None:
-        return settle(connected(links), "labels")
-    x, y = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    e = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    top = connected(e).select(F.col("node").alias("n"), F.col("comp").alias("c"))
-    old = labels.join(top, labels["comp"] == top["n"], "left").select("node", F.coalesce("c", "comp").alias("comp"))
-    new = top.join(labels.select("node"), top["n"] == F.col("node"), "left_anti").select(F.col("n").alias("node"), F.col("c").alias("comp"))
-    return settle(old.unionByName(new), "labels")
+# Rows (bucket, k, comp): nodes of a bucket, and the components these are in so far.
+
+
+def _star(rows: DataFrame) -> DataFrame:
+    """For each node the pair with one pivot: of its buckets' heaviest nodes in another component the heaviest. A node weighs as much as its buckets have nodes."""
+    w = Window.partitionBy("bucket")
+    sized = rows.withColumn("n", F.count("*").over(w))
+    weight = sized.groupBy("k").agg(F.sum("n").alias("weight"))
+    heaviest = sized.join(weight, "k").withColumn("top", F.max(F.struct("weight", "k", "comp")).over(w)).filter("comp <> top.comp")
+    best = heaviest.groupBy("k").agg(F.max(F.struct("top.weight", "top.k")).alias("p"))
+    return best.select(F.least("k", "p.k").alias("a"), F.greatest("k", "p.k").alias("b")).distinct()
+
+
+def _every(rows: DataFrame) -> DataFrame:
+    """All pairs of nodes of a bucket in different components."""
+    x, y = rows.select("bucket", F.col("k").alias("a"), F.col("comp").alias("ca")), rows.select("bucket", F.col("k").alias("b"), F.col("comp").alias("cb"))
+    return x.join(y, "bucket").filter("a < b AND ca <> cb").select("a", "b").distinct()
+
+
+def _every_sifted(rows: DataFrame) -> DataFrame:
+    """Pairs of sifted rows in different components whose shared shingle can be their first.
+
+    Similar sets of sa and sb shingles share 3 (sa + sb) / 7 at least, so that
+    the first one they share has as many places from it to the end in both.
+    """
+    x, y = (rows.select("bucket", F.col("k").alias(n), F.col("comp").alias(f"c{n}"), F.col("size").alias(f"s{n}"), F.col("place").alias(f"p{n}")) for n in ("a", "b"))
+    both = x.join(y, "bucket").filter("a < b AND ca <> cb AND 4 * least(sa, sb) >= 3 * greatest(sa, sb)")
+    return both.filter("least(sa - pa, sb - pb) + 1 >= (3 * (sa + sb) + 6) div 7").select("a", "b").distinct()
 
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (sig, k, comp) of the buckets whose nodes are in two components or more."""
-    rows = buckets.join(labels, buckets["k"] == labels["node"], "left").select("sig", "k", F.coalesce("comp", "k").alias("comp"))
-    w = Window.partitionBy("sig")
-    return rows.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).filter("lo < hi").select("sig", "k", "comp")
+    """The rows of buckets (bucket, k, any more) whose nodes are in two components or more, with comp and the bucket's nodes n."""
+    own = [c for c in buckets.columns if c not in ("comp", "n")]
+    rows = buckets.select(*own).join(labels, F.col("k") == labels["node"], "left").select(*own, F.coalesce(labels["comp"], "k").alias("comp"))
+    w = Window.partitionBy("bucket")
+    return rows.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("n", F.count("*").over(w)).filter("lo < hi").select(*own, "comp", "n")
+
+
+def _too_many(rows: DataFrame) -> bool:
+    """Whether rows have more open pairs than may be compared at once."""
+    per = rows.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
+    n, pairs = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+    return (pairs or 0) > PAIRS_A_ROW * (n or 0)
+
+
+def _sifted(nodes_: DataFrame, sets_of: DataFrame) -> DataFrame:
+    """(bucket, k, size, place) for each node and each shingle of its rarest, one more than a similar set can lack.
+
+    Two similar sets have one of these in common: all sets' shingles are put in
+    one order, the rarest among these nodes first. What copies of a common
+    text have of their own is rare, so that copies changed too much to be
+    similar do not meet all others again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.frombuffer(s, dtype=np.int64) for s in b.column(1).to_pylist()]
+            keys = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(s) for s in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.int64), *found])), pa.array(keys, type=pa.int64()), pa.array(np.repeat([len(s) for s in found], [len(s) for s in found]).astype(np.int64))], names=["bucket", "k", "n"])
+
+    rows = sets_of.join(_small(nodes_.select("k")), "k", "left_semi").select("k", "s").mapInArrow(run, "bucket long, k long, n long")
+    spread = rows.groupBy("bucket").agg(F.count("*").alias("df"))
+    ranked = rows.join(spread, "bucket").withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("df", "bucket")))
+    return ranked.filter("place <= n - (3 * n + 3) div 4 + 1 AND df > 1").select("bucket", "k", F.col("n").alias("size"), "place")
+
+
+class _Links:
+    """Components so far, and the pairs that were compared for them."""
+
+    def __init__(self, sets_of: DataFrame, sizes: DataFrame):
+        self.sets_of, self.sizes = sets_of, sizes
+        self.labels = sizes.sparkSession.createDataFrame([], "node long, comp long")
+        self.tested = sizes.sparkSession.createDataFrame([], "a long, b long")
+
+    def compare(self, pairs: DataFrame) -> bool:
+        """Compare pairs of sizes that allow it and were not compared yet; whether a link was found."""
+        na, nb = self.sizes.select(F.col("k").alias("a"), F.col("n").alias("na")), self.sizes.select(F.col("k").alias("b"), F.col("n").alias("nb"))
+        fresh = pairs.join(self.tested, ["a", "b"], "left_anti").join(na, "a").join(nb, "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
+        fresh = settle(fresh, "pairs")
+        found = settle(linked(fresh, self.sets_of), "links")
+        self.tested = settle(self.tested.unionByName(fresh), "pairs")
+        some = found.limit(1).count() > 0
+        if some:
+            self.labels = self._joined(found)
+        forget(fresh, found)
+        release(fresh.sparkSession)
+        return some
+
+    def _joined(self, links: DataFrame) -> DataFrame:
+        labels = self.labels
+        x, y = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+        e = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        top = connected(e).select(F.col("node").alias("n"), F.col("comp").alias("c"))
+        old = labels.join(top, labels["comp"] == top["n"], "left").select("node", F.coalesce("c", "comp").alias("comp"))
+        new = top.join(labels.select("node"), top["n"] == F.col("node"), "left_anti").select(F.col("n").alias("node"), F.col("c").alias("comp"))
+        return settle(old.unionByName(new), "labels")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest identifier reachable by links) of each row."""
     all_sets = settle(sets(docs, id_col, text_col), "sets")
-    nodes = all_sets.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"))
+    nodes = all_sets.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     common = common_shingles(docs, id_col, text_col)
-    w = Window.partitionBy("sig")
+    w = Window.partitionBy("bucket")
     shared = signatures(docs, text_col, common).withColumn("lo", F.min("k").over(w)).withColumn("hi", F.max("k").over(w)).filter("lo < hi")
-    buckets = settle(shared.select("sig", "k", "lo").distinct(), "buckets")
-    wanted = buckets.select("k").distinct().join(nodes, "k").filter("rep IS NOT NULL")
-    sets_of = settle(node_sets(docs, wanted, id_col, text_col), "node-sets")
-
-    tested = settle(buckets.filter("k <> lo").select(F.col("lo").alias("a"), F.col("k").alias("b")).distinct(), "pairs")
-    links = settle(linked(tested, sets_of), "links")
-    labels = _join_components(None, links)
-    open_ = settle(_open(buckets, labels), "open")
-    while open_.limit(1).count():
-        pairs = _next_pairs(open_, tested)
-        if pairs is None:
-            break
-        found = settle(linked(pairs, sets_of), "links")
-        tested = settle(tested.unionByName(pairs), "pairs")
-        labels = _join_components(labels, found) if found.limit(1).count() else labels
-        open_ = settle(_open(open_.select("sig", "k"), labels), "open")
-
+    buckets = settle(shared.select("bucket", "k").distinct(), "buckets")
+    release(docs.sparkSession)
+    wanted = settle(buckets.select("k").distinct().join(nodes, "k").filter("rep IS NOT NULL"), "nodes")
+    found = node_sets(docs, wanted.select("k", "rep"), id_col, text_col)
+    again = all_sets.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    sets_of = settle(found.dropDuplicates(["k"]) if again else found, "node-sets")
+
+    links = _Links(sets_of, wanted.select("k", "n"))
+    links.compare(_star(buckets.withColumn("comp", F.col("k"))))
+    open_ = settle(_open(buckets, links.labels), "open")
+    forget(buckets)
+    heavy = open_.filter(F.col("n") > LIGHT).select("k").distinct()
+    if heavy.limit(1).count():
+        sifted = settle(_sifted(heavy, sets_of), "sifted")
+        release(docs.sparkSession)
+        rows = settle(_open(sifted, links.labels), "open")
+        while _too_many(rows) and links.compare(_star(rows)):
+            rows = settle(_open(rows, links.labels), "open")
+        links.compare(_every_sifted(rows))
+        forget(sifted, rows)
+    links.compare(_every(_open(open_.filter(F.col("n") <= LIGHT), links.labels)))
+    forget(open_, sets_of, links.tested)
+    release(docs.sparkSession)
+
+    labels = links.labels
     lowest = nodes.join(labels, nodes["k"] == labels["node"], "left").select("k", F.coalesce("comp", "k").alias("comp"), "rep")
     heads = lowest.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_node = lowest.join(heads, "comp").select(F.col("k").alias("node"), "component_id")
@@ -292,29 +399,3 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     again = comp.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again"))
     key = d[f"`{id_col}`"].eqNullSafe(again["again"])
     return d.join(again, key, "left_anti").unionByName(d.join(again, key, "left_semi").dropDuplicates([id_col, text_col]))
-
-
-#: All pairs of open buckets are compared once there are at most so many a row; before that, pairs with the best pivots.
-PAIRS_A_ROW = 20
-
-
-def _next_pairs(open_: DataFrame, tested: DataFrame) -> DataFrame | None:
-    """Untested pairs of nodes in different components that share a signature.
-
-    While there are many, those of each bucket with its node of most buckets
-    come first; None if no pair is left.
-    """
-    per = open_.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
-    size = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-    if size[1] > PAIRS_A_ROW * size[0]:
-        degree = open_.groupBy("k").agg(F.count("*").alias("d"))
-        ranked = open_.join(degree, "k").withColumn("best", F.max(F.struct("d", "k", "comp")).over(Window.partitionBy("sig")))
-        star = ranked.filter("comp <> best.comp").select(F.least("k", "best.k").alias("a"), F.greatest("k", "best.k").alias("b")).distinct()
-        fresh = settle(star.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.limit(1).count():
-            return fresh
-        forget(fresh)
-    x, y = open_.select("sig", F.col("k").alias("a"), F.col("comp").alias("ca")), open_.select("sig", F.col("k").alias("b"), F.col("comp").alias("cb"))
-    every = x.join(y, "sig").filter("a < b AND ca <> cb").select("a", "b").distinct()
-    fresh = settle(every.join(tested, ["a", "b"], "left_anti"), "pairs")
-    return fresh if fresh.limit(1).count() else None

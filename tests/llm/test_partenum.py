@@ -83,9 +83,12 @@ def test_near_copies_equal_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_all_pairs_way_equals_brute_force(spark, monkeypatch):
-    """With pivots preferred as long as they help."""
-    monkeypatch.setattr(partenum, "PAIRS_A_ROW", 0)
+@pytest.mark.parametrize("pairs_a_row", [0, 1000])
+def test_sifting_equals_brute_force(spark, monkeypatch, pairs_a_row):
+    """With all buckets sifted, pivots preferred as long as they help or not, and sides joined by shuffles."""
+    monkeypatch.setattr(partenum, "PAIRS_A_ROW", pairs_a_row)
+    monkeypatch.setattr(partenum, "LIGHT", 1)
+    monkeypatch.setattr(partenum, "BROADCAST_ROWS", 0)
     rows = near_copies()[:60]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in partenum.components(df).collect())
