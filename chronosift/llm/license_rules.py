@@ -1,12 +1,20 @@
 """License scans by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences, each put in a normal form (lower case, runs of
-other characters than letters and digits one space). Known licence sentences
-have identifiers; a document is the sequence of those it has. Ordered rules,
+A text is put in a normal form (lower case, runs of other characters than
+letters and digits one space) in which line breaks and sentence ends are still
+told apart. Comment marks before lines go. A sentence ends at punctuation, blank
+lines and list marks; a single line break may be inside a sentence or its end,
+so that wrapped notices and lines without punctuation are both found. Known
+licence sentences have identifiers (``SENTENCES``, and the wordings of published
+notices in ``NOTICES``); a document is the sequence of those it has. Ordered rules,
 each a sequence of identifiers that must follow one another, then name
 licences; what a rule has matched is taken out before the next is tried, so
 that a notice counts as its most specific licence.
 
+``oracle()`` cuts at every line break and knows ``SENTENCES`` and ``RULES``
+alone: it gives the same where no notice is wrapped, commented or worded as in
+``NOTICES``, and less elsewhere.
+
 Cases: a null or empty text has no sentences; repeated rows give repeated
 results; empty tables give no rows; other columns are ignored.
 """
@@ -83,32 +91,116 @@ RULES = (
 STEMS = ("licen", "rights", "redistribut", "permission", "version", "software")
 assert all(any(s in t for s in STEMS) for t in SENTENCES.values()), "a sentence without a stem would be missed"
 
+#: Who is licensed, and what may follow the name of the licence.
+SUBJECT = "(?:(?:(?:this|the|our|all) (?:source )?(?:project|software|work|code|program|library|package|repository|repo|module|tool|file|files|script|document|documentation|content|dataset|data) (?:is|are) |it is )(?:hereby )?)?"
+VERB = "(?:licensed|released|distributed|published|available|made available|provided) under (?:the terms of )?"
+TAIL = "(?: license(?: md| txt)?| mit)?(?: https?(?: [a-z0-9]+){1,8})?(?: see(?: [a-z0-9]+){1,12})?"
+GPL = "you can redistribute it and or modify it under the terms of the gnu {}general public license{} as published by the free software foundation"
+LATER = " either version {} of the license or at your option any later version"
+ATTRIBUTION = "(?:a|the) creative commons attribution {}4 0 (?:international )?(?:public )?license"
+
+# Wordings of published notices, as regular expressions of the normal form, and the sentences they stand for.
+NOTICES = (
+    (SUBJECT + VERB + "the apache license version 2 0(?: the license)?" + TAIL, (1,)),
+    (SUBJECT + VERB + "(?:the )?apache (?:license )?2 0(?: license)?" + TAIL, (1,)),
+    ("(?:and )?you may not use (?:this file|these files|this software|this work|this project) except in compliance with the license", (2,)),
+    ("you may obtain a copy of the license at https? www apache org licenses license 2 0(?: txt| html)?", (3,)),
+    (SUBJECT + VERB + "(?:the |an )?mit license" + TAIL, (6,)),
+    ("the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software", (8,)),
+    (SUBJECT + VERB + "the gnu general public license (?:version |v)3(?: 0)?" + TAIL, (9,)),
+    (SUBJECT + VERB + "the gnu general public license (?:version |v)2(?: 0)?" + TAIL, (10,)),
+    (GPL.format("", " version 3") + "|" + GPL.format("", "") + " version 3(?: of the license)?", (9,)),
+    (GPL.format("", " version 2") + "|" + GPL.format("", "") + " version 2(?: of the license)?", (10,)),
+    ("[a-z0-9]+(?: [a-z0-9]+){0,3} is free software", (11,)),
+    (GPL.format("", "") + LATER.format("3"), (12, 13)),
+    (GPL.format("", "") + LATER.format("2"), (12, 14)),
+    (SUBJECT + VERB + "cc by nc 4 0(?: license)?" + TAIL, (15,)),
+    (SUBJECT + VERB + ATTRIBUTION.format("noncommercial ") + TAIL, (15,)),
+    (SUBJECT + VERB + "cc by 4 0(?: license)?" + TAIL, (16,)),
+    (SUBJECT + VERB + "cc by sa 4 0(?: license)?" + TAIL, (17,)),
+    (SUBJECT + VERB + ATTRIBUTION.format("") + TAIL, (18,)),
+    (SUBJECT + VERB + ATTRIBUTION.format("sharealike ") + TAIL, (19,)),
+    ("(?:and )?neither the names? of(?: [a-z0-9]+){1,16} nor the names? of (?:its|their|any|other|the)(?: [a-z0-9]+){0,3} may be used to endorse or promote products derived from this software without specific prior written permission", (23,)),
+    ("spdx license identifier gpl 3 0", (26,)),
+    ("spdx license identifier gpl 2 0", (27,)),
+    ("apache license version 2 0 january 2004", (31,)),
+    ("all advertising materials mentioning features or use of this software must display the following acknowledge?ment", (32,)),
+    (GPL.format("lesser ", ""), (33,)),
+    (GPL.format("lesser ", "") + LATER.format("3"), (33, 13)),
+    ("either version 2 1 of the license or at your option any later version", (34,)),
+    (GPL.format("lesser ", "") + LATER.format("2 1"), (33, 34)),
+    (GPL.format("affero ", ""), (35,)),
+    (GPL.format("affero ", "") + LATER.format("3"), (35, 13)),
+    ("spdx license identifier gpl 3 0 or later", (36,)),
+    ("spdx license identifier gpl 2 0 or later", (37,)),
+    ("spdx license identifier bsd 2 clause", (38,)),
+    ("spdx license identifier mpl 2 0", (30,)),
+)
+
+# Rules of the published notices, tried before RULES. Rights reserved before a BSD notice are part of it, as is the notice at the end of the Apache licence.
+NOTICE_RULES = (
+    *(("BSD-4-Clause", (*before, 20, 21, 22, 32, 23)) for before in ((29,), ())),
+    ("BSD-3-Clause", (29, 20, 21, 22, 23)),
+    ("BSD-2-Clause", (29, 20, 21, 22)),
+    ("LGPL-3.0-or-later", (11, 33, 13)),
+    ("LGPL-2.1-or-later", (11, 33, 34)),
+    ("AGPL-3.0-or-later", (11, 35, 13)),
+    ("Apache-2.0", (31, 1, 2, 3, 4)),
+    ("Apache-2.0", (31,)),
+    ("GPL-3.0-or-later", (36,)),
+    ("GPL-2.0-or-later", (37,)),
+    ("BSD-2-Clause", (38,)),
+)
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A sentence ends at these, before white space, or at a line's end; a run of lines without an end is cut at each line.
-ENDS = r"([.;:!?])[\x20\t\r]+"
+#: Marks of comments, quotations and headings before a line.
+COMMENT = r"(^|\n)[\x20\t\r]*(?:(?:/\*+|\*+|//+|#+|--+|;+|%+|<!--+|>+|\|+|!|dnl\b|rem\b)[\x20\t]*)+"
+#: What looks like a sentence's end and is none: the colon of an SPDX tag, and these abbreviations.
+NO_END = r"\b(spdx-license-identifier|v|inc|ltd|llc|co|corp)[.:](?=[\x20\t]*\n?[\x20\t]*(?:[0-9]|nor\b|[a-z]+-[0-9]|mit\b))"
+#: Sentences end at list marks and blank lines, and at these before white space.
+LISTED = r"(^|\n)[\x20\t]*(?:[-+•]|\(?(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})[.)])[\x20\t]+"
+BLANK = r"\n[\x20\t\r]*(?=\n)"
+ENDS = r"""[.;:!?]["')\]*_]*(?:[\x20\t\r]+|(?=\n))"""
+#: Ends a sentence in the normal form, where a line break stays one.
+END = "\x01"
+
+
+def normal(text: Column) -> Column:
+    """Normal form of a text, with line breaks and sentence ends."""
+    x = F.translate(F.coalesce(text, F.lit("")), UPPER + END, LOWER + " ")
+    for pattern, by in ((COMMENT, "$1"), (NO_END, "$1 "), (LISTED, END), (BLANK, END), (ENDS, END), (f"[^a-z0-9\n{END}]+", " ")):
+        x = F.regexp_replace(x, pattern, by)
+    return x
 
 
 def sentences(text: Column) -> Column:
-    """Normal forms of a text's sentences, in order; none where it has no stem."""
+    """The known sentences of a text in normal form, in order."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    cut = F.split(F.regexp_replace(low, ENDS, "$1\n"), "\n")
-    forms = F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     stems = low.contains(STEMS[0])
     for s in STEMS[1:]:
         stems = stems | low.contains(s)
-    return F.when(stems, forms).otherwise(F.expr("cast(array() as array<string>)"))
+    forms = "|".join([*sorted(SENTENCES.values(), key=len, reverse=True), *(p for p, _ in NOTICES)]).replace(" ", "[ \n]+")
+    found = F.regexp_extract_all(normal(text), F.lit(f"(?:^|[\n{END}]) ?({forms})(?= ?(?:[\n{END}]|$))"), F.lit(1))
+    return F.when(stems, F.transform(found, lambda s: F.regexp_replace(s, "[ \n]+", " "))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def identifiers(forms: Column) -> Column:
     """Identifiers of the known sentences, in order."""
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    return F.filter(F.transform(forms, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    known = F.create_map(*[x for i, s in SENTENCES.items() for x in (F.lit(s), F.array(F.lit(i)))])
+
+    def of(s: Column) -> Column:
+        notice = F.expr("cast(array() as array<int>)")
+        for pattern, ids in reversed(NOTICES):
+            notice = F.when(s.rlike(f"^(?:{pattern})$"), F.array(*map(F.lit, ids))).otherwise(notice)
+        return F.coalesce(F.try_element_at(known, s), notice)
+
+    return F.flatten(F.transform(forms, of))
 
 
 def apply_rules(ids: Column) -> Column:
     """Names of the licences whose rules match, each as often as it does, in the order of the rules."""
     start = F.struct(F.concat(F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")).alias("rest"), F.expr("cast(array() as array<string>)").alias("found"))
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in seq)).alias("seq")) for name, seq in RULES])
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in seq)).alias("seq")) for name, seq in NOTICE_RULES + RULES])
 
     def step(state: Column, rule: Column) -> Column:
         left = F.replace(state["rest"], rule["seq"], F.lit("|"))

@@ -59,3 +59,88 @@ def test_query_equals_sql_and_has_no_python(spark):
     want = con.execute(license_rules.oracle()).fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
     assert df.filter(F.col("licenses") != "").count() > 10
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR"""
+
+BSD = """Copyright (c) 2020, Some Company Inc. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+ENDORSE = """
+3. Neither the name of Some Company Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def commented(text, first, each, last):
+    return first + "\n".join(each + line for line in text.split("\n")) + last
+
+
+def test_published_notices(spark):
+    cases = [
+        (APACHE, ["Apache-2.0"]),
+        (MIT, ["MIT"]),
+        (BSD, ["BSD-2-Clause"]),
+        (BSD + ENDORSE, ["BSD-3-Clause"]),
+        (GPL, ["GPL-3.0-or-later"]),
+        (GPL.replace("program is", "file is part of X.\n\nX is").replace("\n", "\r\n"), ["GPL-3.0-or-later"]),
+        (GPL.replace(": you", "; you").replace("Foundation, either version 3", "Foundation; either version 2"), ["GPL-2.0-or-later"]),
+        (GPL.replace("GNU General", "GNU Lesser General"), ["LGPL-3.0-or-later"]),
+        (MPL, ["MPL-2.0"]),
+        ("This project is licensed under the MIT License.", ["MIT"]),
+        ("## License\n\nThis project is licensed under the MIT License - see the [LICENSE](LICENSE) file\nfor details.", ["MIT"]),
+        ("This project is not licensed under the MIT License.", []),
+        ("no full stop before\nReleased under the MIT License\nnor behind", ["MIT"]),
+        ("#!/bin/sh\n# SPDX-License-Identifier: Apache-2.0\n", ["Apache-2.0"]),
+        ("// SPDX-License-Identifier: MIT\n", ["MIT"]),
+    ]
+    marks = [("", "", ""), ("/*\n", " * ", "\n */"), ("", "# ", "\n"), ("<!--\n", "  ", "\n-->"), ("", "// ", "\nint x;")]
+    rows = [(commented(t, *m), want) for t, want in cases for m in marks]
+    got = license_rules.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {i: want for i, (_, want) in enumerate(rows)}
