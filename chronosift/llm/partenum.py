@@ -41,12 +41,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from chronosift.llm.common import forget, map_text, release, settle
+from chronosift.llm.common import forget, free_name, map_text, release, settle
 from chronosift.llm.components import connected
 from chronosift.llm.textops import PLACES, WordHasher, grams, mix, splitmix
 
@@ -141,8 +141,13 @@ class Bands:
 # --- distributed steps ---------------------------------------------------------------------------
 
 
+def text_hash(text_col: str) -> Column:
+    """Tells the texts of rows apart that have one identifier, or none."""
+    return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+
+
 def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles and k, the hash of the set (null if it is empty)."""
+    """doc_id, h (the hash of the text), n_shingles and k, the hash of the set (null if it is empty)."""
 
     def kernel(batches: Iterator[list[bytes | None]]) -> Iterator[list[pa.Array]]:
         hasher = WordHasher()
@@ -151,7 +156,8 @@ def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield [pa.array([len(s) for s in found], type=pa.int64()), pa.array([set_hash(s) if len(s) else None for s in found], type=pa.int64())]
 
     fields = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("k", T.LongType())])
-    return map_text(docs, text_col, fields, kernel, [id_col]).withColumnRenamed(id_col, "doc_id")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(text_col).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    return map_text(rows, "t", fields, kernel, ["doc_id", "h"])
 
 
 def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
@@ -350,6 +356,11 @@ class _Links:
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest identifier reachable by links) of each row."""
+    return _components(docs, id_col, text_col).drop("h")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns of components, and h, the hash of the row's text."""
     all_sets = settle(sets(docs, id_col, text_col), "sets")
     nodes = all_sets.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     common = common_shingles(docs, id_col, text_col)
@@ -384,18 +395,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     heads = lowest.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_node = lowest.join(heads, "comp").select(F.col("k").alias("node"), "component_id")
     out = all_sets.join(of_node, all_sets["k"] == of_node["node"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those linked to a smaller identifier; of rows with one identifier and one text, one stays.
 
-    Only identifiers are joined with the texts, and only identifiers that
-    occur more than once have their rows dealt out by key.
+    A row is known by identifier and text, so that the other texts of its
+    identifier, and other rows without one, stay. A row without identifier goes
+    if it is linked to one; such rows linked with one another alone stay.
+
+    Only identifiers and hashes are joined with the texts, and only identifiers
+    that occur more than once have their rows dealt out by key.
     """
-    comp = settle(components(docs, id_col, text_col), "components")
-    gone = comp.filter("component_id <> doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("gone")).distinct()
-    d = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["gone"]), "left_anti")
+    comp = settle(_components(docs, id_col, text_col), "components")
+    gone = comp.filter("component_id <> doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("gone"), F.col("h").alias("gone_h")).distinct()
+    h = free_name(docs, "h")
+    d = docs.withColumn(h, text_hash(text_col))
+    d = d.join(gone, d[f"`{id_col}`"].eqNullSafe(gone["gone"]) & (d[h] == gone["gone_h"]), "left_anti").drop(h)
     again = comp.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again"))
     key = d[f"`{id_col}`"].eqNullSafe(again["again"])
     return d.join(again, key, "left_anti").unionByName(d.join(again, key, "left_semi").dropDuplicates([id_col, text_col]))

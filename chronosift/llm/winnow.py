@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronosift.llm.common import map_text
+from chronosift.llm.common import free_name, map_text
 from chronosift.llm.textops import WordHasher, grams
 
 WINDOW, GRAM = 10, 5
@@ -171,9 +171,13 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose identifier has no text with a window of an item."""
-    hit = find(docs, benchmark, id_col=id_col, **options).filter(F.size("items") > 0).select(F.col(f"`{id_col}`").alias("hit")).distinct()
-    return docs.join(hit, docs[f"`{id_col}`"].eqNullSafe(hit["hit"]), "left_anti")
+    """The rows of docs whose text has no window of an item. A row is known by its identifier and the hash of its text."""
+    text_col, key = options.get("text_col", "text"), free_name(docs, "key")
+    keyed = docs.withColumn(key, F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h")))
+    found = find(keyed, benchmark, id_col=key, **options).filter(F.size("items") > 0)
+    hit = found.select(F.col(f"{key}.id").alias("hit_id"), F.col(f"{key}.h").alias("hit_h")).distinct()
+    same = keyed[f"{key}.id"].eqNullSafe(hit["hit_id"]) & (keyed[f"{key}.h"] == hit["hit_h"])
+    return keyed.join(hit, same, "left_anti").drop(key)
 
 
 def _broadcast(docs: DataFrame, items: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:

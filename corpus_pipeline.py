@@ -13,8 +13,9 @@ columns of documents:
 5. ``token_shards``: sorted string tables of token ids; returns a row for each
    document, read back from the files.
 
-Decisions are by identifier where rows share one; see the operators for nulls,
-empty texts, ties and repeated rows.
+Near duplicates and contaminated rows are known by identifier and text, so that
+rows which share an identifier, or have none, are decided each by its own text;
+see the operators for nulls, empty texts, ties and repeated rows.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from chronosift.llm import queries
+from chronosift.llm import partenum, queries, winnow
 from tests.llm import helpers
 from tests.llm.test_fair_mix import brute_targets, size
 from tests.llm.test_partenum import brute as brute_components
@@ -72,3 +72,18 @@ def test_awkward_tables(spark):
         kept = {r.doc_id for r in stages[2].collect()}
         assert kept <= {1, 5, 6, -7, None}
         assert len(stages[2].collect()) == len(kept)
+
+
+def test_rows_are_known_by_identifier_and_text(spark):
+    """Rows without identifier, and texts under one identifier, go or stay each by itself."""
+    a, b, c, d, e = (helpers.sentence(i, 40) for i in (101, 102, 103, 104, 105))
+    rows = [(1, a), (None, a), (None, b), (5, a + " more"), (5, c), (None, d), (None, d), (7, e)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], helpers.SCHEMA)
+    kept = partenum.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (None, b), (5, c), (None, d), (7, e)])
+    bench = spark.createDataFrame([(1, c), (2, b)], "item_id long, text string")
+    for limit in (winnow.LIMIT_WORDS, 0):
+        clean = winnow.clean(docs, bench, limit_words=limit)
+        assert clean.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter([(1, a), (None, a), (5, a + " more"), (None, d), (None, d), (7, e)])
