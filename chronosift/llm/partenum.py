@@ -214,11 +214,18 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, s) of the wanted nodes (k, rep): the set as bytes, computed from the text of the document rep.
+    """(k, s) of the wanted nodes (k, rep, h): the set as bytes, computed from the text of the document rep.
 
-    Rows that share an identifier may give a node twice.
+    Where rep is null all the node's documents are without identifier, and a
+    text of theirs with hash h is taken. Rows that share an identifier may give
+    a node twice.
     """
-    d = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("t")).join(_small(wanted), "rep")
+    texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    d = texts.join(_small(wanted.filter("rep IS NOT NULL").select("k", "rep")), "rep").select("k", "t")
+    unnamed = wanted.filter("rep IS NULL").select("k", "h")
+    if unnamed.limit(1).count():
+        rows = texts.filter("rep IS NULL").select("t", text_hash("t").alias("h"))
+        d = d.unionByName(rows.join(_small(unnamed), "h").select("k", "t").distinct())
 
     def kernel(batches: Iterator[list[bytes | None]]) -> Iterator[list[pa.Array]]:
         hasher = WordHasher()
@@ -362,14 +369,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The columns of components, and h, the hash of the row's text."""
     all_sets = settle(sets(docs, id_col, text_col), "sets")
-    nodes = all_sets.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    nodes = all_sets.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.max("n_shingles").alias("n"))
     common = common_shingles(docs, id_col, text_col)
     w = Window.partitionBy("bucket")
     shared = signatures(docs, text_col, common).withColumn("lo", F.min("k").over(w)).withColumn("hi", F.max("k").over(w)).filter("lo < hi")
     buckets = settle(shared.select("bucket", "k").distinct(), "buckets")
     release(docs.sparkSession)
-    wanted = settle(buckets.select("k").distinct().join(nodes, "k").filter("rep IS NOT NULL"), "nodes")
-    found = node_sets(docs, wanted.select("k", "rep"), id_col, text_col)
+    wanted = settle(buckets.select("k").distinct().join(nodes, "k"), "nodes")
+    found = node_sets(docs, wanted.select("k", "rep", "h"), id_col, text_col)
     again = all_sets.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     sets_of = settle(found.dropDuplicates(["k"]) if again else found, "node-sets")
 

@@ -105,3 +105,18 @@ def test_query_on_data(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{helpers.SF}/documents.parquet").collect()]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in queries.op10_jaccard_join(spark, helpers.SF).collect())
     assert got == brute(rows)
+
+
+def test_links_through_rows_without_identifier(spark):
+    """a ~ x ~ b, with x in such rows alone and a not similar to b; their copies go in favour of rows with an identifier."""
+    words = helpers.sentence(301, 62).split()
+    a, x, b = (" ".join(words[i : i + 50]) for i in (0, 6, 12))
+    lone = helpers.sentence(302, 40)
+    rows = [(3, a), (None, x), (None, x.upper()), (9, b), (None, x), (None, lone), (None, lone + " more"), (4, helpers.sentence(303, 40))]
+    want = brute(rows[:5] + rows[7:]) + [("None", 36, None), ("None", 37, None)]
+    assert ("9", 46, 3) in want and brute([r for r in rows if r[0] is not None])[-1] == ("9", 46, 9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((str(r.doc_id), r.n_shingles, r.component_id) for r in partenum.components(docs).collect()), key=str)
+    assert got == sorted(want, key=str)
+    kept = sorted(((r.doc_id, r.text) for r in partenum.one_of_each(docs).collect()), key=str)
+    assert kept == sorted([rows[0], rows[5], rows[6], rows[7]], key=str)
