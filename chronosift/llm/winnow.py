@@ -16,8 +16,9 @@ The benchmark index is broadcast only while it has at most ``limit_words``
 words. A larger benchmark takes the other way: fingerprints of both sides are
 joined by a shuffle, and each document meets the items it shares one with.
 
-Cases: null texts have no words: nothing is hit, and a null item has no
-window. Rows with one identifier and one text are one document in the join and
+Cases: null texts have no words: nothing is hit, and an item of null text has no
+window. Items without identifier hit like others, but are not among the items
+listed. Rows with one identifier and one text are one document in the join and
 come back as often as they were; items with one identifier are one item. Empty
 tables on either side give no hits. Other columns are ignored.
 """
@@ -89,10 +90,10 @@ class Index:
     def of(cls, texts: list[tuple[object, bytes | None]], window: int = WINDOW, gram: int = GRAM) -> Index:
         hasher, found, prints = WordHasher(), {}, [np.empty(0, dtype=np.uint64)]
         items = sorted({i for i, _ in texts if i is not None})
-        rank = {x: k for k, x in enumerate(items)}
+        rank = {x: k for k, x in enumerate(items)} | {None: len(items)}
         for item, text in texts:
             h = hasher.of(words_of(text))
-            if not len(h) or item is None:
+            if not len(h):
                 continue
             length = min(window, len(h))
             found.setdefault(length, []).append((grams(h, length), rank[item]))
@@ -113,7 +114,7 @@ class Index:
         return cls(items, np.unique(np.concatenate(prints)), by_length, window, gram)
 
     def match(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Starts and ends of the merged hit spans of a document's word hashes, and the ranks of its items."""
+        """Starts and ends of the merged hit spans of a document's word hashes, and the ranks of its items with identifiers."""
         n, starts, lengths, owners = len(h), [], [], []
         for length, (keys, first, owner) in self.by_length.items():
             if n < length:
@@ -143,7 +144,7 @@ class Index:
         np.add.at(delta, start + 1, 1)
         np.add.at(delta, start + length + 1, -1)
         edge = np.diff((np.cumsum(delta) > 0).astype(np.int8))
-        return np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0], np.unique(np.concatenate(owners)).tolist()
+        return np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0], [r for r in np.unique(np.concatenate(owners)).tolist() if r < len(self.items)]
 
 
 def _among(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
@@ -174,7 +175,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **optio
     """The rows of docs whose text has no window of an item. A row is known by its identifier and the hash of its text."""
     text_col, key = options.get("text_col", "text"), free_name(docs, "key")
     keyed = docs.withColumn(key, F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h")))
-    found = find(keyed, benchmark, id_col=key, **options).filter(F.size("items") > 0)
+    found = find(keyed, benchmark, id_col=key, **options).filter(F.size("spans") > 0)
     hit = found.select(F.col(f"{key}.id").alias("hit_id"), F.col(f"{key}.h").alias("hit_h")).distinct()
     same = keyed[f"{key}.id"].eqNullSafe(hit["hit_id"]) & (keyed[f"{key}.h"] == hit["hit_h"])
     return keyed.join(hit, same, "left_anti").drop(key)
@@ -237,18 +238,21 @@ def _short_grams(df: DataFrame, text_col: str, lengths: list[int], keep: list[st
 def _shuffled(docs: DataFrame, items: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
     """Join fingerprints, then compare each document with the items it shares one with."""
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    # Items without identifier are told apart by their texts.
+    items = items.withColumn("own", F.when(F.col("item").isNull(), F.xxhash64("text")))
     marked = _fingerprints(d, "text", window, gram, ["id", "h"])
-    item_prints = _fingerprints(items, "text", window, gram, ["item"])
+    item_prints = _fingerprints(items, "text", window, gram, ["item", "own"])
     lengths = [r[0] for r in item_prints.filter(F.col("n_words").between(1, window - 1)).select("n_words").distinct().collect()]
     left = marked.select("id", "h", F.explode("fps").alias("fp"))
-    right = item_prints.filter(F.col("item").isNotNull()).select("item", F.explode("fps").alias("fp"))
+    right = item_prints.select("item", "own", F.explode("fps").alias("fp"))
     if lengths:
         left = left.unionByName(_short_grams(d, "text", lengths, ["id", "h"], whole=False).select("id", "h", F.explode("fps").alias("fp")))
-        right = right.unionByName(_short_grams(items.filter(F.col("item").isNotNull()), "text", lengths, ["item"], whole=True).select("item", F.explode("fps").alias("fp")))
-    pairs = left.join(right.distinct(), "fp").select("id", "h", "item").distinct()
+        right = right.unionByName(_short_grams(items, "text", lengths, ["item", "own"], whole=True).select("item", "own", F.explode("fps").alias("fp")))
+    pairs = left.join(right.distinct(), "fp").select("id", "h", F.col("item").alias("with_item"), F.col("own").alias("with_own")).distinct()
     texts = d.dropDuplicates(["id", "h"]).withColumnRenamed("text", "doc_text")
-    item_rows = items.filter(F.col("item").isNotNull() & F.col("text").isNotNull())
-    both = pairs.join(item_rows, "item").join(texts, (pairs["h"] == texts["h"]) & pairs["id"].eqNullSafe(texts["id"])).select(pairs["id"], pairs["h"], "item", "text", "doc_text")
+    item_rows = items.filter(F.col("text").isNotNull())
+    met = pairs["with_item"].eqNullSafe(item_rows["item"]) & pairs["with_own"].eqNullSafe(item_rows["own"])
+    both = pairs.join(item_rows, met).join(texts, (pairs["h"] == texts["h"]) & pairs["id"].eqNullSafe(texts["id"])).select(pairs["id"], pairs["h"], "item", "text", "doc_text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -256,7 +260,7 @@ def _shuffled(docs: DataFrame, items: DataFrame, window: int, gram: int, id_col:
             keep, spans = [], []
             for i, (item, text, doc) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
                 start, end, owners = Index.of([(item, text.encode())], window, gram).match(hasher.of(words_of(doc.encode())))
-                if owners:
+                if len(start):
                     keep.append(i)
                     spans.append(list(zip(start, end, strict=True)))
             kept = b.take(pa.array(keep, type=pa.int64()))

@@ -90,3 +90,16 @@ def test_query_on_data(spark):
         g = got[d.doc_id]
         assert (g.n_words, g.n_hit, g.n_items, g.contaminated) == (n, len(hit), len(found), bool(hit))
         assert g.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("limit", [winnow.LIMIT_WORDS, 0])
+def test_items_without_identifier_hit(spark, limit):
+    texts = [helpers.sentence(i, 30) for i in range(201, 206)]
+    bench = [(None, texts[0]), (None, texts[1]), (5, texts[1]), (None, "two words"), (None, None)]
+    docs = [(1, "x " + texts[0] + " y"), (2, texts[1]), (3, texts[2]), (4, "in two words"), (None, texts[3])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    got = {r.doc_id: ([i for s in r.spans for i in range(s.start, s.end)], r["items"]) for r in winnow.find(d, b, limit_words=limit).collect()}
+    assert got == {i: (brute(t, bench)[1], ["5"] if i == 2 else []) for i, t in docs}
+    assert len(got[1][0]) == 30 and len(got[4][0]) == 2
+    assert sorted(str(r.doc_id) for r in winnow.clean(d, b, limit_words=limit).collect()) == ["3", "None"]
