@@ -302,6 +302,19 @@ def _series_outer_merge(spark, d):
     return m.select("client_id", "hour", r6(names[0], "first_series"), r6(names[1], "second_series"))
 
 
+@query(
+    "series_outer_merge_all",
+    f"WITH {EVENTS_SQL}, h AS (SELECT client_id, CAST(floor(seconds / 3600) AS BIGINT) AS hour, var, value FROM ev), k AS (SELECT DISTINCT client_id, hour FROM h), n AS (SELECT DISTINCT var FROM h), m AS (SELECT client_id, hour, var, min(value) AS value FROM h GROUP BY client_id, hour, var) SELECT k.client_id, k.hour, n.var, round(m.value, 6) AS value FROM k CROSS JOIN n LEFT JOIN m ON m.client_id = k.client_id AND m.hour = k.hour AND m.var = n.var",
+)
+def _series_outer_merge_all(spark, d):
+    """series_outer_merge over all event types, in long form: a row for each client, hour and type, null where the merge has no value."""
+    h = events(spark, d).select("client_id", F.floor(F.col("seconds") / 3600).alias("hour"), "var", "value")
+    names = sorted(r[0] for r in h.select("var").distinct().collect())
+    m = windows.outer_merge(h, ["client_id", "hour"], "var", "value", names)
+    long = F.explode(F.array(*[F.struct(F.lit(n).alias("var"), F.col(f"`{n}`").alias("value")) for n in names])).alias("s")
+    return m.select("client_id", "hour", long).select("client_id", "hour", "s.var", r6("s.value", "value"))
+
+
 @query(
     "positional_join",
     """WITH a AS (SELECT l_suppkey AS k, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY (l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_tax)) AS sec FROM lineitem),

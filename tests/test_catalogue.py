@@ -43,3 +43,10 @@ def test_entry_without_the_corpus_package():
     import __spark_entry__ as entry
 
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(catalogue.ORACLE_SQL) <= set(entry.oracle_sql())
+
+
+def test_outer_merge_has_all_event_types(spark, con):
+    rows_ = catalogue.QUERIES["series_outer_merge_all"](spark, SF).collect()
+    types = {t for (t,) in con.execute("SELECT DISTINCT event_type FROM events").fetchall()}
+    assert len(types) > 2 and {r["var"] for r in rows_ if r.value is not None} == types
+    assert len(rows_) == len(types) * len({(r.client_id, r.hour) for r in rows_})
