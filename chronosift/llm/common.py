@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from chronosift.shipping import ship
 
-#: Rows in an Arrow batch: texts of 100 kB each still make a batch of some 25 MB.
-BATCH_ROWS = 256
+#: Rows in an Arrow batch, and bytes, so that long texts come few at a time.
+BATCH_ROWS, BATCH_BYTES = 10_000, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the cluster names one.
 
-    Where it is unset (tests on one machine) a temporary folder is made and set.
+    Where it is unset and Spark runs on one machine (tests) a temporary folder
+    is made and set; on a cluster that would be another folder on each machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chronosift-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -67,6 +71,7 @@ def small_batches(spark: SparkSession) -> None:
     """Make ready for Arrow kernels: workers get the code, and rows bound a batch's bytes, for documents can be long."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -78,35 +83,54 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def map_text(
+def map_column(
     df: DataFrame,
     text_col: str,
     fields: T.StructType,
-    kernel: Callable[[Iterator[list[bytes | None]]], Iterator[list[pa.Array]]],
+    kernel: Callable[[Iterator[pa.Array]], Iterator[list[pa.Array]]],
     keep: list[str],
 ) -> DataFrame:
-    """Run kernel over the whole texts of df, as UTF-8 bytes, batch by batch.
+    """Run kernel over the whole texts of df, batch by batch.
 
-    kernel takes the batches' texts (None for null) and yields, for each, one
+    kernel takes the batches' texts as string arrays and yields, for each, one
     array for each of fields. The result has the columns of keep, then fields,
-    one row for each row of df. Only keep and the text travel to Python.
+    one row for each row of df. Only keep and the text travel to Python, and the
+    text once even if it is in keep.
     """
     small_batches(df.sparkSession)
-    body = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("t"))
-    schema = T.StructType([T.StructField(f"k{i}", body.schema[f"k{i}"].dataType) for i in range(len(keep))] + [T.StructField(f"f{i}", f.dataType) for i, f in enumerate(fields)])
+    others = [c for c in keep if c != text_col]
+    body = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(others)], F.col(f"`{text_col}`").cast("string").alias("t"))
+    whole = text_col in keep
+    kept = [*body.schema.fields[:-1], *([T.StructField("t", T.StringType())] if whole else [])]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept] + [T.StructField(f"f{i}", f.dataType) for i, f in enumerate(fields)])
+    names, n = schema.names, len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def texts() -> Iterator[list[bytes | None]]:
+        def texts() -> Iterator[pa.Array]:
             for b in batches:
                 held.append(b)
-                yield b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()
+                yield b.column(b.num_columns - 1)
 
         for arrays in kernel(texts()):
-            b = held.pop(0)
-            n = len(keep)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *arrays], names=[f"k{i}" for i in range(n)] + [f"f{i}" for i in range(len(arrays))])
+            yield pa.RecordBatch.from_arrays([*held.pop(0).columns[:n], *arrays], names=names)
 
     out = body.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"f{i}").alias(f.name) for i, f in enumerate(fields)])
+    place = {c: f"k{i}" for i, c in enumerate(others)} | {text_col: "t"}
+    return out.select(*[F.col(place[c]).alias(c) for c in keep], *[F.col(f"f{i}").alias(f.name) for i, f in enumerate(fields)])
+
+
+def map_text(
+    df: DataFrame,
+    text_col: str,
+    fields: T.StructType,
+    kernel: Callable[[Iterator[list[bytes | None]]], Iterator[list[pa.Array]]],
+    keep: list[str],
+) -> DataFrame:
+    """map_column with a kernel that takes each batch's texts as a list of UTF-8 bytes, None for null."""
+
+    def as_bytes(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
+        return kernel(b.cast(pa.binary()).to_pylist() for b in batches)
+
+    return map_column(df, text_col, fields, as_bytes, keep)

@@ -4,15 +4,16 @@ A document is the set of its distinct word shingles, as 64-bit hashes. Two sets
 of a and b shingles reach a Jaccard similarity of 75 % only if they differ in
 at most (a + b) / 7 shingles, and only if neither is larger than 4/3 of the
 other. Sizes are cut into bands; in a band the shingles' domain is cut into
-partitions, and each subset of ``subset`` partitions gives a signature: a hash
-of all the set's shingles in them. Differences touch at most
-C(n, q) - C(n - k, q) of the subsets, so a set need not give all signatures:
-if each set gives one more than that, those of greatest weight by an order that
-depends on a signature's content alone, two similar sets share one. (Of two
-sets take the one whose weakest signature is the stronger: one of its
-signatures is untouched, hence the other set's too, and strong enough there.)
-A set takes part in its own band and, where it can be the smaller one of a pair
-there, in the next.
+first-level partitions, each of them into second-level ones, and subsets of the
+second-level partitions of a first-level one are enumerated: each gives a
+signature, a hash of all the set's shingles in it. A number of differences can
+touch only so many subsets, so a set need not give all signatures: if each set
+gives one more than that, those of greatest weight by an order that depends on
+a signature's content alone, two similar sets share one. (Of two sets take the
+one whose weakest signature is the stronger: one of its signatures is
+untouched, hence the other set's too, and strong enough there.) A set takes
+part in its own band and, where it can be the smaller one of a pair there, in
+the next.
 
 The weight prefers signatures with shingles that few documents have. Which
 shingles are common is estimated on part of the documents; the estimate
@@ -25,17 +26,25 @@ heaviest pivot of its buckets, which joins large groups of near copies in linear
 time. Then all pairs of nodes of a small bucket in different components are
 compared; nodes of larger buckets that are still open are sifted by their
 rarest shingles first (a prefix filter, exact too), so that a popular text's
-altered copies need not all be compared with one another.
+altered copies need not all be compared with one another. What then remains is
+compared in slices of bounded size.
+
+No bucket meets in one task: what a task has of a bucket beyond LOCAL nodes is
+dealt out by node, buckets are otherwise only aggregated and joined, and a
+pivot's partners are dealt out in parts of PARTNERS.
 
 Cases: a text without words, or null, has an empty set, linked with nothing; a
-document without identifier has no component (null) but its copies do; rows
-with one identifier are treated each by its text; other columns are ignored.
+document without identifier has no component (null) but its copies do, and
+links through it count; rows with one identifier are treated each by its text;
+a tie in similarity (75 % exactly) is a link; a text of any length is taken
+whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 from math import comb
 
 import numpy as np
@@ -46,30 +55,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from chronosift.llm.common import forget, free_name, map_text, release, settle
+from chronosift.llm.common import forget, free_name, map_column, release, settle, small_batches
 from chronosift.llm.components import connected
-from chronosift.llm.textops import PLACES, WordHasher, grams, mix, splitmix
+from chronosift.llm.textops import PLACES, distinct_sorted, grams, mix, splitmix, word_hashes
 
 SHINGLE = 5
 #: Largest size in a band is so many times the smallest, about (4 / 3) ** 3.
 BAND_RATIO = 2.37
-#: Bands up to this size enumerate pairs of partitions, others single ones.
-PAIRS_UP_TO = 24
-#: Partitions in a band, as a share of its largest size.
-PARTITIONS = 0.4
+#: Bands up to these sizes have one first-level partition with pairs of many second-level ones, or pairs of three; larger ones single partitions.
+PAIRS_UP_TO, TRIPLES_UP_TO = 24, 256
+#: Single partitions in a band, as a share of its largest size; first-level partitions of three, as a share of the possible differences.
+PARTITIONS, TRIPLES = 0.4, 0.5
 #: Documents in SAMPLE_OF among which a shingle is common from COMMON_FROM on; so many are remembered, the commonest first.
 SAMPLE_OF, COMMON_FROM, COMMON = 32, 4, 200_000
 #: Set hashes of which a task remembers that it has given their signatures.
 SEEN = 100_000
+#: Signatures that a task gathers before it sends them; of a bucket among them so many nodes (2 at least) meet the others, the rest is dealt out by node.
+GATHER, LOCAL = 250_000, 8
+#: Signatures a task sorts, and shingles whose signatures are found at once, on average; both bound a worker's memory.
+SORTED, AT_ONCE = 600_000, 60_000
+#: A bucket with more rows than this is joined with what is known of it by a broadcast of such buckets.
+HOT = 1024
 
 
-def shingle_set(hasher: WordHasher, raw: bytes | None, n: int = SHINGLE) -> np.ndarray:
-    """Ascending distinct shingle hashes of a text; a text of fewer than n words is one shingle."""
-    words = raw.lower().split() if raw else []
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = hasher.of(words)
-    return np.unique(grams(h, min(n, len(h))))
+def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the ascending distinct shingle hashes; a text of fewer than n words is one shingle."""
+    h, at = word_hashes(texts)
+    whole = grams(h, n)
+    at = at.tolist()
+    return [distinct_sorted(whole[a : b - n + 1]) if b - a >= n else grams(h[a:b], b - a) if b > a else whole[:0] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -77,65 +91,108 @@ def set_hash(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
-def largest_partner(size: int) -> int:
+def largest_partner(size):
     return 4 * size // 3
 
 
-def differences(size: int) -> int:
+def differences(size):
     """Most differences of a set of this size from one similar to it."""
     return (size + largest_partner(size)) // 7
 
 
+@dataclass(frozen=True)
 class Band:
-    """Signatures of the sets that meet in one band of sizes."""
+    """How the sets that meet in one band of sizes are partitioned: ``first`` partitions of ``second`` each, of which ``subset`` are taken together."""
+
+    low: int
+    high: int
+    first: int
+    second: int
+    subset: int
 
-    def __init__(self, number: int, low: int, high: int):
-        self.number, self.low, self.high = number, low, high
+    @classmethod
+    def of(cls, low: int, high: int) -> Band:
         most = differences(high)
-        self.subset = 2 if high <= PAIRS_UP_TO else 1
-        self.parts = most + 3 if self.subset == 2 else max(int(PARTITIONS * high) + 1, most + 2)
-        self.edges = (np.arange(1, self.parts, dtype=np.float64) / self.parts * 2.0**64).astype(np.uint64)
-        self.salt = mix(np.arange(self.parts, dtype=np.uint64) * PLACES[7] + np.uint64(splitmix(number)))
+        if high <= PAIRS_UP_TO:
+            return cls(low, high, 1, most + 3, 2)
+        if high <= TRIPLES_UP_TO:
+            return cls(low, high, max(int(TRIPLES * most) + 1, most // 2 + 1), 3, 2)
+        return cls(low, high, max(int(PARTITIONS * high) + 1, most + 2), 1, 1)
+
+    @property
+    def parts(self) -> int:
+        return self.first * self.second
+
+    @property
+    def given(self) -> int:
+        """Signatures of a set, if it gave all."""
+        return self.first * comb(self.second, self.subset)
 
     def needed(self, k: int) -> int:
-        """Signatures of which one at least is shared by sets with k differences at most."""
-        return comb(self.parts, self.subset) - comb(max(0, self.parts - k), self.subset) + 1
-
-    def signatures(self, s: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """The signatures of greatest weight that suffice for a set; common tells which of its shingles are."""
-        cut = np.concatenate([[0], np.searchsorted(s, self.edges), [len(s)]])
-        content = np.diff(np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(s ^ PLACES[9]))])[cut])
-        count = np.diff(cut)
-        rare = count - np.diff(np.concatenate([[0], np.cumsum(common)])[cut])
-        sig = mix(content ^ self.salt)
-        if self.subset == 2:
-            i, j = np.triu_indices(self.parts, 1)
-            sig, count, rare = mix(sig[i] * PLACES[10] + sig[j]), count[i] + count[j], rare[i] + rare[j]
-        need = self.needed(differences(len(s)))
-        if need >= len(sig):
-            return sig
-        weight = (np.minimum(rare, 15).astype(np.uint64) << np.uint64(60)) | (np.minimum(count, 15).astype(np.uint64) << np.uint64(56)) | (sig >> np.uint64(8))
-        return sig[np.argpartition(weight, len(sig) - need)[len(sig) - need :]]
-
-
-class Bands:
-    """Bands of sizes, made as far as sizes go."""
-
-    def __init__(self):
-        self.highs, self.made, self.next_low = [2], [None], 3
-
-    def at(self, size: int) -> int:
-        while self.highs[-1] < size:
-            high = int(self.next_low * BAND_RATIO)
-            self.made.append(Band(len(self.made), self.next_low, high))
-            self.highs.append(high)
-            self.next_low = high + 1
-        return bisect_left(self.highs, size)
-
-    def signatures(self, s: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
-        """A set's signatures in its own band and, if it can have a larger partner there, the next. Sets of 1 or 2 are similar to equal ones only."""
-        own, most = self.at(len(s)), self.at(largest_partner(len(s)))
-        return [self.made[i].signatures(s, common) for i in range(own, most + 1) if self.made[i] is not None]
+        """Signatures of which one at least is shared by sets with k differences at most.
+
+        The differences touch most subsets if they are spread evenly over the
+        first-level partitions: each further one there touches fewer new ones.
+        """
+        each, more = divmod(min(k, self.parts), self.first)
+        touched = [comb(self.second, self.subset) - comb(max(0, self.second - j), self.subset) for j in (each, each + 1)]
+        return (self.first - more) * touched[0] + more * touched[1] + 1
+
+
+def _bands(up_to: int = 1 << 40) -> list[Band]:
+    low, out = 3, []
+    while low <= up_to:
+        high = int(low * BAND_RATIO)
+        out.append(Band.of(low, high))
+        low = high + 1
+    return out
+
+
+BANDS = _bands()
+_HIGHS = np.array([b.high for b in BANDS])
+
+
+def _picked(weight: np.ndarray, need: int) -> np.ndarray:
+    return np.argpartition(weight, len(weight) - need)[len(weight) - need :] if need < len(weight) else np.arange(len(weight))
+
+
+def signatures_of(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets of 3 shingles or more (smaller ones are similar to equal ones only), and the place of each one's set.
+
+    common has the shingles that many sets have, ascending.
+    """
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    start = np.concatenate([[0], np.cumsum(size)])
+    x = np.concatenate([np.empty(0, dtype=np.uint64), *sets])
+    rare = np.ones(len(x), dtype=bool)
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] != x
+    content = mix(x ^ PLACES[9])
+    own, next_ = np.searchsorted(_HIGHS, size), np.searchsorted(_HIGHS, largest_partner(size))
+    sigs, places = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    for number in np.unique(np.concatenate([own, next_])).tolist():
+        band, who = BANDS[number], np.flatnonzero((own == number) | (next_ == number))
+        n = size[who]
+        # All elements of these sets, and the second-level partition (of all sets') each is in.
+        at = np.repeat(start[who] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        slot = (((x[at] >> np.uint64(32)) * np.uint64(band.parts)) >> np.uint64(32)).astype(np.int64) + np.repeat(np.arange(len(who)) * band.parts, n)
+        shape = (len(who), band.first, band.second)
+        count = np.bincount(slot, minlength=len(who) * band.parts)
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(content[at])])[np.concatenate([[0], np.cumsum(count)])]
+        salt = mix(np.arange(band.parts, dtype=np.uint64) * PLACES[7] + np.uint64(splitmix(number + 1)))
+        one = mix(np.diff(sums).reshape(shape) ^ salt.reshape(shape[1:]))
+        count, few = count.reshape(shape), np.bincount(slot[rare[at]], minlength=len(who) * band.parts).reshape(shape)
+        if band.subset == 2:
+            i, j = np.array(list(combinations(range(band.second), 2))).T
+            one, count, few = mix(one[..., i] * PLACES[10] + one[..., j]), count[..., i] + count[..., j], few[..., i] + few[..., j]
+        one = one.reshape(len(who), -1)
+        weight = (np.minimum(few, 15).astype(np.uint64) << np.uint64(60)) | (np.minimum(count, 15).astype(np.uint64) << np.uint64(56))
+        weight = weight.reshape(one.shape) | (one >> np.uint64(8))
+        for row, (k, w) in enumerate(zip(who.tolist(), weight, strict=True)):
+            found = one[row][_picked(w, band.needed(differences(len(sets[k]))))]
+            sigs.append(found)
+            places.append(np.full(len(found), k, dtype=np.int64))
+    return np.concatenate(sigs), np.concatenate(places)
 
 
 # --- distributed steps ---------------------------------------------------------------------------
@@ -149,63 +206,128 @@ def text_hash(text_col: str) -> Column:
 def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, h (the hash of the text), n_shingles and k, the hash of the set (null if it is empty)."""
 
-    def kernel(batches: Iterator[list[bytes | None]]) -> Iterator[list[pa.Array]]:
-        hasher = WordHasher()
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         for texts in batches:
-            found = [shingle_set(hasher, t) for t in texts]
+            found = shingle_sets(texts)
             yield [pa.array([len(s) for s in found], type=pa.int64()), pa.array([set_hash(s) if len(s) else None for s in found], type=pa.int64())]
 
     fields = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("k", T.LongType())])
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(text_col).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    return map_text(rows, "t", fields, kernel, ["doc_id", "h"])
+    return map_column(rows, "t", fields, kernel, ["doc_id", "h"])
 
 
 def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     """Ascending hashes of shingles that many documents have, from one document in SAMPLE_OF (by the hash of its text)."""
     part = docs.filter(F.pmod(F.xxhash64(F.lit(11), F.col(f"`{text_col}`").cast("string")), F.lit(SAMPLE_OF)) == 0)
 
-    def kernel(batches: Iterator[list[bytes | None]]) -> Iterator[list[pa.Array]]:
-        hasher = WordHasher()
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         for texts in batches:
-            yield [pa.array([shingle_set(hasher, t).astype(np.int64) for t in texts], type=pa.list_(pa.int64()))]
+            yield [pa.array([s.astype(np.int64) for s in shingle_sets(texts)], type=pa.list_(pa.int64()))]
 
-    found = map_text(part, text_col, T.StructType([T.StructField("s", T.ArrayType(T.LongType()))]), kernel, [])
+    found = map_column(part, text_col, T.StructType([T.StructField("s", T.ArrayType(T.LongType()))]), kernel, [])
     often = found.select(F.explode("s").alias("s")).groupBy("s").count().filter(F.col("count") >= COMMON_FROM)
     rows = often.orderBy(F.col("count").desc(), "s").limit(COMMON).select("s").toPandas()
     return np.sort(rows["s"].to_numpy(dtype=np.int64).astype(np.uint64))
 
 
+#: The lowest bit of a bucket's number tells rows that are dealt out by node.
+SPREAD = np.int64(1)
+
+
+def _distinct(bucket: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (bucket, k) in the order of buckets, the number of nodes of each one's bucket, and its place there."""
+    order = np.lexsort((k, bucket))
+    bucket, k = bucket[order], k[order]
+    new = np.ones(len(bucket), dtype=bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (k[1:] != k[:-1])
+    bucket, k = bucket[new], k[new]
+    first = np.ones(len(bucket), dtype=bool)
+    first[1:] = bucket[1:] != bucket[:-1]
+    at = np.flatnonzero(first)
+    n = np.diff(np.append(at, len(bucket)))
+    return bucket, k, np.repeat(n, n), np.arange(len(bucket)) - np.repeat(at, n)
+
+
+def _groups(found: dict[int, np.ndarray]) -> Iterator[dict[int, np.ndarray]]:
+    """The sets in groups of about AT_ONCE shingles."""
+    group, size = {}, 0
+    for k, s in found.items():
+        group[k] = s
+        size += len(s)
+        if size >= AT_ONCE:
+            yield group
+            group, size = {}, 0
+    if group:
+        yield group
+
+
 def signatures(docs: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
-    """(bucket, k) rows of all sets, the bucket being a signature; a task gives those of a set it remembers once only."""
+    """(bucket, k) of all sets, the bucket being a signature without its lowest bit; a task gives those of a set it remembers once only.
+
+    Of a bucket that has more than LOCAL nodes among those gathered, the others
+    have that bit set (SPREAD).
+    """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(common)
     body = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
 
+    def sent(buckets: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, k, _, place = _distinct(np.concatenate(buckets) & ~SPREAD, np.concatenate(keys))
+        order = np.argsort(k, kind="stable")  # rows with one k side by side take less room
+        return pa.RecordBatch.from_arrays([pa.array((bucket | np.where(place >= LOCAL, SPREAD, 0))[order]), pa.array(k[order])], names=["bucket", "k"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, bands, hasher, seen = shared.value, Bands(), WordHasher(), set()
+        common, seen, buckets, keys, held = shared.value, set(), [], [], 0
         for b in batches:
-            sigs, keys, counts = [np.empty(0, dtype=np.uint64)], [], []
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                s = shingle_set(hasher, t)
-                if len(s) < 3 or (k := set_hash(s)) in seen:
-                    continue
-                if len(seen) < SEEN:
-                    seen.add(k)
-                at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
-                parts = bands.signatures(s, common[at] == s if len(common) else np.zeros(len(s), dtype=bool))
-                sigs += parts
-                keys.append(k)
-                counts.append(sum(map(len, parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.repeat(np.array(keys, dtype=np.int64), counts))], names=["bucket", "k"])
+            new: dict[int, np.ndarray] = {}
+            for s in shingle_sets(b.column(0)):
+                if len(s) >= 3 and (k := set_hash(s)) not in seen:
+                    new[k] = s
+                    if len(seen) < SEEN:
+                        seen.add(k)
+            for group in _groups(new):
+                sig, place = signatures_of(list(group.values()), common)
+                buckets.append(sig.astype(np.int64))
+                keys.append(np.array(list(group), dtype=np.int64)[place])
+                held += len(sig)
+                if held >= GATHER:
+                    yield sent(buckets, keys)
+                    buckets, keys, held = [], [], 0
+        if held:
+            yield sent(buckets, keys)
 
     return body.mapInArrow(run, "bucket long, k long")
 
 
+def shared_buckets(rows: DataFrame, partitions: int) -> DataFrame:
+    """(bucket, k, n) of the rows of buckets that have two nodes or more; n is the bucket's nodes as far as one task saw them.
+
+    A task gets the rows of its buckets but the spread ones, whose buckets have
+    more nodes than one anyway.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if parts:
+            bucket, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            met = (bucket & SPREAD) == SPREAD
+            spread = [bucket[met] & ~SPREAD, k[met], np.full(int(met.sum()), LOCAL, dtype=np.int64)]
+            bucket, k, n, _ = _distinct(bucket[~met], k[~met])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y[n > 1]])) for x, y in zip(spread, (bucket, k, n), strict=True)], names=["bucket", "k", "n"])
+
+    key = F.when(F.col("bucket").bitwiseAND(F.lit(1)) == 1, F.col("k")).otherwise(F.col("bucket"))
+    return rows.repartition(partitions, key).mapInArrow(run, "bucket long, k long, n long")
+
+
 #: A side of at most so many (long, long) rows, some 16 MB, is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Buckets of at most so many nodes have all their open pairs compared; those of larger ones are sifted first.
 LIGHT = 16
-#: Sifted pairs are compared once there are at most so many a row; before that, nodes with pivots.
-PAIRS_A_ROW = 20
+#: Open pairs of sifted buckets compared at once: so many a row, or this many if there are few rows.
+PAIRS_A_ROW, PAIRS_AT_ONCE = 20, 200_000
+#: Partners of a node that are compared in one part.
+PARTNERS = 1024
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -223,18 +345,17 @@ def node_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("t"))
     d = texts.join(_small(wanted.filter("rep IS NOT NULL").select("k", "rep")), "rep").select("k", "t")
     unnamed = wanted.filter("rep IS NULL").select("k", "h")
-    if unnamed.limit(1).count():
+    if not unnamed.isEmpty():
         rows = texts.filter("rep IS NULL").select("t", text_hash("t").alias("h"))
         d = d.unionByName(rows.join(_small(unnamed), "h").select("k", "t").distinct())
 
-    def kernel(batches: Iterator[list[bytes | None]]) -> Iterator[list[pa.Array]]:
-        hasher = WordHasher()
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         for texts in batches:
-            found = [shingle_set(hasher, t) for t in texts]
+            found = shingle_sets(texts)
             yield [pa.array([set_hash(s) if len(s) else None for s in found], type=pa.int64()), pa.array([s.tobytes() for s in found], type=pa.binary())]
 
     fields = T.StructType([T.StructField("own", T.LongType()), T.StructField("s", T.BinaryType())])
-    return map_text(d, "t", fields, kernel, ["k"]).filter("k = own").select("k", "s")
+    return map_column(d, "t", fields, kernel, ["k"]).filter("k = own").select("k", "s")
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -248,12 +369,19 @@ def similar(a: bytes, b: bytes) -> bool:
     return 100 * both >= 75 * (len(x) + len(y) - both)
 
 
-def linked(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar. Only sets of nodes in pairs are dealt out."""
-    few = _small(pairs)
-    left = sets_of.select(F.col("k").alias("a"), F.col("s").alias("sa")).join(_small(pairs.select("a").distinct()), "a", "left_semi")
-    right = sets_of.select(F.col("k").alias("b"), F.col("s").alias("sb")).join(few, "b")
-    both = right.join(left, "a").select("a", "b", "sa", "sb")
+def linked(pairs: DataFrame, sets_of: DataFrame, few: bool, hot: bool) -> DataFrame:
+    """The pairs (a, b) that are similar. Only sets of nodes in pairs are dealt out; if some node a is hot, its partners in parts of PARTNERS.
+
+    few: there are at most BROADCAST_ROWS pairs.
+    """
+    small = F.broadcast if few else lambda df: df
+    parted = pairs.withColumn("part", F.lit(0).cast("long"))
+    if hot:
+        many = pairs.groupBy("a").count().filter(F.col("count") > PARTNERS).select(F.col("a").alias("hot"), F.ceil(F.col("count") / PARTNERS).alias("of"))
+        parted = pairs.join(many, pairs["a"] == F.col("hot"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("of", F.lit(1))).alias("part"))
+    left = sets_of.select(F.col("k").alias("a"), F.col("s").alias("sa")).join(small(parted.select("a", "part").distinct()), "a")
+    right = sets_of.select(F.col("k").alias("b"), F.col("s").alias("sb")).join(small(parted), "b")
+    both = right.join(left, ["a", "part"]).select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,49 +391,60 @@ def linked(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-# Rows (bucket, k, comp): nodes of a bucket, and the components these are in so far.
+# Rows (bucket, k, n, comp): nodes of a bucket, the bucket's size, and the components the nodes are in so far.
+
+
+def _by_bucket(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows joined with known, a row for a bucket at most, so that no task gets a hot bucket's rows; there is one hot bucket for each HOT rows at most."""
+    hot = rows.groupBy("bucket").count().filter(F.col("count") > HOT).select("bucket")
+    n = hot.limit(BROADCAST_ROWS + 1).count()
+    if not 0 < n <= BROADCAST_ROWS:
+        return rows.join(known, "bucket")
+    hot = F.broadcast(hot)
+    cold = rows.join(hot, "bucket", "left_anti").join(known, "bucket")
+    return cold.unionByName(rows.join(F.broadcast(known.join(hot, "bucket", "left_semi")), "bucket").select(*cold.columns))
 
 
 def _star(rows: DataFrame) -> DataFrame:
     """For each node the pair with one pivot: of its buckets' heaviest nodes in another component the heaviest. A node weighs as much as its buckets have nodes."""
-    w = Window.partitionBy("bucket")
-    sized = rows.withColumn("n", F.count("*").over(w))
-    weight = sized.groupBy("k").agg(F.sum("n").alias("weight"))
-    heaviest = sized.join(weight, "k").withColumn("top", F.max(F.struct("weight", "k", "comp")).over(w)).filter("comp <> top.comp")
-    best = heaviest.groupBy("k").agg(F.max(F.struct("top.weight", "top.k")).alias("p"))
+    weight = rows.groupBy("k").agg(F.sum("n").alias("weight"))
+    weighed = rows.join(weight, "k")
+    top = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "k", "comp")).alias("top"))
+    best = _by_bucket(rows, top).filter("comp <> top.comp").groupBy("k").agg(F.max(F.struct("top.weight", "top.k")).alias("p"))
     return best.select(F.least("k", "p.k").alias("a"), F.greatest("k", "p.k").alias("b")).distinct()
 
 
 def _every(rows: DataFrame) -> DataFrame:
-    """All pairs of nodes of a bucket in different components."""
+    """All pairs of nodes of a bucket in different components; for small buckets."""
     x, y = rows.select("bucket", F.col("k").alias("a"), F.col("comp").alias("ca")), rows.select("bucket", F.col("k").alias("b"), F.col("comp").alias("cb"))
     return x.join(y, "bucket").filter("a < b AND ca <> cb").select("a", "b").distinct()
 
 
-def _every_sifted(rows: DataFrame) -> DataFrame:
-    """Pairs of sifted rows in different components whose shared shingle can be their first.
+def _every_sifted(rows: DataFrame, part: int, of: int) -> DataFrame:
+    """Pairs of sifted rows in different components whose shared shingle can be their first; the pairs of one in so many nodes a.
 
     Similar sets of sa and sb shingles share 3 (sa + sb) / 7 at least, so that
     the first one they share has as many places from it to the end in both.
     """
     x, y = (rows.select("bucket", F.col("k").alias(n), F.col("comp").alias(f"c{n}"), F.col("size").alias(f"s{n}"), F.col("place").alias(f"p{n}")) for n in ("a", "b"))
-    both = x.join(y, "bucket").filter("a < b AND ca <> cb AND 4 * least(sa, sb) >= 3 * greatest(sa, sb)")
+    both = x.filter(F.pmod(F.xxhash64("a"), F.lit(of)) == part).join(y, "bucket").filter("a < b AND ca <> cb AND 4 * least(sa, sb) >= 3 * greatest(sa, sb)")
     return both.filter("least(sa - pa, sb - pb) + 1 >= (3 * (sa + sb) + 6) div 7").select("a", "b").distinct()
 
 
-def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(buckets: DataFrame, links: _Links) -> DataFrame:
     """The rows of buckets (bucket, k, any more) whose nodes are in two components or more, with comp and the bucket's nodes n."""
     own = [c for c in buckets.columns if c not in ("comp", "n")]
+    labels = links.small(links.labels)
     rows = buckets.select(*own).join(labels, F.col("k") == labels["node"], "left").select(*own, F.coalesce(labels["comp"], "k").alias("comp"))
-    w = Window.partitionBy("bucket")
-    return rows.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("n", F.count("*").over(w)).filter("lo < hi").select(*own, "comp", "n")
+    still = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("bucket", "n")
+    return _by_bucket(rows, still).select(*own, "comp", "n")
 
 
-def _too_many(rows: DataFrame) -> bool:
-    """Whether rows have more open pairs than may be compared at once."""
+def _open_pairs(rows: DataFrame) -> tuple[int, int]:
+    """Rows, and pairs in different components of a bucket."""
     per = rows.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
     n, pairs = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-    return (pairs or 0) > PAIRS_A_ROW * (n or 0)
+    return int(n or 0), int(pairs or 0)
 
 
 def _sifted(nodes_: DataFrame, sets_of: DataFrame) -> DataFrame:
@@ -323,42 +462,60 @@ def _sifted(nodes_: DataFrame, sets_of: DataFrame) -> DataFrame:
             keys = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(s) for s in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.int64), *found])), pa.array(keys, type=pa.int64()), pa.array(np.repeat([len(s) for s in found], [len(s) for s in found]).astype(np.int64))], names=["bucket", "k", "n"])
 
-    rows = sets_of.join(_small(nodes_.select("k")), "k", "left_semi").select("k", "s").mapInArrow(run, "bucket long, k long, n long")
-    spread = rows.groupBy("bucket").agg(F.count("*").alias("df"))
-    ranked = rows.join(spread, "bucket").withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("df", "bucket")))
-    return ranked.filter("place <= n - (3 * n + 3) div 4 + 1 AND df > 1").select("bucket", "k", F.col("n").alias("size"), "place")
+    rows = sets_of.join(nodes_, "k", "left_semi").select("k", "s").mapInArrow(run, "bucket long, k long, n long")
+    spread = rows.groupBy("bucket").agg(F.count("*").alias("df")).filter("df > 1")
+    own = rows.join(spread, "bucket")
+    # A shingle of one node alone takes a place, but is no bucket.
+    alone = rows.groupBy("k").agg(F.count("*").alias("all")).join(own.groupBy("k").agg(F.count("*").alias("shared")), "k").select("k", (F.col("all") - F.col("shared")).alias("before"))
+    ranked = own.join(alone, "k").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("k").orderBy("df", "bucket")))
+    return ranked.filter("place <= n - (3 * n + 3) div 4 + 1").select("bucket", "k", F.col("n").alias("size"), "place")
 
 
 class _Links:
     """Components so far, and the pairs that were compared for them."""
 
     def __init__(self, sets_of: DataFrame, sizes: DataFrame):
-        self.sets_of, self.sizes = sets_of, sizes
+        self.sets_of = sets_of
+        self.few = sizes.count() <= BROADCAST_ROWS
+        self.sizes = self.small(sizes)
         self.labels = sizes.sparkSession.createDataFrame([], "node long, comp long")
         self.tested = sizes.sparkSession.createDataFrame([], "a long, b long")
+        self.compared = 0
+
+    def small(self, of_nodes: DataFrame) -> DataFrame:
+        """A frame with a row of integers for each node at most, broadcast if there are few nodes."""
+        return F.broadcast(of_nodes) if self.few else of_nodes
 
     def compare(self, pairs: DataFrame) -> bool:
         """Compare pairs of sizes that allow it and were not compared yet; whether a link was found."""
         na, nb = self.sizes.select(F.col("k").alias("a"), F.col("n").alias("na")), self.sizes.select(F.col("k").alias("b"), F.col("n").alias("nb"))
-        fresh = pairs.join(self.tested, ["a", "b"], "left_anti").join(na, "a").join(nb, "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
-        fresh = settle(fresh, "pairs")
-        found = settle(linked(fresh, self.sets_of), "links")
-        self.tested = settle(self.tested.unionByName(fresh), "pairs")
-        some = found.limit(1).count() > 0
+        before = F.broadcast(self.tested) if self.compared <= BROADCAST_ROWS else self.tested
+        fresh = pairs.join(before, ["a", "b"], "left_anti") if self.compared else pairs
+        fresh = settle(fresh.join(na, "a").join(nb, "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b"), "pairs")
+        n, most = fresh.groupBy("a").count().agg(F.sum("count"), F.max("count")).first()
+        if not n:
+            forget(fresh)
+            return False
+        found = settle(linked(fresh, self.sets_of, n <= BROADCAST_ROWS, most > PARTNERS), "links")
+        before, self.tested = self.tested, settle(self.tested.unionByName(fresh), "pairs")
+        self.compared += n
+        some = not found.isEmpty()
         if some:
             self.labels = self._joined(found)
-        forget(fresh, found)
-        release(fresh.sparkSession)
+        forget(fresh, found, before)
+        release(self.sets_of.sparkSession)
         return some
 
     def _joined(self, links: DataFrame) -> DataFrame:
-        labels = self.labels
+        labels = self.small(self.labels)
         x, y = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
         e = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         top = connected(e).select(F.col("node").alias("n"), F.col("comp").alias("c"))
-        old = labels.join(top, labels["comp"] == top["n"], "left").select("node", F.coalesce("c", "comp").alias("comp"))
+        old = self.labels.join(self.small(top), self.labels["comp"] == top["n"], "left").select("node", F.coalesce("c", "comp").alias("comp"))
         new = top.join(labels.select("node"), top["n"] == F.col("node"), "left_anti").select(F.col("n").alias("node"), F.col("c").alias("comp"))
-        return settle(old.unionByName(new), "labels")
+        after = settle(old.unionByName(new), "labels")
+        forget(self.labels)
+        return after
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,34 +525,31 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The columns of components, and h, the hash of the row's text."""
+    spark = docs.sparkSession
     all_sets = settle(sets(docs, id_col, text_col), "sets")
     nodes = all_sets.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.max("n_shingles").alias("n"))
-    common = common_shingles(docs, id_col, text_col)
-    w = Window.partitionBy("bucket")
-    shared = signatures(docs, text_col, common).withColumn("lo", F.min("k").over(w)).withColumn("hi", F.max("k").over(w)).filter("lo < hi")
-    buckets = settle(shared.select("bucket", "k").distinct(), "buckets")
-    release(docs.sparkSession)
+    shingles = all_sets.agg(F.sum("n_shingles")).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // (2 * SORTED) + 1)  # a signature for two shingles at most
+    buckets = settle(shared_buckets(signatures(docs, text_col, common_shingles(docs, id_col, text_col)), partitions), "buckets")
+    release(spark)
     wanted = settle(buckets.select("k").distinct().join(nodes, "k"), "nodes")
     found = node_sets(docs, wanted.select("k", "rep", "h"), id_col, text_col)
-    again = all_sets.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    sets_of = settle(found.dropDuplicates(["k"]) if again else found, "node-sets")
+    once = all_sets.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    sets_of = settle(found if once else found.dropDuplicates(["k"]), "node-sets")
 
     links = _Links(sets_of, wanted.select("k", "n"))
     links.compare(_star(buckets.withColumn("comp", F.col("k"))))
-    open_ = settle(_open(buckets, links.labels), "open")
+    open_ = settle(_open(buckets, links), "open")
     forget(buckets)
     heavy = open_.filter(F.col("n") > LIGHT).select("k").distinct()
-    if heavy.limit(1).count():
-        sifted = settle(_sifted(heavy, sets_of), "sifted")
-        release(docs.sparkSession)
-        rows = settle(_open(sifted, links.labels), "open")
-        while _too_many(rows) and links.compare(_star(rows)):
-            rows = settle(_open(rows, links.labels), "open")
-        links.compare(_every_sifted(rows))
-        forget(sifted, rows)
-    links.compare(_every(_open(open_.filter(F.col("n") <= LIGHT), links.labels)))
+    if not heavy.isEmpty():
+        sifted = settle(_sifted(links.small(heavy), sets_of), "sifted")
+        release(spark)
+        _resolve(sifted, links)
+        forget(sifted)
+    links.compare(_every(_open(open_.filter(F.col("n") <= LIGHT), links)))
     forget(open_, sets_of, links.tested)
-    release(docs.sparkSession)
+    release(spark)
 
     labels = links.labels
     lowest = nodes.join(labels, nodes["k"] == labels["node"], "left").select("k", F.coalesce("comp", "k").alias("comp"), "rep")
@@ -405,6 +559,21 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _resolve(sifted: DataFrame, links: _Links) -> None:
+    """Compare all pairs that sifted buckets still leave open: with pivots as long as that finds links and the pairs are many, then in slices."""
+    while True:
+        rows = settle(_open(sifted, links), "open")
+        n, pairs = _open_pairs(rows)
+        at_once = max(PAIRS_AT_ONCE, PAIRS_A_ROW * n)
+        if pairs <= at_once or not links.compare(_star(rows)):
+            break
+        forget(rows)
+    slices = -(-pairs // at_once)
+    for i in range(slices):
+        links.compare(_every_sifted(rows, i, slices))
+    forget(rows)
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those linked to a smaller identifier; of rows with one identifier and one text, one stays.
 

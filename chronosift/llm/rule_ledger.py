@@ -166,8 +166,9 @@ def passes(version: str, bits: str = "failed_bits") -> Column:
 
 def passing(docs: DataFrame, version: str, text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that pass a policy."""
-    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(f"`{text_col}`").alias("text"))
-    return ledger(body, ["own"]).filter(passes(version)).select("own.*")
+    own = {c: f"own{i}" for i, c in enumerate(docs.columns)}
+    body = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    return ledger(body, list(own.values()), own[text_col]).filter(passes(version)).select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def ablation(entries: DataFrame, version: str) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from chronosift.llm import partenum, queries
+from chronosift.llm import components, partenum, queries, textops
 from chronosift.llm.textops import splitmix
 from tests.llm import helpers
 
@@ -43,7 +44,6 @@ def brute(rows):
 @pytest.mark.parametrize("size", [3, 4, 6, 7, 9, 12, 17, 20, 24, 25, 40, 60, 100, 250])
 def test_sets_at_the_threshold_share_a_signature(size):
     rng = random.Random(size)
-    bands = partenum.Bands()
     for trial in range(150):
         other = rng.randint(size, partenum.largest_partner(size))
         both = -(-3 * (size + other) // 7)
@@ -51,10 +51,28 @@ def test_sets_at_the_threshold_share_a_signature(size):
         h = lambda x: np.sort(np.array([splitmix(i) for i in x], dtype=np.uint64))
         a, b = h(ids[:size]), h(ids[:both] + ids[size:])
         assert len(a) == size and len(b) == other
-        hot = set(h(ids[:both] if trial % 3 == 0 else ids[: both // 2] if trial % 3 == 1 else []).tolist())
-        flags = lambda s: np.array([v in hot for v in s.tolist()], dtype=bool)
-        x, y = (set(np.concatenate(bands.signatures(s, flags(s))).tolist()) for s in (a, b))
+        common = h(ids[:both] if trial % 3 == 0 else ids[: both // 2] if trial % 3 == 1 else [])
+        third = h(ids[:3])
+        sig, place = partenum.signatures_of([a, third, b], common)
+        x, y = (set(sig[place == i].tolist()) for i in (0, 2))
         assert x & y
+        alone, _ = partenum.signatures_of([b], common)
+        assert set(alone.tolist()) == y
+
+
+def test_bands_enumerate_enough():
+    """More signatures than the possible differences can touch, whichever they are, and no more than there are."""
+    for band in partenum.BANDS[:12]:
+        most = partenum.differences(band.high)
+        assert band.needed(most) <= band.given
+        if band.parts < 12:
+            from itertools import combinations
+
+            groups = [range(i * band.second, (i + 1) * band.second) for i in range(band.first)]
+            subsets = [set(c) for g in groups for c in combinations(g, band.subset)]
+            for k in range(min(most, 4) + 1):
+                touched = max(sum(1 for s in subsets if s & set(hit)) for hit in combinations(range(band.parts), k))
+                assert band.needed(k) == touched + 1
 
 
 def near_copies():
@@ -85,8 +103,13 @@ def test_near_copies_equal_brute_force(spark):
 
 @pytest.mark.parametrize("pairs_a_row", [0, 1000])
 def test_sifting_equals_brute_force(spark, monkeypatch, pairs_a_row):
-    """With all buckets sifted, pivots preferred as long as they help or not, and sides joined by shuffles."""
+    """With all buckets sifted, pivots preferred as long as they help and then slices, or all at once; sides joined by shuffles, buckets spread and partners in parts."""
     monkeypatch.setattr(partenum, "PAIRS_A_ROW", pairs_a_row)
+    monkeypatch.setattr(partenum, "PAIRS_AT_ONCE", 40)
+    monkeypatch.setattr(partenum, "GATHER", 100)
+    monkeypatch.setattr(partenum, "LOCAL", 2)
+    monkeypatch.setattr(partenum, "PARTNERS", 1)
+    monkeypatch.setattr(components, "ONE_TASK", 0)
     monkeypatch.setattr(partenum, "LIGHT", 1)
     monkeypatch.setattr(partenum, "BROADCAST_ROWS", 0)
     rows = near_copies()[:60]
@@ -120,3 +143,25 @@ def test_links_through_rows_without_identifier(spark):
     assert got == sorted(want, key=str)
     kept = sorted(((r.doc_id, r.text) for r in partenum.one_of_each(docs).collect()), key=str)
     assert kept == sorted([rows[0], rows[5], rows[6], rows[7]], key=str)
+
+
+def test_words_of_a_batch(monkeypatch):
+    """Texts of any length, cut into pieces anywhere, give the same hashes; equal words equal ones."""
+    rng, known = random.Random(0), {}
+    for _ in range(150):
+        texts = [rng.choice([None, "", "".join(rng.choice("abAB \n\t\x0b\x1cé\U0001f600") for _ in range(rng.randrange(60)))]) for _ in range(rng.randrange(6))]
+        for piece in (3, 7, 1 << 18):
+            monkeypatch.setattr(textops, "PIECE", piece)
+            h, at = textops.word_hashes(pa.array(texts, type=pa.string()))
+            words = [(t or "").encode().lower().split() for t in texts]
+            assert np.diff(at).tolist() == [len(w) for w in words]
+            for w, x in zip((w for ws in words for w in ws), h.tolist(), strict=True):
+                assert known.setdefault(w, x) == x
+    assert len(set(known.values())) == len(known)
+
+
+def test_texts_of_megabytes(spark):
+    a = helpers.sentence(31, 250_000)
+    rows = [(1, a), (2, a + " more"), (3, "x" * 3_000_000), (4, "x" * 3_000_000 + " y"), (5, a[: len(a) // 2])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (len(brute_set(t)), {2: 1}.get(d, d)) for d, t in rows}
