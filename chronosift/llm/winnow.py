@@ -19,8 +19,10 @@ joined by a shuffle, and each document meets the items it shares one with.
 Cases: null texts have no words: nothing is hit, and an item of null text has no
 window. Items without identifier hit like others, but are not among the items
 listed. Rows with one identifier and one text are one document in the join and
-come back as often as they were; items with one identifier are one item. Empty
-tables on either side give no hits. Other columns are ignored.
+come back as often as they were; items with one identifier are one item. Of
+equal hashes in a run the rightmost is kept, on both sides. A text of any length
+is taken whole. Empty tables on either side give no hits. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,30 +36,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronosift.llm.common import free_name, map_text
-from chronosift.llm.textops import WordHasher, grams
+from chronosift.llm.common import free_name, map_column
+from chronosift.llm.textops import byte_map, grams, word_hashes
 
 WINDOW, GRAM = 10, 5
 #: Words of a benchmark whose index may be broadcast: some 50 MB.
 LIMIT_WORDS = 2_000_000
 
 
-def _table() -> bytes:
-    out = bytearray(b" " * 256)
-    for c in range(256):
-        if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80:
-            out[c] = c
-        elif 0x41 <= c <= 0x5A:
-            out[c] = c + 32
-    return bytes(out)
+#: Words are runs of digits, letters (A-Z put into lower case) and bytes beyond ASCII.
+WORDS = byte_map(bytes(c for c in range(256) if 0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80))
 
 
-#: A-Z to a-z; all that is no word character to a space.
-WORD_BYTES = _table()
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(WORD_BYTES).split() if text else []
+def hashes_of(texts: pa.Array) -> list[np.ndarray]:
+    """The word hashes of each text."""
+    h, at = word_hashes(texts, WORDS)
+    return [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -87,12 +81,11 @@ class Index:
     gram: int
 
     @classmethod
-    def of(cls, texts: list[tuple[object, bytes | None]], window: int = WINDOW, gram: int = GRAM) -> Index:
-        hasher, found, prints = WordHasher(), {}, [np.empty(0, dtype=np.uint64)]
+    def of(cls, texts: list[tuple[object, str | None]], window: int = WINDOW, gram: int = GRAM) -> Index:
+        found, prints = {}, [np.empty(0, dtype=np.uint64)]
         items = sorted({i for i, _ in texts if i is not None})
         rank = {x: k for k, x in enumerate(items)} | {None: len(items)}
-        for item, text in texts:
-            h = hasher.of(words_of(text))
+        for (item, _), h in zip(texts, hashes_of(pa.array([t for _, t in texts], type=pa.string())), strict=True):
             if not len(h):
                 continue
             length = min(window, len(h))
@@ -182,57 +175,51 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **optio
 
 
 def _broadcast(docs: DataFrame, items: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
-    rows = [(r["item"], r["text"].encode() if r["text"] is not None else None) for r in items.collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(Index.of(rows, window, gram))
+    shared = docs.sparkSession.sparkContext.broadcast(Index.of([(r["item"], r["text"]) for r in items.collect()], window, gram))
 
-    def kernel(batches: Iterator[list[bytes | None]]) -> Iterator[list[pa.Array]]:
-        index, hasher = shared.value, WordHasher()
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
+        index = shared.value
         for texts in batches:
             counts, spans, found = [], [], []
-            for t in texts:
-                words = words_of(t)
-                start, end, owners = index.match(hasher.of(words))
-                counts.append(len(words))
+            for h in hashes_of(texts):
+                start, end, owners = index.match(h)
+                counts.append(len(h))
                 spans.append(list(zip(start, end, strict=True)))
                 found.append(sorted(index.items[o] for o in owners))
             yield [pa.array(counts, type=pa.int64()), _spans(spans), pa.array(found, type=pa.list_(pa.string()))]
 
     fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
-    return map_text(docs, text_col, fields, kernel, [id_col])
+    return map_column(docs, text_col, fields, kernel, [id_col])
 
 
 def _fingerprints(df: DataFrame, text_col: str, window: int, gram: int, keep: list[str]) -> DataFrame:
-    """keep, n_words and fps: a text's distinct fingerprints, and the grams of every length under a window if it is an item."""
+    """keep, n_words and fps: a text's distinct fingerprints."""
 
-    def kernel(batches: Iterator[list[bytes | None]]) -> Iterator[list[pa.Array]]:
-        hasher = WordHasher()
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         for texts in batches:
             counts, prints = [], []
-            for t in texts:
-                h = hasher.of(words_of(t))
+            for h in hashes_of(texts):
                 g = grams(h, gram)
                 counts.append(len(h))
                 prints.append(np.unique(g[winnow(g, window - gram + 1)]).astype(np.int64).tolist())
             yield [pa.array(counts, type=pa.int64()), pa.array(prints, type=pa.list_(pa.int64()))]
 
     fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("fps", T.ArrayType(T.LongType()))])
-    return map_text(df, text_col, fields, kernel, keep)
+    return map_column(df, text_col, fields, kernel, keep)
 
 
 def _short_grams(df: DataFrame, text_col: str, lengths: list[int], keep: list[str], whole: bool) -> DataFrame:
     """keep and fps: hashes of all grams of the lengths; of the whole text only if whole."""
 
-    def kernel(batches: Iterator[list[bytes | None]]) -> Iterator[list[pa.Array]]:
-        hasher = WordHasher()
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         for texts in batches:
             prints = []
-            for t in texts:
-                h = hasher.of(words_of(t))
+            for h in hashes_of(texts):
                 use = [len(h)] if whole and len(h) in lengths else [] if whole else lengths
                 prints.append(np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *(grams(h, n) for n in use)])).astype(np.int64).tolist())
             yield [pa.array(prints, type=pa.list_(pa.int64()))]
 
-    return map_text(df, text_col, T.StructType([T.StructField("fps", T.ArrayType(T.LongType()))]), kernel, keep)
+    return map_column(df, text_col, T.StructType([T.StructField("fps", T.ArrayType(T.LongType()))]), kernel, keep)
 
 
 def _shuffled(docs: DataFrame, items: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
@@ -255,11 +242,10 @@ def _shuffled(docs: DataFrame, items: DataFrame, window: int, gram: int, id_col:
     both = pairs.join(item_rows, met).join(texts, (pairs["h"] == texts["h"]) & pairs["id"].eqNullSafe(texts["id"])).select(pairs["id"], pairs["h"], "item", "text", "doc_text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for b in batches:
             keep, spans = [], []
-            for i, (item, text, doc) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
-                start, end, owners = Index.of([(item, text.encode())], window, gram).match(hasher.of(words_of(doc.encode())))
+            for i, (item, text, h) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), hashes_of(b.column(4)), strict=True)):
+                start, end, owners = Index.of([(item, text)], window, gram).match(h)
                 if len(start):
                     keep.append(i)
                     spans.append(list(zip(start, end, strict=True)))

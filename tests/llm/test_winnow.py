@@ -2,12 +2,12 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from chronosift.llm import queries, winnow
-from chronosift.llm.textops import WordHasher
 from tests.llm import helpers
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -38,8 +38,8 @@ def brute(text, items, window=10):
 def test_match_equals_brute_force(doc, items):
     text = " ".join(f"w{i}" for i in doc)
     rows = [(str(k), " ".join(f"w{i}" for i in it)) for k, it in enumerate(items)]
-    index = winnow.Index.of([(k, t.encode()) for k, t in rows])
-    start, end, owners = index.match(WordHasher().of(winnow.words_of(text.encode())))
+    index = winnow.Index.of(rows)
+    start, end, owners = index.match(winnow.hashes_of(pa.array([text]))[0])
     hit = [i for a, b in zip(start, end, strict=True) for i in range(a, b)]
     n, want, found = brute(text, rows)
     assert (n, hit, sorted(index.items[o] for o in owners)) == (len(doc), want, found)
