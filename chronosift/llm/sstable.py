@@ -14,9 +14,14 @@ of both. A lookup reads the footer, filter and index, then one block by binary
 search.
 
 Keys are document identifiers as 8 bytes whose byte order is the integers'
-order (a null identifier is the empty key, before all others). Values are token
-ids, 2 or 4 bytes each, as the footer tells. Documents with the same
-identifier are kept, ordered by a hash of their text.
+order. Values are token ids, 2 or 4 bytes each, as the footer tells.
+
+Cases: identifiers are integers (others stop the query, as their order would
+not be the keys'); a null identifier is the empty key, before all others;
+documents with the same identifier, repeated rows too, are all kept, ordered by
+a hash of their text; a null or empty text has no ids but the end id; a text of
+any length is one entry, in a block of its own if it is long; an empty table
+has no shards; other columns are ignored.
 
 Writing is safe from lost executors: a task writes under a name of its own and
 renames at the end; a repeated task renames the same bytes into place.
@@ -234,13 +239,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, part
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
     ranged = rows.repartitionByRange(partitions, "id", "h").sortWithinPartitions("id", "h").select("id", "t")
-    tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, part = tokens.encoder(tokenizer), TaskContext.get().partitionId()
         id_bytes = 2 if enc.tok.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
+        tail = b"" if end_id is None else end_id.to_bytes(id_bytes, "little")
         fs, base = open_fs(folder)
         fs.create_dir(base)
         n, writer, stream, temp, size = 0, None, None, "", 0
@@ -259,15 +264,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, part
             return row
 
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for doc_id, value in zip(ids, enc.encode(b.column(1).cast(pa.binary()).to_pylist()), strict=True):
+            found, counts = enc.encode(b.column(1))
+            values, ends = found.astype(f"<u{id_bytes}").tobytes(), (np.cumsum(counts) * id_bytes).tolist()
+            for doc_id, at, end in zip(b.column(0).to_pylist(), [0, *ends], ends, strict=False):
                 if writer is None:
                     temp, size = f"{base}/.{part}-{uuid.uuid4().hex}", 0
                     stream = fs.open_output_stream(temp)
                     writer = ShardWriter(stream, id_bytes)
-                value += tail
-                if id_bytes == 2:
-                    value = np.frombuffer(value, dtype="<u4").astype("<u2").tobytes()
+                value = values[at:end] + tail
                 writer.add(key_of(doc_id), value)
                 size += len(value)
                 if size >= SHARD_BYTES:

@@ -1,99 +1,165 @@
-"""Encoding whole texts with the tokenizers library, remembering chunks seen before."""
+"""Encoding whole texts with the tokenizers library, remembering words seen before."""
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TAIL = b".,"
+#: Letters below are as old as to be letters for every version of Unicode; words with others are encoded whole.
+SETTLED = "\u0590"
+#: A longer chunk (scripts without spaces have sentences of one) is encoded, but not remembered.
+LONGEST = 64
+
+
+def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all runs, one run after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
+
+
+class Store:
+    """Words and their ids: a row for each word, the ids of all rows one after another."""
+
+    def __init__(self):
+        self.row: dict[bytes, int] = {b"": 0}
+        self.ids = np.empty(1 << 16, dtype=np.uint32)
+        self.start = np.zeros(1 << 14, dtype=np.int64)
+        self.length = np.zeros(1 << 14, dtype=np.int64)
+        self.n = 1
+        self.filled = 0
+
+    def add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Rows for new words, whose ids come one after another."""
+        rows = np.arange(self.n, self.n + len(words))
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.n + len(words) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.start[rows] = self.filled + np.cumsum(lengths) - lengths
+        self.length[rows] = lengths
+        self.n += len(words)
+        self.filled += len(ids)
+        self.row.update(zip(words, rows.tolist(), strict=True))
 
 
 class ChunkEncoder:
-    """Texts to token ids as little-endian uint32 bytes, with add_special_tokens off.
+    """Texts to token ids with add_special_tokens off.
 
     The tokenizer must never join what ASCII white space parts (its pre-tokenizer
-    drops white space) and must put letters into lower case. A text is then
-    encoded chunk by chunk, and a chunk met before is not encoded again. Of a new
-    chunk, letters before a tail of full stops and commas are a word of their
-    own, as for the pre-tokenizer. New words of letters are encoded many at once
-    and told apart by the vocabulary's word ends; should their number differ,
-    they are encoded one by one, as are all other chunks.
-
-    At most 2 * limit chunks are remembered: when the young generation is full
-    it becomes the old one, and what is still in use moves back.
+    drops white space) and must put letters into lower case. The texts of a
+    batch are cut at white space at once, and each distinct chunk is encoded
+    once. Letters before a tail of full stops and commas are a word of their
+    own, as for the pre-tokenizer, if the normalised word (composed, in lower
+    case) is all letters; such words are told from one another by the
+    vocabulary's word ends and encoded many at once, and if they are plain or
+    normalised already, without the normaliser and the pre-tokenizer's
+    patterns. All other chunks are encoded whole. Words met before are
+    remembered, at most ``limit`` and no long ones; then all are forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, batch: int = 512):
+    def __init__(self, path: str, limit: int = 200_000, batch: int = 512):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.limit, self.batch = limit, batch
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def _one_by_one(self, chunks: list[bytes]) -> None:
+        with open(path, encoding="utf-8") as f:
+            plain = json.load(f)
+        plain["normalizer"] = plain["post_processor"] = None
+        plain["added_tokens"] = []
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
+        self.store = Store()
+
+    def _whole(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, one after another, and their number for each."""
+        found = []
         for i in range(0, len(chunks), self.batch):
-            part = chunks[i : i + self.batch]
-            found = self.tok.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            for c, e in zip(part, found, strict=True):
-                self.young[c] = np.array(e.ids, dtype="<u4").tobytes()
+            found += [e.ids for e in self.tok.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks[i : i + self.batch]], add_special_tokens=False)]
+        return np.array([x for ids in found for x in ids], dtype=np.uint32), np.array([len(ids) for ids in found], dtype=np.int64)
 
-    def _words(self, words: list[bytes]) -> None:
-        """Encode words of letters in joined texts."""
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters in normal form, encoded in joined texts."""
         parts = [words[i : i + self.batch] for i in range(0, len(words), self.batch)]
-        found = self.tok.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)
+        found = self.plain.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)
+        ids, lengths = [np.empty(0, dtype=np.uint32)], [np.empty(0, dtype=np.int64)]
         for part, e in zip(parts, found, strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part) or ends[-1] != len(ids):
-                self._one_by_one(part)
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, (ends * 4).tolist(), strict=True):
-                self.young[w] = raw[at:end]
-                at = end
-
-    def _known(self, chunk: bytes) -> bool:
-        if chunk in self.young:
-            return True
-        if chunk in self.old:
-            self.young[chunk] = self.old[chunk]
-            return True
-        return False
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        words: dict[bytes, None] = {}
-        others: dict[bytes, None] = {}
-        whole: list[tuple[bytes, bytes, bytes]] = []
-        for c in chunks:
-            low = c.lower()
-            stem = low.rstrip(TAIL)
-            if stem.decode("utf-8", "replace").isalpha():
-                if not self._known(stem):
-                    words[stem] = None
-                tail = low[len(stem) :]
-                if tail and not self._known(tail):
-                    others[tail] = None
-                if stem != c:
-                    whole.append((c, stem, tail))
+            got = np.array(e.ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.ends[got]) + 1
+            if len(ends) == len(part) and ends[-1] == len(got):
+                n = np.diff(ends, prepend=0)
             else:
-                others[c] = None
-        self._one_by_one(list(others))
-        self._words(list(words))
-        for c, stem, tail in whole:
-            self.young[c] = self.young[stem] + (self.young[tail] if tail else b"")
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text; a null text has none."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        split = [t.split() if t else [] for t in texts]
-        young = self.young
-        missing = [w for w in set().union(*split) if w not in young and not self._known(w)]
-        self._learn(missing)
-        return [b"".join(map(young.__getitem__, words)) for words in split]
+                got, n = self._whole(part)
+            ids.append(got)
+            lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _split(self, chunk: bytes) -> tuple[bytes, bytes]:
+        """A chunk as a word of letters in normal form and its tail; (b"", chunk) if it must be encoded whole."""
+        if chunk.isascii():
+            low = chunk.lower()
+            stem = low.rstrip(TAIL)
+            return (stem, low[len(stem) :]) if stem.isalpha() else (b"", chunk)
+        stem = chunk.rstrip(TAIL)
+        try:
+            word = unicodedata.normalize("NFC", stem.decode())
+        except UnicodeDecodeError:
+            return b"", chunk
+        low = word.lower()
+        if max(low) < SETTLED and "Σ" not in word and low.isalpha() and unicodedata.is_normalized("NFC", low):
+            return low.encode(), chunk[len(stem) :]
+        return b"", chunk
+
+    def _rows(self, chunks: list[bytes]) -> np.ndarray:
+        """Two rows of the store for each chunk: its word and its tail, or no word and the whole chunk."""
+        if self.store.n > self.limit or self.store.filled > 8 * self.limit:
+            self.store = Store()
+        known, parts = self.store.row, []
+        for c in chunks:
+            parts += (c, b"") if c in known else self._split(c)
+        words, others = {}, {}
+        for i in range(0, len(parts), 2):
+            word, tail = parts[i], parts[i + 1]
+            if word not in known:
+                words[word] = None
+            if tail not in known:
+                others[tail] = None
+        self.store.add(list(words), *self._words(list(words)))
+        # A word's letters can be another chunk that was encoded whole only if they are the same word.
+        others = [c for c in others if c not in known]
+        self.store.add(others, *self._whole(others))
+        rows = np.fromiter(map(known.__getitem__, parts), dtype=np.int64, count=len(parts))
+        for c in (*words, *others):
+            if len(c) > LONGEST:
+                del known[c]
+        return rows
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and their number for each; a null text has none."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        n_chunks = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct = split.flatten().dictionary_encode()
+        rows = self._rows(distinct.dictionary.cast(pa.binary()).to_pylist())
+        store = self.store
+        # Ids of the distinct chunks, then of all chunks.
+        part = store.length[rows]
+        own = store.ids[gather(store.start[rows], part)]
+        length = part[::2] + part[1::2]
+        at = distinct.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        each = length[at]
+        ids = own[gather((np.cumsum(length) - length)[at], each)]
+        total = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(each)])
+        last = np.cumsum(n_chunks)
+        return ids, total[last] - total[last - n_chunks]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

@@ -1,7 +1,9 @@
 import io
+import random
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -33,17 +35,32 @@ def expected(rows):
     return out
 
 
-def test_chunked_encoding_equals_whole_texts():
+def same_ids(texts, **options):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    texts = [r[1] or "" for r in helpers.awkward_rows()] + ["it's we'll A<|endoftext|>b <|startoftext|>", "é ́x a b", "don 't 's", "x" * 3000]
-    enc = tokens.ChunkEncoder(queries.tokenizer_path(), limit=3)
-    for _ in range(3):
-        got = enc.encode([t.encode() for t in texts])
-        for t, g in zip(texts, got, strict=True):
-            ids = tok.encode(t, add_special_tokens=False).ids
-            assert g == struct.pack(f"<{len(ids)}I", *ids)
+    want = [e.ids for e in tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    enc = tokens.ChunkEncoder(queries.tokenizer_path(), **options)
+    for size in (len(texts), 7):
+        for i in range(0, len(texts), size):
+            ids, n = enc.encode(pa.array(texts[i : i + size], type=pa.string()))
+            ends = np.cumsum(n).tolist()
+            assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == want[i : i + size]
+
+
+def test_chunked_encoding_equals_whole_texts():
+    texts = [r[1] for r in helpers.awkward_rows()] + ["it's we'll A<|endoftext|>b <|startoftext|>", "é ́x a b", "don 't 's", "x" * 3000, "İ..", "क़.", "ΣΑΣ, σας.", "H\u0331. h\u0331.", "\u212b. \u212a, \ufb01."]
+    same_ids(texts, limit=3)
+    same_ids(texts)
+
+
+def test_encoding_of_random_texts():
+    """Letters, marks, digits, signs and white space of many scripts."""
+    rng = random.Random(8)
+    alphabet = "aAzZéÉİıßẞſΣσςКкҐїאבעربक़ि日本ｶ한ᄀ" + "\u0300\u0301\u0307\u0331\u093c\u0345" + "019²½.,.,.,'`-_*$<|>" + " \t\n\r\x0b\x0c\x1c\x85\xa0\u2028\u3000" + "ǅﬁÅK\u1e9e\U0001f600"
+    words = ["the", "Of", "and.", "l'amour,", "über", "ÜBER..", "'s", "don't", "NATION,."]
+    texts = ["".join(rng.choice([rng.choice(alphabet), rng.choice(alphabet), " " + rng.choice(words) + " ", rng.choice(words)]) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    same_ids(texts, limit=2000)
 
 
 def test_round_trip(spark):
