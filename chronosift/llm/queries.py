@@ -74,7 +74,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = rule_ledger.ledger(table(spark, sf_dir, "documents"), ["doc_id"])
+    entries = rule_ledger.stored(table(spark, sf_dir, "documents"), ["doc_id"])
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~rule_ledger.passes("base")).alias("base_failed"),
@@ -83,6 +83,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, alone or with others, from the stored ledger."""
+    return rule_ledger.ablation(rule_ledger.stored(table(spark, sf_dir, "documents"), ["doc_id"]), "v1")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.components(table(spark, sf_dir, "documents"))
 
@@ -98,5 +103,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "quality_rule_ablation": quality_rule_ablation,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": license_rules.oracle(),
+    "op6_fair_mix": fair_mix.oracle(),
+    "op7_decontaminate": winnow.oracle(),
+    "op9_quality_rules": rule_ledger.oracle(),
+    "quality_rule_ablation": rule_ledger.oracle_ablation(),
 }
-ORACLE_SQL: dict[str, str] = {"op3_licenses": license_rules.oracle()}

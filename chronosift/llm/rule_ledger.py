@@ -6,8 +6,10 @@ versioned sets of bits; applying one, or finding what a rule alone rejects, is
 bit arithmetic on the ledger, without reading a text again.
 
 Cases: a null text is measured as an empty one (no words, which fails
-``few_words``); empty tables give empty ledgers; repeated rows give repeated
-ledger rows; other columns of the table, whatever their names, are ignored.
+``few_words``); a text of any length is measured whole; a document exactly at a
+rule's limit passes it; empty tables give empty ledgers; repeated rows give
+repeated ledger rows; other columns of the table, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronosift.llm.common import map_text
+from chronosift.llm.common import map_text, settle
 
 MEASURES = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_alpha", "n_upper", "n_marks", "n_digits")])
 
@@ -159,6 +161,11 @@ def ledger(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
     return measure(docs, keep, text_col).withColumn("failed_bits", failure_bits())
 
 
+def stored(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The ledger, written to the shared folder: policies and ablations read it and no text again."""
+    return settle(ledger(docs, keep, text_col), "ledger")
+
+
 def passes(version: str, bits: str = "failed_bits") -> Column:
     """Whether the ledger row passes a policy."""
     return F.col(bits).bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0
@@ -172,13 +179,66 @@ def passing(docs: DataFrame, version: str, text_col: str = "text") -> DataFrame:
 
 
 def ablation(entries: DataFrame, version: str) -> DataFrame:
-    """For each rule of a policy: rows failing it, rows failing it alone, rows kept without it."""
-    chosen = POLICIES[version]
-    used = [(i, r.name) for i, r in enumerate(RULES) if chosen >> i & 1]
-    hit = F.col("failed_bits").bitwiseAND(F.lit(chosen).cast("long"))
-    aggs = [F.count("*").alias("n"), F.count_if(hit == 0).alias("kept")]
-    for i, _ in used:
-        aggs += [F.count_if(F.getbit(hit, F.lit(i)) == 1).alias(f"fail{i}"), F.count_if(hit == (1 << i)).alias(f"alone{i}")]
-    one = entries.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"fail{i}").alias("n_failed"), F.col(f"alone{i}").alias("n_failed_alone"), (F.col("kept") + F.col(f"alone{i}")).alias("n_kept_without")) for i, name in used])
-    return one.select(F.lit(version).alias("policy"), F.explode(rows).alias("r")).select("policy", "r.*")
+    """For each rule of a policy: rows failing it, rows failing it alone, rows kept without it.
+
+    The ledger shrinks to a count for each mask that occurs, at most two to the
+    power of the rules and far fewer in fact; bit arithmetic on the masks does
+    the rest.
+    """
+    chosen = F.lit(POLICIES[version]).cast("long")
+    masks = entries.groupBy(F.col("failed_bits").bitwiseAND(chosen).alias("mask")).agg(F.count("*").alias("n"))
+    rules = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << i).cast("long").alias("bit")) for i, r in enumerate(RULES) if POLICIES[version] >> i & 1])
+    each = masks.select("mask", "n", F.explode(rules).alias("r"))
+    has, alone = F.col("mask").bitwiseAND(F.col("r.bit")) != 0, F.col("mask") == F.col("r.bit")
+    of = lambda what: F.sum(F.when(what, F.col("n")).otherwise(0)).cast("long")
+    return each.groupBy(F.lit(version).alias("policy"), F.col("r.rule").alias("rule")).agg(of(has).alias("n_failed"), of(alone).alias("n_failed_alone"), of((F.col("mask") == 0) | alone).alias("n_kept_without"))
+
+
+def bits_summary(entries: DataFrame) -> DataFrame:
+    """One row: documents, rules that some document fails and that all fail (bitwise OR and AND of the masks), and failures in all (bits counted)."""
+    return entries.agg(F.count("*").alias("n_docs"), F.bit_or("failed_bits").alias("some_fail"), F.bit_and("failed_bits").alias("all_fail"), F.coalesce(F.sum(F.bit_count("failed_bits")), F.lit(0)).cast("long").alias("n_failures"))
+
+
+#: What is no letter to the ledger: ASCII but A-Z and a-z.
+LETTERS = r"[\x00-@\[-`{-\x7F]"
+
+
+def _sql_ledger() -> str:
+    """DuckDB SQL of the ledger's columns as the common table expression ``ledger``."""
+    word, count = r"[^\x20\x09-\x0D]+", lambda c: rf"length(regexp_replace(t, '{c}', '', 'g'))"
+    bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))
+    return rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS words FROM documents
+), windows AS (
+    SELECT row, i, array_to_string(list_slice(words, i, i + {WINDOW - 1}), ' ') AS w FROM (SELECT row, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM d)
+), twice AS (
+    SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, w) AS n FROM windows) WHERE n > 1
+), repeated AS (
+    SELECT row, count(DISTINCT place) AS n FROM (SELECT row, unnest(range(i, i + {WINDOW})) AS place FROM twice) GROUP BY row
+), lines AS (
+    SELECT row, count(*) AS n, count(DISTINCT line) AS n_distinct FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{word}') GROUP BY row
+), measured AS (
+    SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+        {count(r"[^#*$%&|<>]")} AS n_symbols, coalesce(l.n - l.n_distinct, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines,
+        {count(LETTERS)} AS n_alpha, {count(r"[^A-Z]")} AS n_upper, {count(r"[^!?]")} AS n_marks, {count(r"[^0-9]")} AS n_digits
+    FROM d LEFT JOIN lines l USING (row) LEFT JOIN repeated r USING (row)
+), ledger AS (
+    SELECT *, ({bits})::BIGINT AS failed_bits FROM measured
+)"""
+
+
+def oracle(version: str = "v1") -> str:
+    """DuckDB SQL of the query over the ledger."""
+    return _sql_ledger() + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & {POLICIES["base"]}) <> 0 AS base_failed, (failed_bits & {POLICIES[version]}) = 0 AS kept, failed_bits FROM ledger
+"""
+
+
+def oracle_ablation(version: str = "v1") -> str:
+    """DuckDB SQL of the ablation."""
+    rules = ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(RULES) if POLICIES[version] >> i & 1)
+    return _sql_ledger() + f"""
+SELECT '{version}' AS policy, rule, count_if(mask & bit <> 0)::BIGINT AS n_failed, count_if(mask = bit)::BIGINT AS n_failed_alone, count_if(mask = 0 OR mask = bit)::BIGINT AS n_kept_without
+FROM (SELECT failed_bits & {POLICIES[version]} AS mask FROM ledger), (VALUES {rules}) r(rule, bit) GROUP BY rule
+"""

@@ -271,3 +271,28 @@ def _merge(done, x):
 def hit_words(spans: str = "spans"):
     """Words in the merged spans."""
     return F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def oracle(window: int = WINDOW) -> str:
+    """DuckDB SQL of the query: all windows of both sides as text, joined."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-/:-`{-\\x7F]+')"
+    return f"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id, {words} AS words FROM documents
+), items AS (
+    SELECT item_id::VARCHAR AS item, words, least({window}, len(words)) AS n FROM (SELECT item_id, {words} AS words FROM benchmark) WHERE len(words) > 0
+), item_windows AS (
+    SELECT DISTINCT item, n, array_to_string(list_slice(words, i, i + n - 1), ' ') AS w FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS i FROM items)
+), doc_windows AS (
+    SELECT row, n, i, array_to_string(list_slice(words, i, i + n - 1), ' ') AS w
+    FROM (SELECT row, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM items) WHERE len(words) >= n)
+), hits AS (
+    SELECT row, i, n, item FROM doc_windows JOIN item_windows USING (n, w)
+), counted AS (
+    SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT row, unnest(range(i, i + n)) AS place FROM hits) GROUP BY row
+), listed AS (
+    SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT row, item FROM hits WHERE item IS NOT NULL) GROUP BY row
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN counted USING (row) LEFT JOIN listed USING (row)
+"""

@@ -1,7 +1,9 @@
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from chronosift.llm import fair_mix, queries
 from tests.llm import helpers
@@ -60,7 +62,7 @@ def test_awkward_rows(spark):
 
 def test_mix_has_the_copies_of_the_plan(spark):
     docs = helpers.clashing(spark)
-    planned = {(str(r.doc_id), r.size): r.copies * r.rows for r in fair_mix.plan(docs).collect()}
+    planned = {(str(r.doc_id), r.size): r.first + r.again for r in fair_mix.plan(docs).collect()}
     sent = fair_mix.mixed(docs, 2)
     assert sent.columns == docs.columns
     assert Counter((str(r.doc_id), size(r.text)) for r in sent.collect()) == Counter({k: v for k, v in planned.items() if v})
@@ -72,3 +74,27 @@ def test_hot_source_and_many_documents(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 50 + 1).cast("int"))).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 17)).alias("source"))
     rows = fair_mix.taken_rows(fair_mix.plan(docs)).collect()
     check(rows, [(r.doc_id, r.text, r.source) for r in docs.collect()])
+
+
+def test_repeated_rows_are_taken_one_by_one(spark, monkeypatch):
+    """Many equal rows: as many are taken as the target has room for, and the mix has as many."""
+    monkeypatch.setattr(fair_mix, "REPEATS", 64)
+    rows = [(7, "two words", "a")] * 1000 + [(i, "three words here", "b") for i in range(300)] + [(8, "two words", "b")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
+    got = fair_mix.taken_rows(fair_mix.plan(docs)).collect()
+    check(got, rows)
+    per = Counter()
+    for r in got:
+        per[r.source] += r.taken
+    want = brute_targets({"a": 2000, "b": 1300})
+    assert all(abs(per[s] - want[s]) <= 3 for s in want)
+    sent = fair_mix.mixed(docs, 4).collect()
+    assert Counter(size(r.text) for r in sent) == Counter({n: sum(r.taken // r.size for r in got if r.size == n) for n in (2, 3)})
+
+
+def test_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{helpers.SF}/documents.parquet'")
+    got = queries.op6_fair_mix(spark, helpers.SF)
+    rows = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['op6_fair_mix']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(rows)

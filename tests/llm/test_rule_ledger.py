@@ -1,10 +1,11 @@
 import re
 
-from tests.llm import helpers
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chronosift.llm import rule_ledger
+from chronosift.llm import queries, rule_ledger
+from tests.llm import helpers
 
 
 def brute(text):
@@ -55,3 +56,22 @@ def test_policies_and_ablation(spark):
         assert g.n_failed_alone == sum(r.failed_bits & rule_ledger.POLICIES["v1"] == 1 << i for r in rows)
     by = {r.doc_id: r for r in rows}
     assert by[1].ok and not by[9].ok and not by[2].ok
+
+
+def test_sql(spark):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{helpers.SF}/{name}.parquet'")
+    for name in ("op9_quality_rules", "quality_rule_ablation", "op7_decontaminate"):
+        got = queries.QUERIES[name](spark, helpers.SF)
+        rows = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+def test_bits_summary(spark):
+    entries = rule_ledger.ledger(helpers.awkward(spark), ["doc_id"]).cache()
+    masks = [r.failed_bits for r in entries.collect()]
+    some, every = 0, -1
+    for m in masks:
+        some, every = some | m, every & m
+    assert tuple(rule_ledger.bits_summary(entries).first()) == (len(masks), some, every, sum(m.bit_count() for m in masks))
