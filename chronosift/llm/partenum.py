@@ -551,11 +551,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     forget(open_, sets_of, links.tested)
     release(spark)
 
-    labels = links.labels
-    lowest = nodes.join(labels, nodes["k"] == labels["node"], "left").select("k", F.coalesce("comp", "k").alias("comp"), "rep")
-    heads = lowest.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_node = lowest.join(heads, "comp").select(F.col("k").alias("node"), "component_id")
-    out = all_sets.join(of_node, all_sets["k"] == of_node["node"], "left")
+    labels = links.small(links.labels)
+    lowest = nodes.join(labels, nodes["k"] == labels["node"]).select("k", F.col("comp").alias("bucket"), "rep")
+    heads = lowest.groupBy("bucket").agg(F.min("rep").alias("component_id"))
+    of_linked = settle(_by_bucket(lowest, heads).select(F.col("k").alias("node"), "component_id"), "heads")
+    own = nodes.join(links.small(of_linked), nodes["k"] == F.col("node"), "left").select(F.col("k").alias("own"), F.coalesce("component_id", "rep").alias("component_id"))
+    out = all_sets.join(own, all_sets["k"] == own["own"], "left")
     return out.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
