@@ -3,16 +3,25 @@
 Base patterns give labelled credentials. From a bounded sample of them a prefix
 tree is built over character classes; states whose outgoing frequencies do not
 differ significantly (Hoeffding bounds) are merged, which leaves a
-probabilistic automaton of the credentials' formats. A second automaton is
-inferred in the same way from ordinary tokens. Every candidate token of every
-text is scored by how much likelier the credential format makes it; candidates
-above the threshold that no base span touches are added as ``grammar`` spans.
+probabilistic automaton of the credentials' formats. Two more automata are
+inferred in the same way from ordinary tokens, those of letters alone and the
+others (numbers, dates, addresses and the like). Every candidate of every text,
+i.e. every run of the automata's characters outside the base matches that is as
+long as the shortest credential, is scored by how much likelier the credential
+format makes it than the likelier one of the others; candidates above the threshold are added as ``grammar`` spans.
+
+The texts are read twice, once for the sample and once for the result; no
+credential is written anywhere.
 
 Spans count code points, end exclusive; that of ``assign`` is the value alone.
 
-Cases: a null text is empty; without credentials in the table nothing is
-added; without ordinary tokens these count as evenly likely; repeated rows
-give repeated results; other columns are ignored.
+Cases: a null text is empty; a text of any length is scanned whole, and a
+candidate of any length scored whole (only the sample leaves out credentials of
+more than LONGEST characters); without credentials in the table nothing is
+added; without ordinary tokens these count as evenly likely; a gain exactly at
+the threshold is one; full stops that end a run are no part of a candidate;
+repeated rows give repeated results; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronosift.llm.common import map_text, settle, small_batches
+from chronosift.llm.common import map_column, small_batches
+from chronosift.llm.textops import flat_bytes
 
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -36,13 +47,20 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: Shortest candidate token; all runs of ACCESS and HEX that count are within one.
-CANDIDATE = 16
-CANDIDATE_BYTES = np.zeros(256, dtype=bool)
-CANDIDATE_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
-
-#: Labelled credentials, and ordinary tokens, that the automata are inferred from at most.
-SAMPLE = 1500
+#: Character classes: the automata's alphabet; the last index ends a token.
+CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", "-", ".", "=")
+END = len(CLASSES)
+CLASS_OF = {c: i for i, cs in enumerate(CLASSES) for c in cs}
+#: Log probability of one character of each class, given the class.
+WITHIN = [-math.log(len(cs)) for cs in CLASSES]
+#: The class of each byte; END for those of no class.
+CLASS_BYTES = np.full(256, END, dtype=np.int64)
+CLASS_BYTES[[ord(c) for c in CLASS_OF]] = list(CLASS_OF.values())
+
+#: Shortest candidate: as short as credentials can be.
+CANDIDATE = min(LEAST.values())
+#: Labelled credentials, and ordinary tokens of either kind, that the automata are inferred from at most, and the longest of them.
+SAMPLE, LONGEST = 1500, 256
 ALPHA = 0.02
 #: Least gain in log likelihood of a candidate, in nats, over the whole and over each character.
 GAIN, GAIN_EACH = 8.0, 0.25
@@ -51,71 +69,64 @@ GAIN, GAIN_EACH = 8.0, 0.25
 # --- base patterns -------------------------------------------------------------------------------
 
 
-def _runs(raw: bytes) -> list[tuple[int, int]]:
-    """Maximal runs of candidate characters, of at least CANDIDATE."""
-    inside = CANDIDATE_BYTES[np.frombuffer(raw, dtype=np.uint8)]
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
-    long = end - start >= CANDIDATE
-    return list(zip(start[long].tolist(), end[long].tolist(), strict=True))
+#: What a run of HEX or ACCESS of sufficient length holds; most texts hold none.
+_LONG_RUN = re.compile(rb"[0-9a-zA-Z]{20}")
 
 
-def scan_text(raw: bytes | None) -> tuple[list[tuple[int, int, str, str]], list[tuple[int, int, str]]]:
-    """Base spans as (start, end, kind, value) by start and kind, and candidates no base span touches, in code points."""
-    if not raw:
-        return [], []
-    spans: list[tuple[int, int, int]] = []
+def base_spans(raw: bytes) -> list[tuple[int, int, int, int]]:
+    """Base spans in bytes as (start, end, kind, start of the whole match), by start and kind."""
+    spans: list[tuple[int, int, int, int]] = []
     lowered = raw.lower()
     if any(k in lowered for k in KEYWORDS):
-        spans += [(m.start(2), m.end(2), 0) for m in ASSIGN.finditer(raw) if m.end(2) - m.start(2) >= LEAST["assign"]]
-    runs = _runs(raw)
-    for a, b in runs:
-        run = raw[a:b]
+        spans += [(m.start(2), m.end(2), 0, m.start()) for m in ASSIGN.finditer(raw) if m.end(2) - m.start(2) >= LEAST["assign"]]
+    if _LONG_RUN.search(raw):
         for kind, pattern in ((1, ACCESS), (2, HEX)):
-            spans += [(a + m.start(), a + m.end(), kind) for m in pattern.finditer(run) if m.end() - m.start() >= LEAST[KINDS[kind]]]
+            spans += [(m.start(), m.end(), kind, m.start()) for m in pattern.finditer(raw) if m.end() - m.start() >= LEAST[KINDS[kind]]]
     spans.sort(key=lambda s: (s[0], s[2]))
-    free = [(a, b) for a, b in runs if not any(s < b and a < e for s, e, _ in spans)] if runs else []
-    at = _points(raw, spans, free)
-    return [(at(s), at(e), KINDS[k], raw[s:e].decode()) for s, e, k in spans], [(at(a), at(b), raw[a:b].decode()) for a, b in free]
-
-
-def _points(raw: bytes, spans: list, free: list):
-    """Byte place to code point place."""
-    if raw.isascii() or not (spans or free):
-        return lambda place: place
-    within = np.concatenate([[0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) == 0x80)])
-    return lambda place: place - int(within[place])
-
-
-_BASE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))
-_FREE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
+    return spans
+
+
+def candidates(data: np.ndarray, cuts: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the candidates in the bytes of texts that begin at cuts, without the (start, end) spans given."""
+    inside = CLASS_BYTES[data] < END
+    for a, b in spans:
+        inside[a:b] = False
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[cuts] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    dot = ord(".")
+    while len(trim := np.flatnonzero((end - start >= CANDIDATE) & (data[end - 1] == dot))):
+        end[trim] -= 1
+    long = end - start >= CANDIDATE
+    return start[long], end[long]
 
 
-def _kernel(batches: Iterator[list[bytes | None]]) -> Iterator[list[pa.Array]]:
-    for texts in batches:
-        rows = [scan_text(t) for t in texts]
-        base = [[dict(zip(("start", "end", "kind", "value"), s, strict=True)) for s in b] for b, _ in rows]
-        free = [[dict(zip(("start", "end", "value"), s, strict=True)) for s in f] for _, f in rows]
-        yield [pa.array(base, type=_BASE), pa.array(free, type=_FREE)]
+class Scanned:
+    """The base spans and candidates of a batch of texts, in bytes of the batch."""
 
+    def __init__(self, texts: pa.Array):
+        self.data, self.cuts = flat_bytes(texts)
+        raw, cuts = self.data.tobytes(), self.cuts.tolist()
+        self.base = [base_spans(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        taken = [(a + at, a + e) for a, spans in zip(cuts, self.base, strict=False) for _, e, _, at in spans]
+        self.start, self.end = candidates(self.data, self.cuts, taken)
+        self.raw = raw
 
-def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep, base (start, end, kind, value) and candidates (start, end, value) of each row."""
-    span = [T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]
-    base = T.ArrayType(T.StructType([*span, T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
-    free = T.ArrayType(T.StructType([*span, T.StructField("value", T.StringType())]))
-    return map_text(docs, text_col, T.StructType([T.StructField("base", base), T.StructField("candidates", free)]), _kernel, keep)
+    def points(self, i: int):
+        """Byte place in the i-th text to code point place."""
+        a, b = int(self.cuts[i]), int(self.cuts[i + 1])
+        part = self.data[a:b]
+        if not (part >= 0x80).any():
+            return lambda place: place
+        within = np.concatenate([[0], np.cumsum((part & 0xC0) == 0x80)])
+        return lambda place: place - int(within[place])
 
 
 # --- grammar inference ---------------------------------------------------------------------------
 
-#: Character classes: the automata's alphabet; the last index ends a token.
-CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", "-", ".", "=")
-END = len(CLASSES)
-CLASS_OF = {c: i for i, cs in enumerate(CLASSES) for c in cs}
-#: Log probability of one character of each class, given the class.
-WITHIN = [-math.log(len(cs)) for cs in CLASSES]
-
 
 class Automaton:
     """Probabilistic automaton: for each state the log probabilities of the classes and of the end, and where they lead."""
@@ -134,6 +145,24 @@ class Automaton:
             s = self.to[s][k]
         return total + self.log_p[s][END]
 
+    def scores(self, classes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """score of many tokens, given the classes of a batch's characters; step by step for all at once."""
+        step = np.array(self.log_p)
+        cost, to = step[:, :END] + np.array(WITHIN), np.array(self.to)
+        order = np.argsort(-length, kind="stable")
+        start, length = start[order], length[order]
+        state, total = np.zeros(len(start), dtype=np.int64), np.zeros(len(start))
+        left = len(start)
+        for place in range(int(length[0]) if left else 0):
+            while length[left - 1] <= place:
+                left = int(np.searchsorted(-length, -place, "left"))
+            c = classes[start[:left] + place]
+            total[:left] += cost[state[:left], c]
+            state[:left] = to[state[:left], c]
+        out = np.empty(len(start))
+        out[order] = total + step[state, END]
+        return out
+
 
 def _prefix_tree(tokens: list[str]) -> tuple[list[list[int]], list[list[int]]]:
     """Counts and children of each node, by class; counts[END] are ends."""
@@ -210,55 +239,93 @@ def infer(tokens: list[str], alpha: float = ALPHA) -> Automaton:
     return Automaton(log_p, to)
 
 
-def train(scanned: DataFrame, sample: int = SAMPLE) -> tuple[Automaton | None, Automaton | None]:
-    """Automata of credentials and of ordinary tokens, from the sample with the least hashes of each."""
-
-    def least(values: DataFrame) -> list[str]:
-        rows = values.distinct().withColumn("h", F.xxhash64("value")).orderBy("h", "value").limit(sample).collect()
-        return [r["value"] for r in rows]
+def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[Automaton | None, list[Automaton]]:
+    """The automaton of credentials and those of ordinary tokens, from the sample with the least hashes of each; a task keeps its own least ones."""
+    small_batches(docs.sparkSession)
 
-    secrets = least(scanned.select(F.explode("base.value").alias("value")).filter(F.length("value").between(LEAST["assign"], 256)))
-    plain = least(scanned.select(F.explode("candidates.value").alias("value")).filter(F.length("value") <= 256))
-    return pair(secrets, plain)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[dict[bytes, int]] = [{}, {}, {}]
+        limit = [1 << 64] * 3
+        for b in batches:
+            found = Scanned(b.column(0))
+            raw, cuts = found.raw, found.cuts.tolist()
+            secrets = {raw[a + s : a + e] for a, spans in zip(cuts, found.base, strict=False) for s, e, _, _ in spans}
+            plain = {raw[s:e] for s, e in zip(found.start.tolist(), found.end.tolist(), strict=True)}
+            words = {v for v in plain if v.isalpha()}
+            for i, values in enumerate((secrets, words, plain - words)):
+                for v in values:
+                    if len(v) <= LONGEST and (h := xxhash.xxh3_64_intdigest(v)) < limit[i]:
+                        kept[i][v] = h
+                if len(kept[i]) > 2 * sample:
+                    kept[i] = dict(sorted(kept[i].items(), key=lambda x: (x[1], x[0]))[:sample])
+                    limit[i] = max(kept[i].values()) + 1
+        for i in range(3):
+            rows = sorted((h, v) for v, h in kept[i].items())[:sample]
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(rows), type=pa.int32()), pa.array([h - (1 << 63) for h, _ in rows], type=pa.int64()), pa.array([v.decode() for _, v in rows], type=pa.string())], names=["kind", "h", "value"])
+
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(run, "kind int, h long, value string").distinct()
+    least = lambda i: [r["value"] for r in rows.filter(F.col("kind") == i).orderBy("h", "value").limit(sample).collect()]
+    rows = rows.persist()
+    try:
+        return automata(least(0), [least(1), least(2)])
+    finally:
+        rows.unpersist()
+
+
+def gains(secret: Automaton, ordinary: list[Automaton], classes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How much likelier the credential format makes tokens than the likelier ordinary one; without any, characters are evenly likely."""
+    others = [a.scores(classes, start, length) for a in ordinary] or [-math.log(sum(map(len, CLASSES))) * length]
+    return secret.scores(classes, start, length) - np.max(others, axis=0)
+
+
+def enough(length: np.ndarray, gain: float = GAIN, gain_each: float = GAIN_EACH) -> np.ndarray:
+    return np.maximum(gain, gain_each * length)
+
+
+def automata(secrets: list[str], ordinary: list[list[str]]) -> tuple[Automaton | None, list[Automaton]]:
+    """All automata; tokens to which the first round gives the credential format rather than an ordinary one are no ordinary ones in the second."""
+    secret = infer(secrets) if secrets else None
+    first = [infer(tokens) for tokens in ordinary if tokens]
+    if secret is None:
+        return None, first
+    second = []
+    for tokens in ordinary:
+        if tokens:
+            length = np.array([len(t) for t in tokens])
+            classes = CLASS_BYTES[np.frombuffer("".join(tokens).encode(), dtype=np.uint8)]
+            found = gains(secret, first, classes, np.cumsum(length) - length, length) > 0
+            rest = [t for t, f in zip(tokens, found.tolist(), strict=True) if not f]
+            second += [infer(rest)] if rest else []
+    return secret, second
 
 
-def pair(secrets: list[str], plain: list[str]) -> tuple[Automaton | None, Automaton | None]:
-    """Both automata; tokens that the first round takes for credentials are no ordinary ones in the second."""
-    secret = infer(secrets) if secrets else None
-    ordinary = infer(plain) if plain else None
-    if secret and ordinary:
-        rest = [v for v in plain if secret.score(v) <= ordinary.score(v)]
-        ordinary = infer(rest) if rest else None
-    return secret, ordinary
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, gain: float = GAIN, gain_each: float = GAIN_EACH) -> DataFrame:
     """doc_id and spans (start, end, kind) of each row, base and grammar spans by start and kind."""
-    scanned = settle(scan(docs, [id_col], text_col), "secret-scan")
-    secret, plain = train(scanned, sample)
-    shared = docs.sparkSession.sparkContext.broadcast((secret, plain, gain, gain_each))
-    small_batches(docs.sparkSession)
-    tokens = F.col("candidates.value")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        secret, plain, gain, gain_each = shared.value
-        flat = -math.log(sum(map(len, CLASSES)))
-        for b in batches:
-            rows = []
-            for values in b.column(2).to_pylist():
-                gains = [secret.score(v) - (plain.score(v) if plain else flat * len(v)) for v in values] if secret else [-math.inf] * len(values)
-                rows.append([g >= max(gain, gain_each * len(v)) for g, v in zip(gains, values, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, type=pa.list_(pa.bool_()))], names=["id", "spans", "keep"])
-
-    brief = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    places = F.transform("candidates", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("grammar").alias("kind")))
-    body = scanned.select(F.col(f"`{id_col}`").alias("id"), F.struct(brief.alias("base"), places.alias("more")).alias("spans"), tokens.alias("tokens"))
-    schema = T.StructType([body.schema["id"], body.schema["spans"], T.StructField("keep", T.ArrayType(T.BooleanType()))])
-    judged = body.mapInArrow(judge, schema)
-    added = F.transform(F.filter(F.arrays_zip(F.col("spans.more").alias("s"), F.col("keep").alias("k")), lambda x: x["k"]), lambda x: x["s"])
-    rank = {k: i for i, k in enumerate(KINDS)}
-    ordered = F.array_sort(F.transform(F.concat("spans.base", added), lambda s: F.struct(s["start"].alias("start"), F.element_at(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return judged.select(F.col("id").alias(id_col), F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, text_col, sample))
+
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
+        secret, ordinary = shared.value
+        for texts in batches:
+            found = Scanned(texts)
+            rows = [[(s, e, k) for s, e, k, _ in spans] for spans in found.base]
+            if secret is not None and len(found.start):
+                length = found.end - found.start
+                good = np.flatnonzero(gains(secret, ordinary, CLASS_BYTES[found.data], found.start, length) >= enough(length, gain, gain_each))
+                of = np.searchsorted(found.cuts, found.start[good], "right") - 1
+                for i, s, e in zip(of.tolist(), found.start[good].tolist(), found.end[good].tolist(), strict=True):
+                    at = int(found.cuts[i])
+                    rows[i].append((s - at, e - at, KINDS.index("grammar")))
+            out = []
+            for i, spans in enumerate(rows):
+                place = found.points(i) if spans else None
+                out.append([{"start": place(s), "end": place(e), "kind": KINDS[k]} for s, e, k in sorted(spans, key=lambda x: (x[0], x[2]))])
+            yield [pa.array(out, type=_SPANS)]
+
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
+    return map_column(docs, text_col, T.StructType([T.StructField("spans", spans)]), kernel, [id_col])
 
 
 def listed(spans):
