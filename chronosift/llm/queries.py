@@ -49,8 +49,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = lang_kernel.fit(lang_kernel.sample(docs))
-    found = lang_kernel.predict(docs, model, ["doc_id"])
+    found = lang_kernel.predict(docs, lang_kernel.learn(docs), ["doc_id"])
     return found.select("doc_id", lang_kernel.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
