@@ -27,8 +27,9 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
-    return cotrain.score(docs, model).withColumn("kept", F.col("score") >= 0.5)
+    prepared = cotrain.views(docs)
+    model = cotrain.fit(docs, table(spark, sf_dir, "labels"), prepared=prepared)
+    return cotrain.score(docs, model, prepared=prepared).withColumn("kept", F.col("score") >= 0.5)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

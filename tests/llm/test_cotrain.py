@@ -11,8 +11,8 @@ def test_views_teach_each_other():
     text = np.stack([y * 3 + rng.normal(size=n), rng.normal(size=n)], axis=1)
     meta = np.stack([y * 2 + rng.normal(size=n), rng.normal(size=n)], axis=1)
     few = 40
-    model = cotrain.co_train(text[:few], meta[:few], y[:few], text[few:900], meta[few:900], sure=0.9)
-    assert sum(a + b for a, b in model.rounds) > 100
+    model = cotrain.co_train(text[:few], meta[:few], y[:few], cotrain.array_pool(text[few:900], meta[few:900], 30))
+    assert all(a > 0 and b > 0 for a, b in model.rounds) and len(model.rounds) == cotrain.ROUNDS
     z = model.text.margin(text[900:]) * model.both[0] + model.meta.margin(meta[900:]) * model.both[1] + model.both[2]
     both = ((z > 0) == (y[900:] > 0)).mean()
     alone = ((model.meta.margin(meta[900:]) > 0) == (y[900:] > 0)).mean()
@@ -34,6 +34,33 @@ def test_held_out_documents(spark):
     model = cotrain.fit(docs, labels.filter("doc_id % 2 = 0"))
     got = cotrain.score(docs, model).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
     assert np.mean([(r.score >= 0.5) == bool(r.quality) for r in got]) > 0.93
+    assert all(a > 0 and b > 0 for a, b in model.rounds)
+
+
+def test_rounds_over_the_table_equal_brute_force(spark):
+    """The surest documents of all tasks are those of all documents in one array, so that both ways give one model."""
+    sf = helpers.SF
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").repartition(5), spark.read.parquet(f"{sf}/labels.parquet")
+    prepared = cotrain.views(docs)
+    model = cotrain.fit(docs, labels, each=7, prepared=prepared)
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    rows = sorted(prepared.collect(), key=lambda r: r.key)
+    train = [r for r in rows if r.id in marks]
+    rest = [r for r in rows if r.id not in marks]
+    tv, mv, key = cotrain.text_views([r.tv for r in rest]), cotrain.meta_views([r.mv for r in rest]), np.array([r.key for r in rest])
+
+    def surest(models, taken):
+        out = {}
+        for v in (0, 1):
+            m = models[v].margin((tv, mv)[v])
+            for good in (0, 1):
+                order = sorted((i for i in range(len(rest)) if int(key[i]) not in taken[1 - v]), key=lambda i: (-m[i] if good else m[i], key[i]))
+                out[v, good] = [(int(key[i]), tv[i], mv[i]) for i in order[:7]]
+        return out
+
+    want = cotrain.co_train(cotrain.text_views([r.tv for r in train]), cotrain.meta_views([r.mv for r in train]), np.array([float(marks[r.id]) for r in train]), surest)
+    assert model.rounds == want.rounds and sum(map(sum, model.rounds)) > 0
+    assert np.allclose(model.text.weights, want.text.weights) and np.allclose(model.meta.weights, want.meta.weights) and np.allclose(model.both, want.both)
 
 
 def test_awkward_rows(spark):
