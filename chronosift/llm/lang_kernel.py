@@ -39,6 +39,8 @@ from chronosift.llm.common import map_text
 from chronosift.llm.textops import mix
 
 PER_LANG, LANDMARKS_PER_LANG = 250, 40
+#: So many languages' row counts, at most, are broadcast to the rows; more are joined by a shuffle.
+COUNTED = 100_000
 #: Texts in one matrix product.
 BLOCK = 64
 RIDGE = 1e-3
@@ -188,6 +190,8 @@ def _sample(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col
     d = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     may = d.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     counts = may.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    if counts.limit(COUNTED + 1).count() <= COUNTED:
+        counts = F.broadcast(counts)
     part = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 40)) / float(1 << 40)
     return may.join(counts, F.col("lang") == F.col("of")).withColumn("at", part * F.col("n")).filter(F.col("at") < per_lang).select("text", "lang", "at", "id")
 
