@@ -60,7 +60,7 @@ def frequent_states(seq: DataFrame, params: MiningParams, sizes: DataFrame | Non
     """grp, state, support_count, n_clients of the states that enough clients have."""
     sizes = group_sizes(seq) if sizes is None else sizes
     counts = seq.groupBy(GROUP, "state").agg(F.countDistinct("client_id").alias("support_count"))
-    return counts.join(F.broadcast(sizes), GROUP).filter(F.col("support_count") >= _least_count(params.minsup))
+    return counts.join(sizes, GROUP).filter(F.col("support_count") >= _least_count(params.minsup))
 
 
 def patterns(seq: DataFrame, params: MiningParams) -> DataFrame:
@@ -69,30 +69,51 @@ def patterns(seq: DataFrame, params: MiningParams) -> DataFrame:
     The relations of a pattern are those of its first client in the order of
     identifiers.
     """
-    seq = cut(seq)
-    sizes = cut(group_sizes(seq))
-    frequent = cut(frequent_states(seq, params, sizes))
-    useful = seq.join(F.broadcast(frequent.select(GROUP, "state")), [GROUP, "state"], "left_semi")
-    iv = F.struct("start_time", "end_time")
-    firsts = useful.groupBy(GROUP, "client_id", "state").agg(F.min(F.struct("pos", iv.alias("iv"))).alias("f"))
-    level = cut(firsts.select(GROUP, "client_id", F.array("state").alias("states"), F.col("f.pos").alias("pos"), F.array("f.iv").alias("ivs"), F.col("f.iv.end_time").alias("min_end")))
-    nexts = cut(useful.select(GROUP, "client_id", F.col("pos").alias("np"), F.col("state").alias("ns"), iv.alias("niv")))
+    occ = cut(_occurrences(seq))
+    sizes = cut(group_sizes(occ))
+    frequent = occ.groupBy(GROUP, "state").agg(F.count("client_id").alias("n")).join(sizes, GROUP).filter(F.col("n") >= _least_count(params.minsup))
+    occ = cut(occ.join(frequent.select(GROUP, "state"), [GROUP, "state"], "left_semi"))
+    iv = lambda x: F.struct(x["start_time"].alias("start_time"), x["end_time"].alias("end_time"))
+    first = F.element_at("at", 1)
+    level = occ.select(GROUP, "client_id", F.array("state").alias("states"), first["pos"].alias("pos"), F.array(iv(first)).alias("ivs"), first["end_time"].alias("min_end"))
     found = [_counted(level, sizes, params)]
     for _ in range(1, params.max_size):
-        pairs = level.join(nexts, [GROUP, "client_id"]).filter("np > pos")
-        if params.maxgap >= 0:
-            pairs = pairs.filter(F.col("niv.start_time") - F.col("min_end") <= params.maxgap)
-        grown = pairs.groupBy(GROUP, "client_id", "states", "ns").agg(F.min(F.struct("np", "niv", "ivs", "min_end")).alias("m"))
-        candidates = grown.select(GROUP, "client_id", F.concat("states", F.array("ns")).alias("states"), F.col("m.np").alias("pos"), F.concat("m.ivs", F.array("m.niv")).alias("ivs"), F.least("m.min_end", "m.niv.end_time").alias("min_end"))
-        candidates = cut(candidates)
+        nxt = F.col("next")
+        grown = level.join(occ, [GROUP, "client_id"]).withColumn("next", F.explode(F.array_compact(F.array(_next(params.maxgap)))))
+        candidates = cut(grown.select(GROUP, "client_id", F.concat("states", F.array("state")).alias("states"), nxt["pos"].alias("pos"), F.concat("ivs", F.array(iv(nxt))).alias("ivs"), F.least("min_end", nxt["end_time"]).alias("min_end")))
         kept = cut(_counted(candidates, sizes, params))
         if kept.isEmpty():
             break
         found.append(kept)
-        level = cut(candidates.join(kept.select(GROUP, "states"), [GROUP, "states"], "left_semi"))
+        level = candidates.join(kept.select(GROUP, "states"), [GROUP, "states"], "left_semi")
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
+def _occurrences(seq: DataFrame) -> DataFrame:
+    """grp, client_id, state, at (its intervals by position), in_order (whether they start in that order), steps (powers of two up to their number)."""
+    by_client = seq.groupBy(GROUP, "client_id", "state").agg(F.array_sort(F.collect_list(F.struct("pos", "start_time", "end_time"))).alias("at"))
+    starts = F.transform("at", lambda x: x["start_time"])
+    powers = F.transform(F.sequence(F.ceil(F.log2(F.size("at") + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    return by_client.select("*", (starts == F.array_sort(starts)).alias("in_order"), powers.alias("steps"))
+
+
+def _next(maxgap: float):
+    """The first interval of ``at`` beyond pos that keeps the gap, null if there is none.
+
+    Found by halving steps, so that a projection grows by one row for each
+    state and not by one for each later interval. Where starts follow
+    positions, no later interval keeps a gap that the first one breaks.
+    """
+    at, pos = F.col("at"), F.col("pos")
+    passed = F.aggregate("steps", F.lit(0), lambda n, k: F.when((n + k <= F.size(at)) & (F.try_element_at(at, n + k)["pos"] <= pos), n + k).otherwise(n))
+    first = F.try_element_at(at, passed + 1)
+    if maxgap < 0:
+        return first
+    near = lambda x: x["start_time"] - F.col("min_end") <= maxgap
+    other = F.try_element_at(F.filter(at, lambda x: (x["pos"] > pos) & near(x)), F.lit(1))
+    return F.when(F.col("in_order"), F.when(near(first), first)).otherwise(other)
+
+
 def _counted(level: DataFrame, sizes: DataFrame, params: MiningParams) -> DataFrame:
     counts = level.groupBy(GROUP, "states").agg(F.count("*").alias("support_count"), F.min_by("ivs", "client_id").alias("ivs"))
     pairs = exprs.pattern_pairs(F.size("states"))
@@ -100,7 +121,7 @@ def _counted(level: DataFrame, sizes: DataFrame, params: MiningParams) -> DataFr
         relations = F.transform(pairs, lambda p: exprs.interval_relation(F.try_element_at("ivs", p["i"])["start_time"], F.try_element_at("ivs", p["i"])["end_time"], F.try_element_at("ivs", p["j"])["start_time"], F.try_element_at("ivs", p["j"])["end_time"]))
     else:
         relations = F.transform(pairs, lambda p: F.lit("b"))
-    kept = counts.join(F.broadcast(sizes), GROUP).filter(F.col("support_count") >= _least_count(params.minsup))
+    kept = counts.join(sizes, GROUP).filter(F.col("support_count") >= _least_count(params.minsup))
     return kept.select(GROUP, F.size("states").alias("size"), "states", F.when(F.size("states") > 1, relations).otherwise(F.expr("cast(array() as array<string>)")).alias("relations"), "support_count", (F.col("support_count") / F.col("n_clients")).alias("support"))
 
 

@@ -128,3 +128,22 @@ def test_permutation_keeps_states_and_intervals(spark):
     assert sorted(r[:2] for r in got) == sorted(r[:2] for r in rows)
     assert sorted((r[0], *r[2:]) for r in got) == sorted((r[0], *r[2:]) for r in rows)
     assert sorted(got) != rows
+
+
+@pytest.mark.parametrize("maxgap", [0.5, 3.0])
+def test_orders_that_starts_do_not_follow(spark, maxgap):
+    """The first interval that keeps the gap may come after one that breaks it."""
+    rows = [("c", "a", 0, 0.0, 1.0), ("c", "b", 1, 9.0, 9.5), ("c", "b", 2, 1.2, 2.0), ("c", "c", 3, 4.0, 5.0), ("d", "a", 0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "client_id string, state string, n int, start_time double, end_time double")
+    found = miner.patterns(miner.sequences(df, None, ["n"]), MiningParams(0.1, 0.5, maxgap, 2))
+    got = {tuple(r.states) for r in found.filter("size = 2").collect()}
+    firsts = {("c", "a"): rows[0], ("c", "b"): rows[1], ("c", "c"): rows[3], ("d", "a"): rows[4]}
+    assert got == {(f[1], r[1]) for f in firsts.values() for r in rows if r[0] == f[0] and r[2] > f[2] and r[3] - f[4] <= maxgap}
+
+
+def test_a_long_client(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20000).select(F.lit("c").alias("client_id"), F.concat(F.lit("s_"), F.xxhash64("id") % 6).alias("state"), F.col("id").cast("double").alias("start_time"), (F.col("id") + 1.5).alias("end_time"))
+    found = miner.patterns(miner.sequences(rows), MiningParams(0.5, 0.5, -1.0, 3)).groupBy("size").count().collect()
+    assert {r["size"]: r["count"] for r in found} == {1: 11, 2: 121, 3: 1331}
