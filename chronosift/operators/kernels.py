@@ -78,29 +78,36 @@ def filtered(x: np.ndarray, order: int, cutoff, fs: float, kind: str) -> np.ndar
 
 def local_maxima(x: np.ndarray) -> np.ndarray:
     """Places of strict maxima; of a plateau its middle."""
-    out, i = [], 1
-    while i < len(x) - 1:
-        if x[i - 1] < x[i]:
-            j = i
-            while j < len(x) - 1 and x[j + 1] == x[i]:
-                j += 1
-            if j < len(x) - 1 and x[j + 1] < x[i]:
-                out.append((i + j) // 2)
-            i = j + 1
-        else:
-            i += 1
-    return np.array(out, dtype=int)
+    edges = np.flatnonzero(np.diff(x) != 0)
+    if len(edges) < 2:
+        return np.empty(0, dtype=int)
+    first, last = edges[:-1] + 1, edges[1:]
+    top = (x[first - 1] < x[first]) & (x[last + 1] < x[last])
+    return (first[top] + last[top]) // 2
 
 
 def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    out = []
-    for p in peaks:
-        higher = np.flatnonzero(x[:p] > x[p])
-        left = x[(higher[-1] if len(higher) else 0) : p + 1].min()
-        higher = np.flatnonzero(x[p + 1 :] > x[p])
-        right = x[p : (p + 1 + higher[0] if len(higher) else len(x))].min()
-        out.append(x[p] - max(left, right))
-    return np.array(out)
+    """Height of peaks above the higher of the lowest samples on either side, up to a higher peak or the end.
+
+    Only maxima, the ends and the lowest samples between them matter: a stack of
+    the higher ones passes each once.
+    """
+    places = np.unique(np.concatenate([[0], local_maxima(x), [len(x) - 1]]))
+    heights = x[places]
+    lows = np.minimum(np.minimum.reduceat(x, places[:-1]), heights[1:]) if len(places) > 1 else np.empty(0)
+
+    def lowest(h: np.ndarray, between: np.ndarray) -> np.ndarray:
+        out, stack = np.empty(len(h)), []
+        for i, v in enumerate(h):
+            low = min(v, between[i - 1]) if i else v
+            while stack and stack[-1][0] <= v:
+                low = min(low, stack.pop()[1])
+            out[i] = low
+            stack.append((v, low))
+        return out
+
+    base = np.maximum(lowest(heights, lows), lowest(heights[::-1], lows[::-1])[::-1])
+    return (heights - base)[np.searchsorted(places, peaks)]
 
 
 def find_peaks(x: np.ndarray, distance: int = 1, height: float | None = None, prominence: float | None = None) -> np.ndarray:
@@ -113,9 +120,9 @@ def find_peaks(x: np.ndarray, distance: int = 1, height: float | None = None, pr
         keep = np.ones(len(peaks), dtype=bool)
         for i in np.argsort(x[peaks], kind="stable")[::-1]:
             if keep[i]:
-                near = np.abs(peaks - peaks[i]) < distance
-                near[i] = False
-                keep &= ~near
+                a, b = np.searchsorted(peaks, [peaks[i] - distance + 1, peaks[i] + distance])
+                keep[a:b] = False
+                keep[i] = True
         peaks = peaks[keep]
     if prominence is not None and len(peaks):
         peaks = peaks[prominences(x, peaks) >= prominence]
@@ -145,20 +152,21 @@ def band_power(freq: np.ndarray, density: np.ndarray, low: float, high: float) -
 
 
 def ecg_peaks(x: np.ndarray, fs: float) -> np.ndarray:
-    """R peaks: band-pass 5-15 Hz, squared slope, 150 ms moving mean, peaks at least 0.3 s apart."""
-    if len(x) < int(fs):
+    """R peaks of 2 s of signal or more: band-pass 5-15 Hz, squared slope, 150 ms moving mean, peaks at least 0.3 s apart. None below some 10 Hz, where the band is empty."""
+    high = min(15.0, 0.99 * fs / 2)
+    if len(x) < fs * 2 or high <= 5:
         return np.empty(0, dtype=int)
-    energy = np.diff(filtered(x, 2, (5, min(15, fs / 2 * 0.99)), fs, "band"), prepend=0.0) ** 2
+    energy = np.diff(filtered(x, 2, (5.0, high), fs, "band")) ** 2
     width = max(1, int(0.15 * fs))
     smooth = np.convolve(energy, np.ones(width) / width, mode="same")
     return find_peaks(smooth, max(1, int(0.3 * fs)), smooth.mean() + 0.5 * smooth.std())
 
 
 def pulse_peaks(x: np.ndarray, fs: float) -> np.ndarray:
-    """Beats of a blood volume pulse: band-pass 0.5-8 Hz, peaks at least 0.3 s apart and prominent."""
-    if len(x) < int(fs):
+    """Beats of a blood volume pulse of 0.5 s or more, and of more samples than the filter's padding (15): band-pass 0.5-8 Hz, from 1 % of half the rate at least, peaks at least 0.3 s apart and prominent."""
+    if len(x) < fs * 0.5 or len(x) <= 15:
         return np.empty(0, dtype=int)
-    y = filtered(x, 2, (0.5, min(8, fs / 2 * 0.99)), fs, "band")
+    y = filtered(x, 2, (max(0.5, 0.01 * fs / 2), min(8.0, 0.99 * fs / 2)), fs, "band")
     return find_peaks(y, max(1, int(0.3 * fs)), y.mean() + 0.3 * y.std(), 0.1 * y.std())
 
 

@@ -85,3 +85,29 @@ def test_both_resolutions_are_null_in_each_other(spark):
     fast, slow = spark.createDataFrame([("p", 5.0, 1.0)], "p string, seconds double, eda_mean double"), spark.createDataFrame([("p", 30.0, 2.0)], "p string, seconds double, temp_mean double")
     rows = {r.window_type: r for r in windows.both_resolutions(fast, slow).collect()}
     assert rows["fast"].temp_mean is None and rows["slow"].eda_mean is None
+
+
+def test_peak_helpers_against_plain_loops():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 17, 200):
+        for _ in range(30):
+            x = rng.integers(0, 6, n).astype(float)
+            maxima, i = [], 1
+            while i < n - 1:
+                j = i
+                while j < n - 1 and x[j + 1] == x[i]:
+                    j += 1
+                if x[i - 1] < x[i] and j < n - 1 and x[j + 1] < x[i]:
+                    maxima.append((i + j) // 2)
+                i = j + 1
+            assert kernels.local_maxima(x).tolist() == maxima
+            for p, got in zip(maxima, kernels.prominences(x, np.array(maxima, dtype=int)) if maxima else [], strict=True):
+                a = max([k for k in range(p) if x[k] > x[p]], default=0)
+                b = min([k for k in range(p + 1, n) if x[k] > x[p]], default=n - 1)
+                assert got == x[p] - max(x[a : p + 1].min(), x[p : b + 1].min())
+
+
+def test_least_lengths_of_signals():
+    x = np.sin(np.arange(4000) / 8.0)
+    assert len(kernels.ecg_peaks(x[:399], 200.0)) == 0 and len(kernels.ecg_peaks(x, 8.0)) == 0
+    assert len(kernels.pulse_peaks(x[:15], 8.0)) == 0 and len(kernels.pulse_peaks(x[:64], 8.0)) > 0
