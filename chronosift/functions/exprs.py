@@ -177,6 +177,10 @@ def clean_gender(v: Column) -> Column:
 # --- states and rules as text --------------------------------------------------------------------
 
 
+#: Skin features that are scaled within a participant. Fixed values.
+SKIN_COLUMNS = ("eda_mean", "eda_std", "eda_max", "eda_peaks", "eda_scr_mean_amp", "eda_scr_auc")
+
+
 def state_feature(state: Column) -> Column:
     """Text before a level suffix; the whole state if it has none."""
     return F.regexp_replace(state, "_(high|medium|low)$", "")

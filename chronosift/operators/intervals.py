@@ -35,6 +35,11 @@ def personal_minmax(long: DataFrame, by: list[str], value: str = "value") -> Col
     return F.when(n >= 2, F.when(high - low < FLAT, F.lit(0.5)).otherwise((v - low) / (high - low)))
 
 
+def with_norms(wide: DataFrame, by: list[str], columns: tuple[str, ...] = exprs.SKIN_COLUMNS) -> DataFrame:
+    """The rows with ``<column>_norm``, min-max scaled within by, of each column there is."""
+    return wide.withColumns({f"{c}_norm": personal_minmax(wide, by, c) for c in columns if c in wide.columns})
+
+
 def global_terciles(long: DataFrame, client: list[str], by: list[str], least: int = 10) -> DataFrame:
     """by, p33, p67: exact interpolated quantiles of the clients' min-max values; clients with fewer than 2 values are left out, keys with fewer than least values have none."""
     normed = long.filter(F.col("value").isNotNull()).withColumn("unit", personal_minmax(long, client + by))

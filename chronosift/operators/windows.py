@@ -170,6 +170,12 @@ def hrv_time_domain(beats: DataFrame, by: list[str], ts: str = "ts", ibi: str =
     }).drop("_q")
 
 
+def hrv_in_windows(beats: DataFrame, by: list[str], width: float, ts: str = "ts", ibi: str = "ibi") -> DataFrame:
+    """by, seconds (window end) and the time-domain variability of each window's beats; windows of fewer than 3 plausible ones are left out."""
+    placed = beats.withColumn("seconds", window_end(window_id(F.col(ts), width), width))
+    return hrv_time_domain(placed, [*by, "seconds"], ts, ibi)
+
+
 def nearest(left: DataFrame, right: DataFrame, by: list[str], ts: str, right_ts: str, value: str) -> DataFrame:
     """Each left row with the value of the right row nearest in time (the earlier of two), by one sort of both sides."""
     a = left.select(*by, F.col(ts).alias("_t"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(None).cast("double").alias("_rt"), F.struct(*left.columns).alias("_row"))

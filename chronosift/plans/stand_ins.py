@@ -74,11 +74,16 @@ iv AS (SELECT DISTINCT client_id, user_id, 'ds' || CAST(user_id % 4 AS VARCHAR)
 )
 
 
+def spelled_gender():
+    """Genders of customers as different sources spell them."""
+    return F.element_at(F.array(*[F.lit(x) for x in ("M", "female", "1", "WOMAN", " male ", "2", "x")]), (F.col("c_custkey") % 7 + 1).cast("int"))
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demographics: client_id, grp (market segment), gender, age, age_group, binary_age_group."""
     c = table(spark, sf_dir, "customer")
     age = (F.lit(18) + F.col("c_custkey") % 40).cast("double")
-    spelled = F.element_at(F.array(*[F.lit(x) for x in ("M", "female", "1", "WOMAN", " male ", "2", "x")]), (F.col("c_custkey") % 7 + 1).cast("int"))
+    spelled = spelled_gender()
     return c.select(F.col("c_custkey").cast("string").alias("client_id"), F.col("c_mktsegment").alias("segment"), exprs.clean_gender(spelled).alias("gender"), age.alias("age"), exprs.age_group(age).alias("age_group"), exprs.young_or_old(age).alias("binary_age_group"))
 
 

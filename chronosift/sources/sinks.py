@@ -7,12 +7,15 @@ one file unless asked to.
 from __future__ import annotations
 
 import json
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronosift.functions import exprs
 from chronosift.operators import rules as rule_ops
+from chronosift.shipping import ship
+from chronosift.sources.readers import RDF
 
 ORDER = ["client_id", "start_time", "end_time", "state"]
 
@@ -61,6 +64,30 @@ def triples_text(triples: DataFrame, path: str) -> None:
     triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), o, F.lit(" .")).alias("value")).write.mode("overwrite").text(path)
 
 
+def rdf_xml(triples: DataFrame, path: str) -> None:
+    """RDF/XML: a document for each partition, an element for each triple; objects with a scheme or a # are resources, others literals."""
+    ship(triples.sparkSession)
+
+    def document(batches):
+        import pandas as pd
+
+        yield pd.DataFrame({"value": ['<?xml version="1.0" encoding="UTF-8"?>', f'<rdf:RDF xmlns:rdf="{RDF}">']})
+        for pdf in batches:
+            yield pd.DataFrame({"value": [rdf_element(*t) for t in zip(pdf["s"], pdf["p"], pdf["o"], strict=True)]}, dtype="object")
+        yield pd.DataFrame({"value": ["</rdf:RDF>"]})
+
+    triples.select("s", "p", "o").mapInPandas(document, "value string").write.mode("overwrite").text(path)
+
+
+def rdf_element(s: str, p: str, o: str) -> str:
+    """One triple; a predicate's name is what follows its last # or /."""
+    at = max(p.rfind("#"), p.rfind("/")) + 1
+    head = f"<rdf:Description rdf:about={quoteattr(s)}><p:{p[at:]} xmlns:p={quoteattr(p[:at])}"
+    if "#" in o or "://" in o:
+        return f"{head} rdf:resource={quoteattr(o)}/></rdf:Description>"
+    return f"{head}>{escape(o)}</p:{p[at:]}></rdf:Description>"
+
+
 def table_markdown(df: DataFrame, rows: int = 50) -> str:
     """The first rows of a small frame as a Markdown table."""
     cell = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
