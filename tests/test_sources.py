@@ -92,3 +92,9 @@ def test_streams(spark, tmp_path):
         assert sorted((r.state, r.start_time, r.end_time) for r in spark.table("runs_out").collect()) == [("high", 10.0, 12.0), ("low", 0.0, 10.0)]
     finally:
         q.stop()
+
+
+def test_rdf_elements_are_read_as_written():
+    triples = [("urn://a#s", "urn://a#p", 'x < "y" & z'), ("urn#C1", "urn#hasNation", "urn#N2"), ("urn://a#s", "http://h/q/p", "http://h/o")]
+    document = f'<rdf:RDF xmlns:rdf="{readers.RDF}">{"".join(sinks.rdf_element(*t) for t in triples)}</rdf:RDF>'
+    assert readers.parse_rdf(document.encode()) == triples
