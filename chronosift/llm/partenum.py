@@ -15,9 +15,9 @@ untouched, hence the other set's too, and strong enough there.) A set takes
 part in its own band and, where it can be the smaller one of a pair there, in
 the next.
 
-The weight prefers signatures with shingles that few documents have. Which
-shingles are common is estimated on part of the documents; the estimate
-influences how many candidates there are, never which pairs are found.
+The weight prefers signatures with shingles that few sets have. Shingles are
+counted over all documents, by lossy counting in each task; the counts
+influence how many candidates there are, never which pairs are found.
 
 Equal sets are one node, whatever the number of copies. Nodes that share a
 signature, in its bucket, are candidates; each candidate pair that may still
@@ -66,9 +66,11 @@ BAND_RATIO = 2.37
 PAIRS_UP_TO, TRIPLES_UP_TO = 24, 256
 #: Single partitions in a band, as a share of its largest size; first-level partitions of three, as a share of the possible differences.
 PARTITIONS, TRIPLES = 0.4, 0.5
-#: Documents in SAMPLE_OF among which a shingle is common from COMMON_FROM on; so many are remembered, the commonest first.
-SAMPLE_OF, COMMON_FROM, COMMON = 32, 4, 200_000
-#: Set hashes of which a task remembers that it has given their signatures.
+#: Shingles counted between two prunings of a task's counts; a count is too high by one for each so many at most.
+COUNTED = 1_000_000
+#: A task reports shingles that it met so often; those reported so often in all are common, and so many are remembered, the commonest first.
+REPORTED_FROM, COMMON_FROM, COMMON = 4, 128, 200_000
+#: Set hashes of which a task remembers that it has counted them or given their signatures.
 SEEN = 100_000
 #: Signatures that a task gathers before it sends them; of a bucket among them so many nodes (2 at least) meet the others, the rest is dealt out by node.
 GATHER, LOCAL = 250_000, 8
@@ -203,31 +205,79 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
 
 
-def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, h (the hash of the text), n_shingles and k, the hash of the set (null if it is empty)."""
-
-    def kernel(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
-        for texts in batches:
-            found = shingle_sets(texts)
-            yield [pa.array([len(s) for s in found], type=pa.int64()), pa.array([set_hash(s) if len(s) else None for s in found], type=pa.int64())]
-
-    fields = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("k", T.LongType())])
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(text_col).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    return map_column(rows, "t", fields, kernel, ["doc_id", "h"])
+class Counts:
+    """Lossy counting of shingles: those met once or less in COUNTED are dropped, so that few are held."""
+
+    def __init__(self, width: int = 0):
+        self.width = width or COUNTED
+        self.keys, self.upper = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.held: list[np.ndarray] = []
+        self.waiting, self.round = 0, 0
+
+    def add(self, s: np.ndarray) -> None:
+        self.held.append(s)
+        self.waiting += len(s)
+        if self.waiting >= self.width:
+            self._prune()
+
+    def _prune(self) -> None:
+        self.round += max(1, self.waiting // self.width)  # a long set alone can be several widths
+        new, n = np.unique(np.concatenate(self.held), return_counts=True)
+        self.held, self.waiting = [], 0
+        at = np.searchsorted(self.keys, new)
+        old = np.zeros(len(new), dtype=bool)
+        inside = at < len(self.keys)
+        old[inside] = self.keys[at[inside]] == new[inside]
+        self.upper[at[old]] += n[old]
+        stay, fresh = self.upper > self.round, ~old & (n > 1)
+        keys = np.concatenate([self.keys[stay], new[fresh]])
+        upper = np.concatenate([self.upper[stay], n[fresh] + self.round - 1])
+        order = np.argsort(keys)
+        self.keys, self.upper = keys[order], upper[order]
+
+    def often(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending shingles met least times or more, and how often (at most)."""
+        if self.held:
+            self._prune()
+        return self.keys[self.upper >= least], self.upper[self.upper >= least]
+
+
+def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row of doc_id, h (the hash of the text), n_shingles and k, the hash of the set (null if it is empty), for each document.
+
+    Other rows, of which shingle is not null, are each task's frequent shingles
+    and their df; equal sets count once in a task, as far as it remembers them.
+    """
+    small_batches(docs.sparkSession)
+    body = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(text_col).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    fields = [body.schema["doc_id"], body.schema["h"], *(T.StructField(n, T.LongType()) for n in ("n_shingles", "k", "shingle", "df"))]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen, id_type = Counts(), set(), None
+        for b in batches:
+            found, keys, id_type = shingle_sets(b.column(2)), [], b.column(0).type
+            for s in found:
+                keys.append(set_hash(s) if len(s) else None)
+                if keys[-1] not in seen:
+                    counts.add(s)
+                    if len(seen) < SEEN:
+                        seen.add(keys[-1])
+            none = pa.nulls(len(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in found], type=pa.int64()), pa.array(keys, type=pa.int64()), none, none], names=schema.names)
+        if id_type is not None:
+            x, n = counts.often(REPORTED_FROM)
+            none = pa.nulls(len(x), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), id_type), none, none, none, pa.array(x.astype(np.int64)), pa.array(n)], names=schema.names)
 
-def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Ascending hashes of shingles that many documents have, from one document in SAMPLE_OF (by the hash of its text)."""
-    part = docs.filter(F.pmod(F.xxhash64(F.lit(11), F.col(f"`{text_col}`").cast("string")), F.lit(SAMPLE_OF)) == 0)
+    return body.mapInArrow(run, schema)
 
-    def kernel(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
-        for texts in batches:
-            yield [pa.array([s.astype(np.int64) for s in shingle_sets(texts)], type=pa.list_(pa.int64()))]
 
-    found = map_column(part, text_col, T.StructType([T.StructField("s", T.ArrayType(T.LongType()))]), kernel, [])
-    often = found.select(F.explode("s").alias("s")).groupBy("s").count().filter(F.col("count") >= COMMON_FROM)
-    rows = often.orderBy(F.col("count").desc(), "s").limit(COMMON).select("s").toPandas()
-    return np.sort(rows["s"].to_numpy(dtype=np.int64).astype(np.uint64))
+def common_shingles(scanned: DataFrame) -> np.ndarray:
+    """Ascending hashes of the shingles that most sets have."""
+    often = scanned.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("df").alias("df")).filter(F.col("df") >= COMMON_FROM)
+    rows = often.orderBy(F.col("df").desc(), "shingle").limit(COMMON).select("shingle").toPandas()
+    return np.sort(rows["shingle"].to_numpy(dtype=np.int64).astype(np.uint64))
 
 
 #: The lowest bit of a bucket's number tells rows that are dealt out by node.
@@ -526,11 +576,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The columns of components, and h, the hash of the row's text."""
     spark = docs.sparkSession
-    all_sets = settle(sets(docs, id_col, text_col), "sets")
+    scanned = settle(scan(docs, id_col, text_col), "sets")
+    all_sets = scanned.filter("shingle IS NULL").drop("shingle", "df")
     nodes = all_sets.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.max("n_shingles").alias("n"))
     shingles = all_sets.agg(F.sum("n_shingles")).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // (2 * SORTED) + 1)  # a signature for two shingles at most
-    buckets = settle(shared_buckets(signatures(docs, text_col, common_shingles(docs, id_col, text_col)), partitions), "buckets")
+    buckets = settle(shared_buckets(signatures(docs, text_col, common_shingles(scanned)), partitions), "buckets")
     release(spark)
     wanted = settle(buckets.select("k").distinct().join(nodes, "k"), "nodes")
     found = node_sets(docs, wanted.select("k", "rep", "h"), id_col, text_col)

@@ -165,3 +165,31 @@ def test_texts_of_megabytes(spark):
     rows = [(1, a), (2, a + " more"), (3, "x" * 3_000_000), (4, "x" * 3_000_000 + " y"), (5, a[: len(a) // 2])]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: (len(brute_set(t)), {2: 1}.get(d, d)) for d, t in rows}
+
+
+def test_lossy_counts_hold_every_frequent_shingle():
+    rng = np.random.default_rng(3)
+    counts, true, n = partenum.Counts(1000), {}, 0
+    for i in range(400):
+        s = np.unique(np.concatenate([rng.integers(0, 40, 10), rng.integers(100, 10**9, 60), np.arange(5000, 9000) if i == 7 else []]).astype(np.uint64))
+        counts.add(s)
+        n += len(s)
+        for x in s.tolist():
+            true[x] = true.get(x, 0) + 1
+    keys, upper = counts.often(1)
+    got = dict(zip(keys.tolist(), upper.tolist(), strict=True))
+    assert keys.tolist() == sorted(got) and len(got) < 2000
+    slack = n / 1000
+    assert all(x in got for x, c in true.items() if c > slack)
+    assert all(true[x] <= c <= true[x] + slack for x, c in got.items())
+
+
+def test_shingles_are_counted_over_all_documents(spark):
+    line = "one passage that a great many documents share"
+    rows = [(i, f"{line} w{i} x{i} y{i}") for i in range(1500)] + [(None, None), (5000, ""), (5001, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = partenum.scan(df, "doc_id", "text")
+    assert found.filter("shingle IS NULL").count() == len(rows)
+    common = partenum.common_shingles(found)
+    assert len(common) == 4 and (np.diff(common.astype(object)) > 0).all()
+    assert set(common.tolist()) <= set(partenum.shingle_sets(pa.array([line]))[0].tolist())
