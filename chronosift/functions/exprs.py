@@ -209,6 +209,17 @@ def pattern_text(states: Column, relations: Column) -> Column:
     return F.when(F.size(states) == 1, F.concat(F.lit("("), F.element_at(states, 1), F.lit(")"))).otherwise(F.array_join(said, " AND "))
 
 
+def pattern_matrix(states: Column, relations: Column) -> Column:
+    """``<a>`` of one state, else the states and the square of relations, a line a row: ``=`` on the diagonal and ``-`` below it."""
+    n = F.size(states)
+    shown = lambda items: F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    place = lambda i, j: ((i - 1) * n - i * (i - 1) / 2 + j - i).cast("int")
+    cell = lambda i, j: F.when(i < j, F.try_element_at(relations, place(i, j))).when(i == j, "=").otherwise("-")
+    row = lambda i: F.concat(F.lit("  "), shown(F.transform(F.sequence(F.lit(1), n), lambda j: cell(i, j))))
+    square = F.array_join(F.transform(F.sequence(F.lit(1), n), row), "\n")
+    return F.when(n == 1, F.concat(F.lit("<"), F.element_at(states, 1), F.lit(">"))).otherwise(F.concat(F.lit("States: "), shown(states), F.lit("\nRelations:\n"), square))
+
+
 def rule_signature(antecedent: Column, consequent: Column) -> Column:
     return F.concat_ws(" => ", antecedent, consequent)
 

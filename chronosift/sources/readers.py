@@ -7,6 +7,7 @@ from the file metadata, so that one scan covers many files.
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -241,3 +242,13 @@ def emotion_series(spark: SparkSession, path: str, emotion: str) -> DataFrame |
 def results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(patterns, rules) that ``sinks.save_results`` wrote."""
     return spark.read.parquet(f"{folder}/patterns"), spark.read.parquet(f"{folder}/rules")
+
+
+def cached_csv(spark: SparkSession, path: str, fields: T.StructType, make: Callable[[], DataFrame]) -> DataFrame:
+    """The finished CSV at path; where there is none, what make returns, written there first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not (files.exists(done) or files.exists(place) and files.getFileStatus(place).isFile()):
+        make().select(*fields.names).write.mode("overwrite").csv(path, header=True)
+    return spark.read.csv(path, header=True, schema=fields)

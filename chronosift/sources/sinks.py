@@ -103,6 +103,25 @@ def report(title: str, parameters: dict, sections: dict[str, DataFrame], rows: i
     return "\n".join(out) + "\n"
 
 
+def experiment_report(title: str, summary: dict, patterns: DataFrame, rules: DataFrame, top: int = 15) -> str:
+    """A Markdown report of six sections from experiment_json's summary and the patterns and rules common to all data sets.
+
+    patterns: pattern and avg_support; rules: signature, avg_confidence and
+    avg_support; both with any other columns, shown as they are. The top ones
+    by the average of support, or of confidence, are listed.
+    """
+    table = lambda rows: ["| " + " | ".join(rows[0]) + " |", "|" + "---|" * len(rows[0]), *("| " + " | ".join(str(r.get(c, "")) for c in rows[0]) + " |" for r in rows)] if rows else ["None."]
+    parameters = [{"parameter": k, "value": v} for k, v in summary.get("parameters", {}).items()]
+    filters = [f"- {k}: {'on' if v else 'off'}" for k, v in summary.get("filters", {}).items()]
+    n = {"patterns": patterns.count(), "rules": rules.count()}
+    common = [f"- {k} common to all data sets: {v}" for k, v in n.items()]
+    best = {"patterns": patterns.orderBy(F.desc("avg_support"), "pattern"), "rules": rules.orderBy(F.desc("avg_confidence"), F.desc("avg_support"), "signature")}
+    listed = {k: [table_markdown(df, top)] if n[k] else [f"No {k} are common to all data sets."] for k, df in best.items()}
+    found = f"Of {len(summary.get('datasets', []))} data sets, {n['patterns']} patterns and {n['rules']} rules are common to all."
+    sections = {"Methodology": [*table(parameters), "", *filters], "Data sets": table(summary.get("datasets", [])), "Similarity": common, "Common patterns": listed["patterns"], "Common rules": listed["rules"], "Conclusions": [found]}
+    return "\n".join([f"# {title}", *(line for name, body in sections.items() for line in ("", f"## {name}", "", *body))]) + "\n"
+
+
 def experiment_json(parameters: dict, filters: dict, counts: DataFrame) -> str:
     """Parameters, filters and a row of counts for each data set, as JSON."""
     return json.dumps({"parameters": parameters, "filters": filters, "datasets": [r.asDict() for r in counts.collect()]}, sort_keys=True)

@@ -63,3 +63,11 @@ def test_circumplex_and_calibration(spark):
     assert [(x["a"], x["v"]) for x in r] == [(0.75, 1.0), (1.0, 0.0), (0.5, 0.5)]
     r = values(spark, [(3.0,)], "v double", e=exprs.calibrate("ecg", F.col("v")), j=exprs.calibrate("joystick", F.col("v") * 0 - 26225))[0]
     assert math.isclose(r["e"], 4.0) and r["j"] == pytest.approx(0.5)
+
+
+def test_pattern_matrix(spark):
+    rows = [(["a"], []), (["a", "b"], ["m"]), (["a", "b", "c", "d"], ["1", "2", "3", "4", "5", "6"])]
+    found = spark.createDataFrame(rows, "s array<string>, r array<string>").select(exprs.pattern_matrix(F.col("s"), F.col("r")).alias("t")).collect()
+    assert found[0].t == "<a>"
+    assert found[1].t == "States: ['a', 'b']\nRelations:\n  ['=', 'm']\n  ['-', '=']"
+    assert found[2].t.split("\n")[2:] == ["  ['=', '1', '2', '3']", "  ['-', '=', '4', '5']", "  ['-', '-', '=', '6']", "  ['-', '-', '-', '=']"]

@@ -98,3 +98,30 @@ def test_rdf_elements_are_read_as_written():
     triples = [("urn://a#s", "urn://a#p", 'x < "y" & z'), ("urn#C1", "urn#hasNation", "urn#N2"), ("urn://a#s", "http://h/q/p", "http://h/o")]
     document = f'<rdf:RDF xmlns:rdf="{readers.RDF}">{"".join(sinks.rdf_element(*t) for t in triples)}</rdf:RDF>'
     assert readers.parse_rdf(document.encode()) == triples
+
+
+def test_six_section_report(spark):
+    summary = json.loads(sinks.experiment_json({"minsup": 0.3}, {"bvp_only": True}, spark.createDataFrame([("d1", 4), ("d2", 5)], "dataset string, patterns long")))
+    patterns = spark.createDataFrame([("(a)", 0.4), ("(b)", 0.9)], "pattern string, avg_support double")
+    rules = spark.createDataFrame([], "signature string, avg_confidence double, avg_support double")
+    text = sinks.experiment_report("T", summary, patterns, rules, top=1)
+    heads = [x[3:] for x in text.split("\n") if x.startswith("## ")]
+    assert heads == ["Methodology", "Data sets", "Similarity", "Common patterns", "Common rules", "Conclusions"]
+    assert "| minsup | 0.3 |" in text and "| d2 | 5 |" in text and "- bvp_only: on" in text and "- patterns common to all data sets: 2" in text
+    assert "| (b) | 0.9000 |" in text and "(a)" not in text and "No rules are common to all data sets." in text
+    empty = sinks.experiment_report("T", {}, patterns.limit(0), rules)
+    assert "No patterns are common" in empty and "Of 0 data sets" in empty
+
+
+def test_cached_csv_is_made_once(spark, tmp_path):
+    fields = spark.createDataFrame([], "s string, n long").schema
+    calls = []
+
+    def make():
+        calls.append(1)
+        return spark.createDataFrame([(1, "a", 0), (2, None, 0)], "n long, s string, other int")
+
+    for _ in range(2):
+        found = readers.cached_csv(spark, f"{tmp_path}/c", fields, make)
+        assert sorted(map(tuple, found.collect()), key=str) == [("a", 1), (None, 2)]
+    assert calls == [1]
