@@ -42,7 +42,7 @@ whole; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -50,12 +50,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from chronosift.llm.common import forget, free_name, map_column, release, settle, small_batches
+from chronosift.llm.common import BROADCAST_ROWS, forget, free_name, map_column, release, settle, small, small_batches
 from chronosift.llm.components import connected
 from chronosift.llm.textops import PLACES, distinct_sorted, grams, mix, splitmix, word_hashes
 
@@ -93,6 +93,38 @@ def set_hash(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
+@dataclass(frozen=True)
+class Method:
+    """Which sets are linked, and how candidates are found.
+
+    Documents are sets of shingles of so many words, linked from a similarity
+    of percent on; sets of fewer than least shingles are similar to equal ones
+    alone. give, called with the session and the scanned documents, returns the
+    function that gives buckets, and each one's place, of a list of sets in a
+    task. Where vector is given, candidates are screened: vector makes bytes of
+    a set, near tells of two sets' bytes whether the sets are to be compared.
+    """
+
+    shingle: int
+    percent: int
+    least: int
+    give: Callable[[SparkSession, DataFrame], Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]]
+    counts: bool = False
+    vector: Callable[[list[np.ndarray]], list[bytes]] | None = None
+    near: Callable[[list[bytes], list[bytes]], np.ndarray] | None = None
+
+    def sizes_allow(self, a: str, b: str) -> str:
+        return f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})"
+
+    def both(self, n: str) -> str:
+        """Least shingles that similar sets of n in all share."""
+        return f"({self.percent} * ({n}) + {99 + self.percent}) div {100 + self.percent}"
+
+    def prefix(self, n: str) -> str:
+        """Shingles of a set of n of which a similar set has one."""
+        return f"{n} - ({self.percent} * {n} + 99) div 100 + 1"
+
+
 def largest_partner(size):
     return 4 * size // 3
 
@@ -242,11 +274,12 @@ class Counts:
         return self.keys[self.upper >= least], self.upper[self.upper >= least]
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def scan(docs: DataFrame, id_col: str, text_col: str, n: int, counted: bool) -> DataFrame:
     """A row of doc_id, h (the hash of the text), n_shingles and k, the hash of the set (null if it is empty), for each document.
 
-    Other rows, of which shingle is not null, are each task's frequent shingles
-    and their df; equal sets count once in a task, as far as it remembers them.
+    If counted, other rows, of which shingle is not null, are each task's
+    frequent shingles and their df; equal sets count once in a task, as far as
+    it remembers them.
     """
     small_batches(docs.sparkSession)
     body = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(text_col).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t"))
@@ -256,19 +289,19 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, id_type = Counts(), set(), None
         for b in batches:
-            found, keys, id_type = shingle_sets(b.column(2)), [], b.column(0).type
+            found, keys, id_type = shingle_sets(b.column(2), n), [], b.column(0).type
             for s in found:
                 keys.append(set_hash(s) if len(s) else None)
-                if keys[-1] not in seen:
+                if counted and keys[-1] not in seen:
                     counts.add(s)
                     if len(seen) < SEEN:
                         seen.add(keys[-1])
             none = pa.nulls(len(found), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in found], type=pa.int64()), pa.array(keys, type=pa.int64()), none, none], names=schema.names)
-        if id_type is not None:
-            x, n = counts.often(REPORTED_FROM)
+        if counted and id_type is not None:
+            x, df = counts.often(REPORTED_FROM)
             none = pa.nulls(len(x), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), id_type), none, none, none, pa.array(x.astype(np.int64)), pa.array(n)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), id_type), none, none, none, pa.array(x.astype(np.int64)), pa.array(df)], names=schema.names)
 
     return body.mapInArrow(run, schema)
 
@@ -311,14 +344,23 @@ def _groups(found: dict[int, np.ndarray]) -> Iterator[dict[int, np.ndarray]]:
         yield group
 
 
-def signatures(docs: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
-    """(bucket, k) of all sets, the bucket being a signature without its lowest bit; a task gives those of a set it remembers once only.
+def enumerated(spark: SparkSession, scanned: DataFrame) -> Callable:
+    """Gives PartEnum signatures, weighed by the shingles that most sets have."""
+    shared = spark.sparkContext.broadcast(common_shingles(scanned))
+    return lambda sets: signatures_of(sets, shared.value)
+
+
+#: The n-gram Jaccard join.
+PARTENUM = Method(SHINGLE, 75, 3, enumerated, counts=True)
+
+
+def signatures(docs: DataFrame, text_col: str, n: int, least: int, give: Callable) -> DataFrame:
+    """(bucket, k) of all sets of least shingles or more, the bucket being a signature without its lowest bit; a task gives those of a set it remembers once only.
 
     Of a bucket that has more than LOCAL nodes among those gathered, the others
     have that bit set (SPREAD).
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(common)
     body = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
 
     def sent(buckets: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
@@ -327,16 +369,16 @@ def signatures(docs: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array((bucket | np.where(place >= LOCAL, SPREAD, 0))[order]), pa.array(k[order])], names=["bucket", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen, buckets, keys, held = shared.value, set(), [], [], 0
+        seen, buckets, keys, held = set(), [], [], 0
         for b in batches:
             new: dict[int, np.ndarray] = {}
-            for s in shingle_sets(b.column(0)):
-                if len(s) >= 3 and (k := set_hash(s)) not in seen:
+            for s in shingle_sets(b.column(0), n):
+                if len(s) >= least and (k := set_hash(s)) not in seen:
                     new[k] = s
                     if len(seen) < SEEN:
                         seen.add(k)
             for group in _groups(new):
-                sig, place = signatures_of(list(group.values()), common)
+                sig, place = give(list(group.values()))
                 buckets.append(sig.astype(np.int64))
                 keys.append(np.array(list(group), dtype=np.int64)[place])
                 held += len(sig)
@@ -370,8 +412,6 @@ def shared_buckets(rows: DataFrame, partitions: int) -> DataFrame:
     return rows.repartition(partitions, key).mapInArrow(run, "bucket long, k long, n long")
 
 
-#: A side of at most so many (long, long) rows, some 16 MB, is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Buckets of at most so many nodes have all their open pairs compared; those of larger ones are sifted first.
 LIGHT = 16
 #: Open pairs of sifted buckets compared at once: so many a row, or this many if there are few rows.
@@ -380,46 +420,56 @@ PAIRS_A_ROW, PAIRS_AT_ONCE = 20, 200_000
 PARTNERS = 1024
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, with a hint to broadcast it if it has few rows; df has rows of two integers and is cheap to count."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def node_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, s) of the wanted nodes (k, rep, h): the set as bytes, computed from the text of the document rep.
+def node_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, method: Method) -> DataFrame:
+    """(k, s, v) of the wanted nodes (k, rep, h): the set as bytes, computed from the text of the document rep, and its vector (else null).
 
     Where rep is null all the node's documents are without identifier, and a
     text of theirs with hash h is taken. Rows that share an identifier may give
     a node twice.
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    d = texts.join(_small(wanted.filter("rep IS NOT NULL").select("k", "rep")), "rep").select("k", "t")
+    d = texts.join(small(wanted.filter("rep IS NOT NULL").select("k", "rep")), "rep").select("k", "t")
     unnamed = wanted.filter("rep IS NULL").select("k", "h")
     if not unnamed.isEmpty():
         rows = texts.filter("rep IS NULL").select("t", text_hash("t").alias("h"))
-        d = d.unionByName(rows.join(_small(unnamed), "h").select("k", "t").distinct())
+        d = d.unionByName(rows.join(small(unnamed), "h").select("k", "t").distinct())
 
     def kernel(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         for texts in batches:
-            found = shingle_sets(texts)
-            yield [pa.array([set_hash(s) if len(s) else None for s in found], type=pa.int64()), pa.array([s.tobytes() for s in found], type=pa.binary())]
+            found = shingle_sets(texts, method.shingle)
+            v = method.vector(found) if method.vector else [None] * len(found)
+            yield [pa.array([set_hash(s) if len(s) else None for s in found], type=pa.int64()), pa.array([s.tobytes() for s in found], type=pa.binary()), pa.array(v, type=pa.binary())]
 
-    fields = T.StructType([T.StructField("own", T.LongType()), T.StructField("s", T.BinaryType())])
-    return map_column(d, "t", fields, kernel, ["k"]).filter("k = own").select("k", "s")
+    fields = T.StructType([T.StructField("own", T.LongType()), T.StructField("s", T.BinaryType()), T.StructField("v", T.BinaryType())])
+    return map_column(d, "t", fields, kernel, ["k"]).filter("k = own").select("k", "s", "v")
 
 
-def similar(a: bytes, b: bytes) -> bool:
+def similar(a: bytes, b: bytes, percent: int = 75) -> bool:
     x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
     if len(x) > len(y):
         x, y = y, x
-    if 4 * len(x) < 3 * len(y):
+    if 100 * len(x) < percent * len(y):
         return False
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     both = int((y[at] == x).sum())
-    return 100 * both >= 75 * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def screened(pairs: DataFrame, sets_of: DataFrame, few: bool, near: Callable) -> DataFrame:
+    """The pairs (a, b) whose vectors are near; vectors alone are dealt out."""
+    of_pairs = F.broadcast if few else lambda df: df
+    a = sets_of.select(F.col("k").alias("a"), F.col("v").alias("va"))
+    b = sets_of.select(F.col("k").alias("b"), F.col("v").alias("vb"))
+    both = b.join(of_pairs(a.join(of_pairs(pairs), "a")), "b").select("a", "b", "va", "vb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield x.select(["a", "b"]).filter(pa.array(near(x.column(2).to_pylist(), x.column(3).to_pylist()), type=pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, sets_of: DataFrame, few: bool, hot: bool) -> DataFrame:
+def linked(pairs: DataFrame, sets_of: DataFrame, few: bool, hot: bool, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar. Only sets of nodes in pairs are dealt out; if some node a is hot, its partners in parts of PARTNERS.
 
     few: there are at most BROADCAST_ROWS pairs.
@@ -435,7 +485,7 @@ def linked(pairs: DataFrame, sets_of: DataFrame, few: bool, hot: bool) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [similar(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = [similar(x, y, percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -470,15 +520,15 @@ def _every(rows: DataFrame) -> DataFrame:
     return x.join(y, "bucket").filter("a < b AND ca <> cb").select("a", "b").distinct()
 
 
-def _every_sifted(rows: DataFrame, part: int, of: int) -> DataFrame:
+def _every_sifted(rows: DataFrame, part: int, of: int, method: Method) -> DataFrame:
     """Pairs of sifted rows in different components whose shared shingle can be their first; the pairs of one in so many nodes a.
 
-    Similar sets of sa and sb shingles share 3 (sa + sb) / 7 at least, so that
-    the first one they share has as many places from it to the end in both.
+    Similar sets share some number of shingles at least, so that the first one
+    they share has as many places from it to the end in both.
     """
     x, y = (rows.select("bucket", F.col("k").alias(n), F.col("comp").alias(f"c{n}"), F.col("size").alias(f"s{n}"), F.col("place").alias(f"p{n}")) for n in ("a", "b"))
-    both = x.filter(F.pmod(F.xxhash64("a"), F.lit(of)) == part).join(y, "bucket").filter("a < b AND ca <> cb AND 4 * least(sa, sb) >= 3 * greatest(sa, sb)")
-    return both.filter("least(sa - pa, sb - pb) + 1 >= (3 * (sa + sb) + 6) div 7").select("a", "b").distinct()
+    both = x.filter(F.pmod(F.xxhash64("a"), F.lit(of)) == part).join(y, "bucket").filter("a < b AND ca <> cb").filter(method.sizes_allow("sa", "sb"))
+    return both.filter(f"least(sa - pa, sb - pb) + 1 >= {method.both('sa + sb')}").select("a", "b").distinct()
 
 
 def _open(buckets: DataFrame, links: _Links) -> DataFrame:
@@ -497,7 +547,7 @@ def _open_pairs(rows: DataFrame) -> tuple[int, int]:
     return int(n or 0), int(pairs or 0)
 
 
-def _sifted(nodes_: DataFrame, sets_of: DataFrame) -> DataFrame:
+def _sifted(nodes_: DataFrame, sets_of: DataFrame, method: Method) -> DataFrame:
     """(bucket, k, size, place) for each node and each shingle of its rarest, one more than a similar set can lack.
 
     Two similar sets have one of these in common: all sets' shingles are put in
@@ -518,14 +568,14 @@ def _sifted(nodes_: DataFrame, sets_of: DataFrame) -> DataFrame:
     # A shingle of one node alone takes a place, but is no bucket.
     alone = rows.groupBy("k").agg(F.count("*").alias("all")).join(own.groupBy("k").agg(F.count("*").alias("shared")), "k").select("k", (F.col("all") - F.col("shared")).alias("before"))
     ranked = own.join(alone, "k").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("k").orderBy("df", "bucket")))
-    return ranked.filter("place <= n - (3 * n + 3) div 4 + 1").select("bucket", "k", F.col("n").alias("size"), "place")
+    return ranked.filter(f"place <= {method.prefix('n')}").select("bucket", "k", F.col("n").alias("size"), "place")
 
 
 class _Links:
     """Components so far, and the pairs that were compared for them."""
 
-    def __init__(self, sets_of: DataFrame, sizes: DataFrame):
-        self.sets_of = sets_of
+    def __init__(self, sets_of: DataFrame, sizes: DataFrame, method: Method):
+        self.sets_of, self.method = sets_of, method
         self.few = sizes.count() <= BROADCAST_ROWS
         self.sizes = self.small(sizes)
         self.labels = sizes.sparkSession.createDataFrame([], "node long, comp long")
@@ -541,12 +591,16 @@ class _Links:
         na, nb = self.sizes.select(F.col("k").alias("a"), F.col("n").alias("na")), self.sizes.select(F.col("k").alias("b"), F.col("n").alias("nb"))
         before = F.broadcast(self.tested) if self.compared <= BROADCAST_ROWS else self.tested
         fresh = pairs.join(before, ["a", "b"], "left_anti") if self.compared else pairs
-        fresh = settle(fresh.join(na, "a").join(nb, "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b"), "pairs")
+        fresh = settle(fresh.join(na, "a").join(nb, "b").filter(self.method.sizes_allow("na", "nb")).select("a", "b"), "pairs")
         n, most = fresh.groupBy("a").count().agg(F.sum("count"), F.max("count")).first()
         if not n:
             forget(fresh)
             return False
-        found = settle(linked(fresh, self.sets_of, n <= BROADCAST_ROWS, most > PARTNERS), "links")
+        few, near = n <= BROADCAST_ROWS, self.method.near
+        close = settle(screened(fresh, self.sets_of, few, near), "close") if near else fresh
+        found = settle(linked(close, self.sets_of, few, most > PARTNERS, self.method.percent), "links")
+        if near:
+            forget(close)
         before, self.tested = self.tested, settle(self.tested.unionByName(fresh), "pairs")
         self.compared += n
         some = not found.isEmpty()
@@ -568,33 +622,34 @@ class _Links:
         return after
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", method: Method = PARTENUM) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest identifier reachable by links) of each row."""
-    return _components(docs, id_col, text_col).drop("h")
+    return _components(docs, id_col, text_col, method).drop("h")
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, method: Method) -> DataFrame:
     """The columns of components, and h, the hash of the row's text."""
     spark = docs.sparkSession
-    scanned = settle(scan(docs, id_col, text_col), "sets")
+    scanned = settle(scan(docs, id_col, text_col, method.shingle, method.counts), "sets")
     all_sets = scanned.filter("shingle IS NULL").drop("shingle", "df")
     nodes = all_sets.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.max("n_shingles").alias("n"))
     shingles = all_sets.agg(F.sum("n_shingles")).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // (2 * SORTED) + 1)  # a signature for two shingles at most
-    buckets = settle(shared_buckets(signatures(docs, text_col, common_shingles(scanned)), partitions), "buckets")
+    given = signatures(docs, text_col, method.shingle, method.least, method.give(spark, scanned))
+    buckets = settle(shared_buckets(given, partitions), "buckets")
     release(spark)
     wanted = settle(buckets.select("k").distinct().join(nodes, "k"), "nodes")
-    found = node_sets(docs, wanted.select("k", "rep", "h"), id_col, text_col)
+    found = node_sets(docs, wanted.select("k", "rep", "h"), id_col, text_col, method)
     once = all_sets.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
     sets_of = settle(found if once else found.dropDuplicates(["k"]), "node-sets")
 
-    links = _Links(sets_of, wanted.select("k", "n"))
+    links = _Links(sets_of, wanted.select("k", "n"), method)
     links.compare(_star(buckets.withColumn("comp", F.col("k"))))
     open_ = settle(_open(buckets, links), "open")
     forget(buckets)
     heavy = open_.filter(F.col("n") > LIGHT).select("k").distinct()
     if not heavy.isEmpty():
-        sifted = settle(_sifted(links.small(heavy), sets_of), "sifted")
+        sifted = settle(_sifted(links.small(heavy), sets_of, method), "sifted")
         release(spark)
         _resolve(sifted, links)
         forget(sifted)
@@ -622,11 +677,11 @@ def _resolve(sifted: DataFrame, links: _Links) -> None:
         forget(rows)
     slices = -(-pairs // at_once)
     for i in range(slices):
-        links.compare(_every_sifted(rows, i, slices))
+        links.compare(_every_sifted(rows, i, slices, links.method))
     forget(rows)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", method: Method = PARTENUM) -> DataFrame:
     """The rows of docs without those linked to a smaller identifier; of rows with one identifier and one text, one stays.
 
     A row is known by identifier and text, so that the other texts of its
@@ -636,7 +691,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Only identifiers and hashes are joined with the texts, and only identifiers
     that occur more than once have their rows dealt out by key.
     """
-    comp = settle(_components(docs, id_col, text_col), "components")
+    comp = settle(_components(docs, id_col, text_col, method), "components")
     gone = comp.filter("component_id <> doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("gone"), F.col("h").alias("gone_h")).distinct()
     h = free_name(docs, "h")
     d = docs.withColumn(h, text_hash(text_col))

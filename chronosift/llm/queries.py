@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.llm import cotrain, fair_mix, lang_kernel, license_rules, partenum, rule_ledger, secret_grammar, sstable, winnow, wordpiece
+from chronosift.llm import conv_repair, conv_trie, cotrain, fair_mix, lang_kernel, license_rules, minhash_join, partenum, rule_ledger, secret_grammar, sstable, winnow, wordpiece
 from chronosift.llm.common import table
 
 #: Appended to each document by op1.
@@ -92,6 +92,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.components(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.components(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_repair.reports(conv_repair.edits(conv_repair.damaged(table(spark, sf_dir, "conversations")), absent="gone"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_quality_classifier": op2_quality_classifier,
@@ -103,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_minhash_dedup": op11_minhash_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_conversation_trie": op13_conversation_trie,
     "quality_rule_ablation": quality_rule_ablation,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -110,5 +125,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_fair_mix": fair_mix.oracle(),
     "op7_decontaminate": winnow.oracle(),
     "op9_quality_rules": rule_ledger.oracle(),
+    "op12_conversation_repair": conv_repair.oracle(),
+    "op13_conversation_trie": conv_trie.oracle(),
     "quality_rule_ablation": rule_ledger.oracle_ablation(),
 }
