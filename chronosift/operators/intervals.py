@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronosift.functions import exprs
+from chronosift.operators.quantiles import joined, quantiles
 
 #: Seconds after the last row at which the last interval of a variable ends.
 CLOSING = 30.0
@@ -41,16 +42,26 @@ def with_norms(wide: DataFrame, by: list[str], columns: tuple[str, ...] = exprs.
 
 
 def global_terciles(long: DataFrame, client: list[str], by: list[str], least: int = 10) -> DataFrame:
-    """by, p33, p67: exact interpolated quantiles of the clients' min-max values; clients with fewer than 2 values are left out, keys with fewer than least values have none."""
-    normed = long.filter(F.col("value").isNotNull()).withColumn("unit", personal_minmax(long, client + by))
-    cut = normed.filter(F.col("unit").isNotNull()).groupBy(*by).agg(F.percentile("unit", F.array(F.lit(0.33), F.lit(0.67))).alias("p"), F.count("*").alias("n"))
+    """by, p33, p67: exact interpolated quantiles of the clients' min-max values; clients with fewer than 2 values are left out, keys with fewer than least values have none.
+
+    Neither a client's nor a variable's values meet in a task: ends are
+    aggregated and joined, quantiles found by distributed selection.
+    """
+    known = long.filter(F.col("value").isNotNull()).select(*client, *by, "value")
+    ends = known.groupBy(*client, *by).agg(F.min("value").alias("_low"), F.max("value").alias("_high"), F.count("*").alias("_n")).filter("_n >= 2")
+    both = joined(known, ends, [*client, *by])
+    width = F.col("_high") - F.col("_low")
+    units = both.select(*by, F.when(width < FLAT, F.lit(0.5)).otherwise((F.col("value") - F.col("_low")) / width).alias("unit"))
+    cut = quantiles(units, by, "unit", (0.33, 0.67))
     return cut.filter(F.col("n") >= least).select(*by, F.col("p")[0].alias("p33"), F.col("p")[1].alias("p67"))
 
 
 def subject_terciles(long: DataFrame, by: list[str]) -> DataFrame:
     """by, low, p33, p67, high: terciles of raw values of keys with 3 values or more; the upper end is beyond the largest by 0.001."""
-    agg = long.filter(F.col("value").isNotNull()).groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.33), F.lit(0.67))).alias("p"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
-    return agg.filter("n >= 3").select(*by, "low", F.col("p")[0].alias("p33"), F.col("p")[1].alias("p67"), (F.col("high") + 0.001).alias("high"))
+    known = long.filter(F.col("value").isNotNull())
+    ends = known.groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    cut = quantiles(known, by, "value", (0.33, 0.67)).filter("n >= 3")
+    return joined(cut, ends, by).select(*by, "low", F.col("p")[0].alias("p33"), F.col("p")[1].alias("p67"), (F.col("high") + 0.001).alias("high"))
 
 
 def tercile_cuts(p33: Column, p67: Column) -> dict:
