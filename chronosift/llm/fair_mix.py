@@ -2,14 +2,12 @@
 
 Each source is a queue of its documents in shuffled order (a seeded hash of the
 identifier); a second copy of the source follows the first, so that a document
-is taken at most twice. A document's virtual time is the words its source has
-sent when half of it is sent, divided by the source's target (its finish time,
-less half its own share: ordered by ends, each source's last document would
-come late by its whole length). The documents of all queues are sorted by
-virtual time over the whole table, in ranges; their words are summed up in that
-order, range by range; and the stream ends where the budget, the sum of the
-targets, is spent: a document is in if the larger part of it is. Documents stay
-whole.
+is taken at most twice. A document's virtual finish time is the words its
+source has sent when all of it is sent, divided by the source's target. The
+documents of all queues are sorted by finish time over the whole table, in
+ranges; their words are summed up in that order, range by range; and the stream
+ends where the budget, the sum of the targets, is spent: a document is in if
+the larger part of it is. Documents stay whole.
 
 Targets: sources, by code point and null last, weigh 5, 2, 1, repeating, and
 share ``share`` times all words; a target stops at ``most`` times its source's
@@ -23,9 +21,10 @@ rows are one unit until they are sent; each repeat has its own virtual time.
 Cases: a null text has size 0 and is never needed (taken 0); a null source is
 a source; of rows with equal identifier, source, size and text some may be
 taken more often than others, which ones is the same in every run as far as
-they differ at all; ties of virtual time go by source, hash and identifier;
+they differ at all; ties of finish time go by source, hash and identifier;
 sources without words have target 0; a text of any length is one document; an
-empty table gives no rows; other columns are ignored, and kept by ``mixed``.
+empty table gives no rows; other columns are ignored, and kept by ``mixed``,
+whatever their names and types.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronosift.llm.common import free_name, settle
+from chronosift.llm.common import settle
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -113,12 +112,12 @@ def _numbered(rows: DataFrame, n: Column, partitions: int) -> DataFrame:
 
 
 def stream(of: DataFrame, partitions: int, budget: float) -> DataFrame:
-    """What is sent until the budget is spent, in order: UNIT, i (which of the equal rows), again (0 or 1: its first or second copy), at (virtual time) and range."""
+    """What is sent until the budget is spent, in order: UNIT, i (which of the equal rows), again (0 or 1: its first or second copy), at (finish time) and range."""
     needed = of.filter("size > 0 AND target > 0")
     entries = _numbered(needed, F.col("rows") * 2, partitions).withColumn("again", (F.col("i") >= F.col("rows")).cast("int")).withColumn("i", F.col("i") % F.col("rows"))
-    half_sent = F.col("before") + F.col("again") * F.col("source_size") + (F.col("i") + 1) * F.col("size") - F.col("size") / 2
+    sent = F.col("before") + F.col("again") * F.col("source_size") + (F.col("i") + 1) * F.col("size")
     order = ["at", "source", "h", "doc_id", "size", "content", "i", "again"]
-    timed = entries.withColumn("at", half_sent / F.col("target")).select(*UNIT, "h", "i", "again", "at")
+    timed = entries.withColumn("at", sent / F.col("target")).select(*UNIT, "h", "i", "again", "at")
     ranged = settle(timed.repartitionByRange(partitions, *order).withColumn("range", F.spark_partition_id()), "mix-stream")
     sums = ranged.groupBy("range").agg(F.sum("size").alias("words"))
     earlier = sums.withColumn("offset", F.coalesce(F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("words")
@@ -128,7 +127,7 @@ def stream(of: DataFrame, partitions: int, budget: float) -> DataFrame:
 
 
 def plan(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The units, with first and again: how many of a unit's rows the mix takes once at least, and twice; and at, the virtual time of the first."""
+    """The units, with first and again: how many of a unit's rows the mix takes once at least, and twice; and at, the finish time of the first."""
     of = settle(units(docs, share, most, weights, seed, id_col, text_col, source_col), "mix-units")
     words = of.agg(F.sum(F.col("size") * F.col("rows"))).first()[0] or 0
     partitions = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -141,32 +140,35 @@ def plan(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tup
 
 
 def mixed(docs: DataFrame, partitions: int, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the columns of docs, a row for each copy taken, range-sorted by virtual time.
+    """The mix itself: the columns of docs, a row for each copy taken, range-sorted by finish time.
 
     A row of docs meets its decision by its unit. Where only some of a unit's
     rows are taken (at the end of the stream, one unit of a source at most for
-    each copy), its rows are counted by content and the first ones taken.
+    each copy), its rows are counted by content and the first ones taken. The
+    row travels as one column, so that its names meet none of these.
     """
     decided = plan(docs, share, most, weights, seed, id_col, text_col, source_col).filter("first > 0")
-    own, size, content, at = (free_name(docs, n) for n in ("decision", "size_now", "content_now", "virtual_time"))
-    p = decided.select(F.struct("*").alias(own))
     text = F.col(f"`{text_col}`").cast("string")
-    d = docs.withColumn(size, n_words(text)).withColumn(content, F.xxhash64(text))
-    key = d[f"`{id_col}`"].eqNullSafe(p[own]["doc_id"]) & d[f"`{source_col}`"].cast("string").eqNullSafe(p[own]["source"]) & (d[size] == p[own]["size"]) & (d[content] == p[own]["content"])
-    met = d.join(p, key)
-    whole = F.col(own)["first"].isin(0, F.col(own)["rows"]) & F.col(own)["again"].isin(0, F.col(own)["rows"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    second = F.col(own)["at"] + F.col(own)["source_size"] / F.col(own)["target"]
-    times = F.when(F.col(own)["again"] > 0, F.array(F.col(own)["at"], second)).otherwise(F.array(F.col(own)["at"]))
-    sent = met.filter(whole).select(*columns, F.explode(times).alias(at))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    key = F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("content"))
+    d = docs.select(row.alias("row"), key.alias("key")).select("row", "key.*")
+    p = decided.select(F.struct("*").alias("own"))
+    same = [d[c].eqNullSafe(p["own"][c]) for c in UNIT]
+    met = d.join(p, same[0] & same[1] & same[2] & same[3]).select("row", "own")
+    whole = F.col("own")["first"].isin(0, F.col("own")["rows"]) & F.col("own")["again"].isin(0, F.col("own")["rows"])
+    second = F.col("own")["at"] + F.col("own")["source_size"] / F.col("own")["target"]
+    times = F.when(F.col("own")["again"] > 0, F.array(F.col("own")["at"], second)).otherwise(F.array(F.col("own")["at"]))
+    sent = met.filter(whole).select("row", F.col("own")["doc_id"].alias("id"), F.explode(times).alias("at"))
     if not decided.filter("first NOT IN (0, rows) OR again NOT IN (0, rows)").isEmpty():
-        counted = settle(met.filter(~whole).groupBy(*columns, F.col(own).alias("_own")).agg(F.count("*").alias("_rows")), "mix-part")
-        upto = Window.partitionBy("_own").orderBy(F.xxhash64(*columns)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        placed = counted.withColumn("_before", F.sum("_rows").over(upto) - F.col("_rows"))
-        share_of = lambda n: F.greatest(F.lit(0), F.least(F.col("_rows"), F.col("_own")[n] - F.col("_before")))
-        part = _numbered(placed, share_of("first") + share_of("again"), partitions).select(*columns, F.col("_own")["at"].alias(at))
+        alike = F.md5(F.to_json("row"))
+        counted = settle(met.filter(~whole).groupBy("own", alike.alias("alike")).agg(F.first("row").alias("row"), F.count("*").alias("of")), "mix-part")
+        upto = Window.partitionBy("own").orderBy("alike").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = counted.withColumn("before", F.sum("of").over(upto) - F.col("of"))
+        share_of = lambda n: F.greatest(F.lit(0), F.least(F.col("of"), F.col("own")[n] - F.col("before")))
+        part = _numbered(placed, share_of("first") + share_of("again"), partitions).select("row", F.col("own")["doc_id"].alias("id"), F.col("own")["at"].alias("at"))
         sent = sent.unionByName(part)
-    return sent.repartitionByRange(partitions, at, f"`{id_col}`").sortWithinPartitions(at, f"`{id_col}`").drop(at)
+    ordered = sent.repartitionByRange(partitions, "at", "id").sortWithinPartitions("at", "id")
+    return ordered.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
 def taken_rows(planned: DataFrame) -> DataFrame:
@@ -198,7 +200,7 @@ WITH d AS (
 ), sent AS (
     SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS ahead FROM queue
 ), entries AS (
-    SELECT *, (ahead + again * source_size + size - size / 2::DOUBLE) / target AS vtime FROM sent, (VALUES (0), (1)) c(again) WHERE size > 0 AND target > 0
+    SELECT *, (ahead + again * source_size + size) / target AS vtime FROM sent, (VALUES (0), (1)) c(again) WHERE size > 0 AND target > 0
 ), summed AS (
     SELECT *, sum(size) OVER (ORDER BY vtime, source NULLS FIRST, h, doc_id, size, again ROWS UNBOUNDED PRECEDING) AS words FROM entries
 ), taken AS (

@@ -98,3 +98,17 @@ def test_sql(spark):
     got = queries.op6_fair_mix(spark, helpers.SF)
     rows = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['op6_fair_mix']})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+def test_columns_of_any_name_and_type_are_kept(spark):
+    """Names that the operator uses itself, and a map, beside repeated rows of which some are taken."""
+    names = ["i", "_n", "_part", "_rows", "_own", "_before", "row", "own", "at", "id", "key", "of", "alike", "before", "rows", "h", "again", "first"]
+    rows = [(7, "two words", "a")] * 300 + [(i, "three words here", "b") for i in range(90)] + [(8, "two words", "b")] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.lit(777).alias(n) for n in names], F.create_map(F.lit("k"), F.col("doc_id")).alias("map"))
+    got = fair_mix.mixed(docs, 4)
+    assert got.columns == docs.columns
+    plan = fair_mix.plan(docs).collect()
+    found = got.collect()
+    assert Counter(r.doc_id for r in found) == Counter({d: n for d in {r.doc_id for r in plan} if (n := sum(r.first + r.again for r in plan if r.doc_id == d))})
+    assert all(r[n] == 777 for r in found for n in names) and all(r["map"] == {"k": r.doc_id} for r in found)
