@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronosift.functions import exprs
+from chronosift.operators import relations
 from chronosift.operators.quantiles import joined, quantiles
 
 #: Seconds after the last row at which the last interval of a variable ends.
@@ -173,14 +174,22 @@ def positions(intervals: DataFrame, by: list[str]) -> DataFrame:
 
 
 def relation_counts(intervals: DataFrame, checked: bool = False, first: int | None = None, by: tuple[str, ...] = ("client_id",)) -> DataFrame:
-    """by, relation, n over all pairs of a client's sequence, or its first pairs in row order."""
+    """by, relation, n over all pairs of a client's sequence, or its first pairs in row order.
+
+    All pairs are counted without being made (``relations``); checked names them
+    as the validator does, for intervals that have a length. The first pairs are
+    few and are made.
+    """
+    if first is None:
+        found = relations.relation_counts(intervals, by)
+        words = F.create_map(*[F.lit(x) for pair in exprs.RELATIONS.items() for x in pair])
+        return found.withColumn("relation", F.element_at(words, F.col("relation"))) if checked else found
     p = positions(intervals, list(by))
     a = p.select(*by, *[F.col(c).alias(f"a_{c}") for c in ("pos", "start_time", "end_time")])
     b = p.select(*by, *[F.col(c).alias(f"b_{c}") for c in ("pos", "start_time", "end_time")])
     kind = (exprs.interval_relation_checked if checked else exprs.interval_relation)(F.col("a_start_time"), F.col("a_end_time"), F.col("b_start_time"), F.col("b_end_time"))
-    pairs = a.join(b, list(by)).filter("a_pos < b_pos")
-    if first is not None:
-        # Pair (i, j) is number i * n - i * (i + 1) / 2 + j - i - 1: no ranking of all pairs is needed.
-        n = p.groupBy(*by).agg(F.count("*").alias("n"))
-        pairs = a.filter(F.col("a_pos") < first).join(b, list(by)).filter("a_pos < b_pos").join(n, list(by)).filter(F.expr(f"a_pos * n - a_pos * (a_pos + 1) div 2 + b_pos - a_pos - 1 < {first}"))
+    # Pair (i, j) is number i * n - i * (i + 1) / 2 + j - i - 1: no ranking of all pairs is needed.
+    n = p.groupBy(*by).agg(F.count("*").alias("n"))
+    near = b.filter(F.col("b_pos") <= 2 * first)  # one row gives first pairs, unless the sequence is shorter
+    pairs = a.filter(F.col("a_pos") < first).join(near, list(by)).filter("a_pos < b_pos").join(n, list(by)).filter(F.expr(f"a_pos * n - a_pos * (a_pos + 1) div 2 + b_pos - a_pos - 1 < {first}"))
     return pairs.groupBy(*by, kind.alias("relation")).agg(F.count("*").alias("n"))
