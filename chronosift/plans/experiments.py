@@ -54,16 +54,12 @@ def universal_rules(intervals: DataFrame, scenarios: dict[str, list[str]], datas
     return out
 
 
-def folds(intervals: DataFrame, dataset: str = "dataset") -> DataFrame:
-    """The intervals once for each held-out data set: fold, part (train or test), clients named by data set."""
-    names = intervals.select(F.col(dataset).alias("fold")).distinct()
-    tagged = intervals.join(F.broadcast(names))  # data sets are few: one copy of the intervals for each
-    return tagged.withColumn("part", F.when(F.col(dataset) == F.col("fold"), "test").otherwise("train")).withColumn("client_id", F.concat_ws("_", dataset, "client_id")).withColumn("cell", F.concat_ws("|", "fold", "part"))
-
-
 def pooled_leave_one_out(intervals: DataFrame, dataset: str = "dataset", params: MiningParams = UNIVERSAL, filters: dict | None = None) -> DataFrame:
-    """fold, n_train, n_test, n_general: rules of the pooled others, of the held-out data set, and of both."""
-    rules = mined_rules(folds(intervals, dataset), "cell", params, filters).select(F.split_part(GROUP, F.lit("|"), F.lit(1)).alias("fold"), F.split_part(GROUP, F.lit("|"), F.lit(2)).alias("part"), "signature").distinct()
+    """fold, n_train, n_test, n_general: rules of the pooled others, of the held-out data set, and of both. Each data set is mined once."""
+    named = intervals.withColumn("client_id", F.concat_ws("_", dataset, "client_id"))
+    found = miner.rules(cut(miner.fold_patterns(miner.sequences(named, dataset), params)), params)
+    found = rule_ops.filtered(found, **filters) if filters else found
+    rules = found.select(F.split_part(GROUP, F.lit("|"), F.lit(1)).alias("fold"), F.split_part(GROUP, F.lit("|"), F.lit(2)).alias("part"), "signature").distinct()
     p = rules.groupBy("fold", "signature").agg(F.max((F.col("part") == "train").cast("int")).alias("a"), F.max((F.col("part") == "test").cast("int")).alias("b"))
     return p.groupBy("fold").agg(F.sum("a").alias("n_train"), F.sum("b").alias("n_test"), F.sum(F.col("a") * F.col("b")).alias("n_general"))
 

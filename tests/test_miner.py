@@ -147,3 +147,40 @@ def test_a_long_client(spark):
     rows = spark.range(20000).select(F.lit("c").alias("client_id"), F.concat(F.lit("s_"), F.xxhash64("id") % 6).alias("state"), F.col("id").cast("double").alias("start_time"), (F.col("id") + 1.5).alias("end_time"))
     found = miner.patterns(miner.sequences(rows), MiningParams(0.5, 0.5, -1.0, 3)).groupBy("size").count().collect()
     assert {r["size"]: r["count"] for r in found} == {1: 11, 2: 121, 3: 1331}
+
+
+@pytest.mark.parametrize(("block", "seed", "maxgap", "size"), [(1, 1, 5.0, 3), (2, 2, -1.0, 3), (5, 3, 2.0, 4), (3, 7, 9.0, 3)])
+def test_blocks_change_nothing(spark, monkeypatch, block, seed, maxgap, size):
+    """Sequences cut into blocks of a few places, the next block's first occurrence by pointer; places counted over ranges."""
+    monkeypatch.setattr(miner, "BLOCK", block)
+    rows = random_rows(seed)
+    df = spark.createDataFrame(rows, "client_id string, state string, start_time double, end_time double")
+    seq = miner.sequences(df, spread=True)
+    got = {tuple(r.states): (list(r.relations), r.support_count) for r in miner.patterns(seq, MiningParams(0.3, 0.5, maxgap, size)).collect()}
+    assert got == naive(rows, 0.3, maxgap, size)
+
+
+def test_no_row_holds_a_long_client(spark):
+    """A client of a million intervals: no row has more than a block of it, and patterns are found."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1_000_000).select(F.lit("c").alias("client_id"), F.concat(F.lit("s_"), F.when(F.col("id") == 999_999, 9).otherwise(F.col("id") % 3)).alias("state"), F.col("id").cast("double").alias("start_time"), (F.col("id") + 1.5).alias("end_time"))
+    params = MiningParams(0.5, 0.5, -1.0, 2)
+    seq = miner.sequences(rows, spread=True)
+    longest = miner._occurrences(seq, params).agg(F.max(F.size("at"))).first()[0]
+    assert longest <= miner.BLOCK
+    found = {tuple(r.states) for r in miner.patterns(seq, params).collect() if r.size == 2}
+    assert found == {(f"s_{a}", f"s_{b}") for a in range(3) for b in (0, 1, 2, 9)}
+
+
+@pytest.mark.parametrize(("minsup", "maxgap", "size"), [(0.3, 5.0, 3), (0.5, -1.0, 2), (0.05, 4.0, 2)])
+def test_folds_equal_cells_mined_alone(spark, minsup, maxgap, size):
+    """Each fold's cells by added counts, against mining the cell's rows themselves; groups of different sizes and states."""
+    rows = [(f"{g}_{r[0]}", f"{r[1]}{'2' if g == 'c' else ''}", *r[2:], g) for g, seed, n in (("a", 1, 7), ("b", 2, 4), ("c", 3, 9)) for r in random_rows(seed, n, 8)]
+    df = spark.createDataFrame(rows, "client_id string, state string, start_time double, end_time double, ds string")
+    got = {}
+    for r in miner.fold_patterns(miner.sequences(df, "ds"), MiningParams(minsup, 0.5, maxgap, size)).collect():
+        got.setdefault(r.grp, {})[tuple(r.states)] = (list(r.relations), r.support_count)
+    for g in "abc":
+        for part, own in (("test", [r[:4] for r in rows if r[4] == g]), ("train", [r[:4] for r in rows if r[4] != g])):
+            assert got[f"{g}|{part}"] == naive(own, minsup, maxgap, size)
