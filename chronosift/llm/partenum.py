@@ -414,8 +414,8 @@ def shared_buckets(rows: DataFrame, partitions: int) -> DataFrame:
 
 #: Buckets of at most so many nodes have all their open pairs compared; those of larger ones are sifted first.
 LIGHT = 16
-#: Open pairs of sifted buckets compared at once: so many a row, or this many if there are few rows.
-PAIRS_A_ROW, PAIRS_AT_ONCE = 20, 200_000
+#: Open pairs of sifted buckets looked at at once: so many a row, or this many if there are few rows. Sizes and places rule most of them out where they are joined.
+PAIRS_A_ROW, PAIRS_AT_ONCE = 20, 10_000_000
 #: Partners of a node that are compared in one part.
 PARTNERS = 1024
 
