@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MEASURES = ("confidence", "lift", "support")
 
@@ -46,6 +47,17 @@ def at_least(rules: DataFrame, k: int, ds: str = "ds") -> DataFrame:
     return presence(rules, ds).filter(F.col("n_present") >= k)
 
 
+#: Orders of the result tables: those of leave-one-out and universal rules, of majority rules, and of shifts.
+BY_PRESENCE = ("n_present", "avg_confidence")
+BY_MAJORITY = ("n_present", "avg_confidence", "avg_lift")
+
+
+def ranked(found: DataFrame, by: tuple[str, ...], tie: str = "signature") -> DataFrame:
+    """The table with its rank (from 1) by columns, greatest first, then by signature; shifts are ranked by their size (``delta``)."""
+    order = [F.abs(F.col(c)).desc() if c == "delta" else F.col(c).desc() for c in by]
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(*order, tie)))  # a report's table: rules common to data sets
+
+
 def unique_to_one(rules: DataFrame, ds: str = "ds") -> DataFrame:
     """signature, ds of the only data set that has it."""
     return presence(rules, ds).filter("n_present = 1").select("signature", F.element_at("present", 1).alias(ds))
@@ -86,22 +98,50 @@ def jaccard_matrix(rules: DataFrame, ds: str = "ds") -> DataFrame:
     return m.join(F.broadcast(a), "left").join(F.broadcast(b), "right").select("left", "right", jaccard_of(F.col("n"), F.col("na"), F.col("nb")).alias("jaccard"))
 
 
+def superset_counts(sets: DataFrame, n: int) -> DataFrame:
+    """mask, m of all sets of bits that some set holds: how many (the m summed up) of the sets (mask, m) of n bits hold it.
+
+    Superset sums, a bit after another: a set that has the bit counts for itself
+    and for the set without it. An aggregation for each bit, of at most 2 ** n
+    rows.
+    """
+    for bit in range(n):
+        mask = F.col("mask")
+        has = mask.bitwiseAND(F.lit(1 << bit)) != 0
+        sets = sets.select(F.explode(F.when(has, F.array(mask, mask - F.lit(1 << bit))).otherwise(F.array(mask))).alias("mask"), "m").groupBy("mask").agg(F.sum("m").alias("m"))
+    return sets
+
+
+def _mask(members: Column, names: Column) -> Column:
+    """Members as bits of their places among the names."""
+    return F.aggregate(members, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(names, x) - 1).cast("int"))))
+
+
 def combination_matrix(rules: DataFrame, k: int, ds: str = "ds", sparse: bool = False) -> DataFrame:
     """combo, target, n: for each k data sets the signatures common to them that the target has too; n is null if the target is one of them.
 
-    sparse leaves out combinations and targets that have none anywhere.
+    A signature's data sets are bits (63 at most); what a combination and a
+    target have in common is one superset sum. sparse leaves out combinations
+    and targets that have none anywhere.
     """
-    names = rules.select(F.col(ds).alias("name")).distinct().agg(F.array_sort(F.collect_list("name")).alias("names"))
-    combos = names.select(F.explode(_subsets(F.col("names"), k)).alias("combo"), "names").select("combo", F.explode("names").alias("target"))
-    patterns = presence(rules, ds).groupBy("present").agg(F.count("*").alias("m"))  # one row for each set of data sets
-    hit = (F.size(F.array_except("combo", "present")) == 0) & F.array_contains("present", F.col("target"))
-    counted = combos.join(F.broadcast(patterns)).groupBy("combo", "target").agg(F.coalesce(F.sum(F.when(hit, F.col("m"))), F.lit(0)).alias("n"))
-    out = counted.select("combo", "target", F.when(~F.array_contains("combo", F.col("target")), F.col("n")).alias("n"))
+    names = rules.select(F.col(ds).alias("name")).distinct().agg(F.array_sort(F.collect_list("name")).alias("names"))  # one row
+    n = n_datasets(rules, ds)
+    sets = presence(rules, ds).select("present").join(F.broadcast(names)).groupBy(_mask(F.col("present"), F.col("names")).alias("mask")).agg(F.count("*").alias("m"))
+    counts = superset_counts(sets, n).withColumnRenamed("mask", "_mask")
+    combos = names.select(F.explode(_subsets(F.col("names"), k)).alias("combo"), "names").select("combo", "names", F.explode("names").alias("target"))
+    wanted = combos.withColumn("mask", _mask(F.array_union("combo", F.array("target")), F.col("names")))
+    counted = wanted.join(counts, F.col("mask") == F.col("_mask"), "left")
+    out = counted.select("combo", "target", F.when(~F.array_contains("combo", F.col("target")), F.coalesce("m", F.lit(0))).alias("n"))
     if sparse:
         out = out.join(out.filter("n > 0").select("combo").distinct(), "combo", "left_semi").join(out.filter("n > 0").select("target").distinct(), "target", "left_semi")
     return out.select(F.array_join("combo", "+").alias("combo"), "target", "n")
 
 
+def top_combinations(matrix: DataFrame, top: int = 5) -> DataFrame:
+    """The combinations and targets with the most common signatures; ties by name."""
+    return matrix.filter(F.col("n").isNotNull()).orderBy(F.col("n").desc(), "combo", "target").limit(top)
+
+
 def _subsets(names: Column, k: int) -> Column:
     """All sorted subsets of k elements."""
     found = F.transform(names, lambda x: F.array(x))

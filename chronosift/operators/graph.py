@@ -6,9 +6,13 @@ the last ``#``, so that no namespace is built in.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronosift.lineage import cut
+
 EMOTIONS = ("anger", "disgust", "fear", "happiness", "neutral", "sadness", "surprise")
 
 
@@ -116,6 +120,38 @@ def subgraph(triples: DataFrame, start: str, depth: int = 2, hub: str = "#exp")
     return found.distinct()
 
 
+def subgraphs(triples: DataFrame, starts: DataFrame, depth: int = 2, hub: str = "#exp") -> DataFrame:
+    """subgraph() of many resources at once: label, s, p, o for starts (label, s).
+
+    The front is a set of (node, labels): the labels of all starts that reach a
+    node travel along an edge together, so that each step is one join of the
+    triples with the front and one aggregation by node, whatever the number of
+    starts. A node is left once for each label.
+    """
+    t = triples.select("s", "p", "o").distinct()
+    gathered = lambda df: df.groupBy("node").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    front = cut(gathered(starts.select(F.col("s").alias("node"), F.col("label").cast("string").alias("label"))))
+    visited, found = front, []
+    for step in range(depth + 1):
+        out = t.join(front, t["s"] == front["node"]).select("s", "p", "o", "labels")
+        into = t.join(front, t["o"] == front["node"]).select("s", "p", "o", "labels")
+        found += [out, into]
+        if step < depth:
+            reached = gathered(into.filter(~F.col("s").endswith(hub)).select(F.col("s").alias("node"), F.explode("labels").alias("label")))
+            before = visited.select(F.col("node").alias("n"), F.col("labels").alias("seen"))
+            new = reached.join(before, F.col("node") == F.col("n"), "left").select("node", F.array_except("labels", F.coalesce("seen", F.expr("cast(array() as array<string>)"))).alias("labels"))
+            front = cut(new.filter(F.size("labels") > 0))
+            both = visited.unionByName(front)
+            visited = cut(both.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))) if step + 1 < depth else visited
+    return reduce(DataFrame.unionByName, found).select(F.explode("labels").alias("label"), "s", "p", "o").distinct()
+
+
+def activities(triples: DataFrame, video: int | None = None) -> DataFrame:
+    """label (``P<n>V<m>``) and s of each activity's resource ``actExecP<n>V<m>``, of one video if it is given."""
+    found = triples.select("s", F.regexp_extract(local("s"), r"^actExec(P\d+V\d+)$", 1).alias("label")).filter("label <> ''").distinct()
+    return found.filter(F.regexp_extract("label", r"V(\d+)$", 1) == str(video)) if video is not None else found
+
+
 def named_nodes(triples: DataFrame, target: str) -> DataFrame:
     """Triples around resources whose local name holds target, not followed by a digit: theirs, those to them, and those of what points to them."""
     own = triples.filter(local("s").contains(target) & F.regexp_like(local("s"), F.lit(f"{target}(?![0-9])"))).select(F.col("s").alias("n")).distinct()

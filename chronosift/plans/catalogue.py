@@ -660,11 +660,6 @@ def _sequence_text(spark, d):
 # --- no SQL counterpart --------------------------------------------------------------------------
 
 
-@query("permutation_baseline")
-def _permutation(spark, d):
-    return experiments.permutation_baseline(state_intervals(spark, d), "dataset", PAIRS)
-
-
 def _signal(spark, d):
     """Embeddings in place of signals: one participant a vector, 8 samples a second."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("participant"), F.posexplode("embedding").alias("i", "v"))

@@ -118,12 +118,12 @@ def cross_validated(intervals: DataFrame, dataset: str = "dataset", params: Mini
 def permuted(intervals: DataFrame, by: list[str], seed: int = 42) -> DataFrame:
     """The intervals with the states of each client dealt anew to its intervals: those stay, and so does the count of each state.
 
-    States are ordered by a seeded hash and given to positions by rank: a
-    client's rows are sorted, nothing is collected.
+    States are ordered by a seeded hash (md5 of seed, keys and position) and given
+    to positions by rank: a client's rows are sorted, nothing is collected.
     """
     w = Window.partitionBy(*by)
     placed = intervals.withColumn("_i", F.row_number().over(w.orderBy("start_time", "end_time", "state")))
-    dealt = placed.withColumn("_j", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), *by, "_i"), "_i")))
+    dealt = placed.withColumn("_j", F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *by, "_i")), "_i")))
     left = placed.drop("state")
     right = dealt.select(*by, F.col("_j").alias("_i"), "state")
     return left.join(right, [*by, "_i"]).drop("_i")

@@ -6,9 +6,12 @@ from the file metadata, so that one scan covers many files.
 
 from __future__ import annotations
 
+import csv
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +25,57 @@ from chronosift.shipping import ship
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 
 
+def csv_by_header(spark: SparkSession, path: str | list[str], columns: list[str], renames: dict[str, str] | None = None, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, skipped) of CSV files, each read by its own header.
+
+    rows: the columns, as text, and ``_path`` of the file; a column that a file
+    lacks is null there, of repeated names the first counts. renames: other names
+    of columns. skipped: path and reason of the files that could not be read,
+    have no header, or lack a required column; files of no bytes are not listed.
+
+    A first scan finds the files' headers, a row for each file; then the files of
+    one header are one scan, so that there are as many scans as headers.
+    """
+    option = {"ignoreCorruptFiles": "true"}
+    lines = spark.read.options(**option).text(path).filter("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("no"))
+    found = lines.groupBy("path").agg(F.min_by("value", "no").alias("header")).collect()  # a row for each file, which the driver lists anyway
+    listed = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    groups: dict[str, list[str]] = {}
+    for r in found:
+        groups.setdefault(r.header, []).append(unquote(r.path))  # the metadata's paths are encoded
+    read = {_plain(p) for ps in groups.values() for p in ps}
+    skipped = [(p, "no header could be read") for p in listed if _plain(p) not in read]
+    parts = []
+    for header, paths in sorted(groups.items()):
+        names = [(renames or {}).get(n.strip(), n.strip()) for n in next(csv.reader([header]), [])]
+        if not any(names):
+            skipped += [(p, "no header could be read") for p in paths]
+            continue
+        lacking = [c for c in required or [] if c not in names]
+        if lacking:
+            skipped += [(p, "lacks " + ", ".join(lacking)) for p in paths]
+            continue
+        fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        raw = spark.read.options(**option).csv([re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths], header=True, schema=fields, enforceSchema=True)
+        parts.append(raw.select(*[(F.col(f"c{names.index(c)}") if c in names else F.lit(None).cast("string")).alias(c) for c in columns], F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("_path")))
+    empty = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_path"]]))
+    return reduce(lambda a, b: a.unionByName(b), parts, empty), spark.createDataFrame(sorted(skipped), "path string, reason string")
+
+
+def _plain(path: str) -> str:
+    """A path without the scheme's slashes, which listings write in different ways."""
+    return re.sub("^file:/*", "/", path)
+
+
+#: Older names of the interval table's columns.
+LEGACY = {"ClientID": "client_id", "State": "state", "StartTime": "start_time", "EndTime": "end_time"}
+
+
 def intervals_csv(spark: SparkSession, path: str, renames: dict[str, str] | None = None) -> DataFrame:
-    """client_id, state, start_time, end_time of CSV files with a header, whatever the order of their columns. renames: legacy column names."""
-    raw = spark.read.csv(path, header=True)
-    raw = raw.withColumnsRenamed(renames or {"ClientID": "client_id", "State": "state", "StartTime": "start_time", "EndTime": "end_time"})
-    return raw.select(*[F.col(f.name).cast(f.dataType) for f in schema.INTERVALS])
+    """client_id, state, start_time, end_time of CSV files with a header, whatever the order of each one's columns; files without one of them are left out. renames: legacy column names."""
+    names = schema.INTERVALS.names
+    rows, _ = csv_by_header(spark, path, names, renames or LEGACY, names)
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.INTERVALS])
 
 
 def sequence_text(spark: SparkSession, path: str) -> DataFrame:
@@ -48,11 +97,10 @@ def sequence_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feature_files(spark: SparkSession, glob: str, dataset: str, columns: list[str], suffix: str = "_merged") -> DataFrame:
-    """Window features of many CSV files; the participant is the file name before the suffix. Columns a file lacks are null."""
-    raw = spark.read.csv(glob, header=True, mode="PERMISSIVE", enforceSchema=False)
-    name = F.regexp_extract(F.col("_metadata.file_name"), f"^(.*?){suffix}", 1)
-    have = [c for c in columns if c in raw.columns]
-    out = raw.select(F.lit(dataset).alias("dataset"), name.alias("participant_id"), *[F.col(c) if c in ("window_type", "gender", "age_group") else exprs.known(F.col(c)).alias(c) for c in have])
+    """Window features of many CSV files, each by its own header; the participant is the file name before the suffix. Columns a file lacks are null, unreadable files are left out (``csv_by_header`` lists them)."""
+    raw, _ = csv_by_header(spark, glob, columns)
+    name = F.regexp_extract(F.col("_path"), f"([^/]*?){suffix}[^/]*$", 1)
+    out = raw.select(F.lit(dataset).alias("dataset"), name.alias("participant_id"), *[F.col(c) if c in ("window_type", "gender", "age_group") else exprs.known(F.col(c)).alias(c) for c in columns])
     return out.withColumn("client_id", F.concat_ws("_", "dataset", "participant_id"))
 
 
@@ -67,21 +115,21 @@ def tsv_signals(spark: SparkSession, path: str, fields: T.StructType = schema.WI
 
 
 def signal_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = ("timestamp", "value")) -> DataFrame:
-    """Columns of signal files by header, as doubles, with the folder above the file as participant."""
-    raw = spark.read.csv(path, header=True)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
-    return raw.select(folder.alias("participant"), *[exprs.known(F.col(c)).alias(c) for c in columns if c in raw.columns])
+    """Columns of signal files by each one's header, as doubles, with the folder above the file as participant; missing ones are null."""
+    raw, _ = csv_by_header(spark, path, list(columns))
+    return raw.select(F.regexp_extract("_path", "([^/]+)/[^/]+$", 1).alias("participant"), *[exprs.known(F.col(c)).alias(c) for c in columns])
 
 
 def annotations_csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.csv(path, header=True)
-    return raw.select(*[exprs.known(F.col(c)).alias(c) for c in ("seconds", "arousal", "valence")])
+    """seconds, arousal, valence of annotation files, by each one's header."""
+    names = ["seconds", "arousal", "valence"]
+    raw, _ = csv_by_header(spark, path, names)
+    return raw.select(*[exprs.known(F.col(c)).alias(c) for c in names])
 
 
 def csv_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The columns asked for; those that are missing are null."""
-    raw = spark.read.csv(path, header=True)
-    return raw.select(*[(F.col(c) if c in raw.columns else F.lit(None)).cast("string").alias(c) for c in columns])
+    """The columns asked for, as text, by each file's header; those that are missing are null."""
+    return csv_by_header(spark, path, columns)[0].drop("_path")
 
 
 _SAMPLE = "array<struct<TimeStamp:double,%s>>"

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from chronosift.plans import catalogue, exchange  # noqa: F401  (exchange adds its queries)
+from chronosift.plans import catalogue, composites, exchange  # noqa: F401  (the others add their queries)
 
 SF = "/root/testdata/sf0.001"
 
