@@ -144,3 +144,74 @@ def test_published_notices(spark):
     rows = [(commented(t, *m), want) for t, want in cases for m in marks]
     got = license_rules.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.licenses for r in got} == {i: want for i, (_, want) in enumerate(rows)}
+
+
+ISC = """Copyright (c) 2020, A. Writer. All rights reserved.
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented"""
+
+EPL = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""
+
+MORE = [
+    (ISC, ["ISC"]),
+    (ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", ""), ["0BSD"]),
+    (ZLIB, ["Zlib"]),
+    (EPL, ["EPL-2.0"]),
+    ("CC0 1.0 Universal\n\nStatement of Purpose", ["CC0-1.0"]),
+    ("To the extent possible under law, the author(s) have dedicated all copyright\nand related and neighboring rights to this software to the public domain\nworldwide. This software is distributed without any warranty.", ["CC0-1.0"]),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy", ["Unlicense"]),
+    ("Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby", ["BSL-1.0"]),
+    ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file", ["BSL-1.0"]),
+    ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions", ["MPL-2.0"]),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright", ["GPL-3.0"]),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nCopyright", ["GPL-2.0"]),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\nCopyright", ["LGPL-2.1"]),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\nCopyright", ["AGPL-3.0"]),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0\n", ["Apache-2.0", "MIT"]),
+    ("SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR ISC\nint x;", ["ISC", "MIT", "BSD-3-Clause"]),
+    ("SPDX-License-Identifier: GPL-3.0-or-later WITH GCC-exception-3.1\n", ["GPL-3.0-or-later"]),
+    ("SPDX-License-Identifier: ISC\n", ["ISC"]),
+    ("This project is dual-licensed under MIT or Apache-2.0.", ["Apache-2.0", "MIT"]),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+    ("Copyright 2020 Some Company. All rights reserved.\n\n" + MIT, ["MIT"]),
+    (MIT + "\n\nAll rights reserved.", ["MIT", "proprietary"]),
+    ("Confidential. All rights reserved.", ["proprietary"]),
+]
+
+
+def oracle_of(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    return {r[0]: r[1:] for r in con.execute(license_rules.oracle()).fetchall()}
+
+
+def test_more_published_notices(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(MORE)]
+    got = license_rules.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {MORE[r.doc_id][0][:60]: sorted(r.licenses) for r in got} == {t[:60]: sorted(w) for t, w in MORE}
+
+
+def test_sql_equals_the_query_on_wrapped_and_commented_notices(spark):
+    texts = [APACHE, MIT, BSD, BSD + ENDORSE, GPL, GPL.replace("GNU General", "GNU Lesser General"), MPL, *(t for t, _ in MORE)]
+    marks = [("", "", ""), ("/*\n", " * ", "\n */"), ("", "# ", "\n"), ("<!--\n", "  ", "\n-->"), ("", "// ", "\nint x;"), ("x\n", "", "\r\ny")]
+    rows = [(i, commented(t, *m)) for i, (t, m) in enumerate((t, m) for t in texts for m in marks)] + [(-1, None), (-2, ""), (-3, " ".join(texts))]
+    got = license_rules.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = oracle_of(rows)
+    assert {r.doc_id: (len(r.sentence_ids), ",".join(map(str, r.sentence_ids)), ",".join(r.licenses)) for r in got} == want
