@@ -13,8 +13,10 @@ Items shorter than a window are outside that guarantee; their own length is
 then the gram length and every gram is kept, i.e. winnowing in windows of one.
 
 The benchmark index is broadcast only while it has at most ``limit_words``
-words. A larger benchmark takes the other way: fingerprints of both sides are
-joined by a shuffle, and each document meets the items it shares one with.
+words. A larger benchmark takes the other way: the documents' fingerprints are
+joined with the distinct ones of all items by a shuffle, extended to windows, and
+these joined with the items' by their hashes; a hash that very many documents
+have is dealt out over tasks.
 
 Cases: null texts have no words: nothing is hit, and an item of null text has no
 window. Items without identifier hit like others, but are not among the items
@@ -27,7 +29,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronosift.llm.common import free_name, map_column
-from chronosift.llm.textops import byte_map, grams, word_hashes
+from chronosift.llm.common import free_name, map_column, settle, small
+from chronosift.llm.textops import byte_map, grams, mix, splitmix, word_hashes
 
 WINDOW, GRAM = 10, 5
 #: Words of a benchmark whose index may be broadcast: some 50 MB.
@@ -192,74 +194,107 @@ def _broadcast(docs: DataFrame, items: DataFrame, window: int, gram: int, id_col
     return map_column(docs, text_col, fields, kernel, [id_col])
 
 
-def _fingerprints(df: DataFrame, text_col: str, window: int, gram: int, keep: list[str]) -> DataFrame:
-    """keep, n_words and fps: a text's distinct fingerprints."""
+#: A hash that more rows than HOT have is joined in parts: its rows are dealt out over SALTS tasks.
+HOT, SALTS = 10_000, 32
 
-    def kernel(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
-        for texts in batches:
-            counts, prints = [], []
-            for h in hashes_of(texts):
-                g = grams(h, gram)
-                counts.append(len(h))
-                prints.append(np.unique(g[winnow(g, window - gram + 1)]).astype(np.int64).tolist())
-            yield [pa.array(counts, type=pa.int64()), pa.array(prints, type=pa.list_(pa.int64()))]
 
-    fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("fps", T.ArrayType(T.LongType()))])
-    return map_column(df, text_col, fields, kernel, keep)
+def _met(rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """rows joined with known by hash x; the rows of a hash that very many have are dealt out, and what is known of it is copied."""
+    hot = rows.groupBy("x").count().filter(F.col("count") > HOT).select("x")  # a row for HOT of rows at most
+    if hot.isEmpty():
+        return rows.join(known, "x", how)
+    hot = small(hot.withColumn("hot", F.lit(True)))
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("id", "h"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    a = rows.join(hot, "x", "left").withColumn("part", part).drop("hot")
+    b = known.join(hot, "x", "left").withColumn("part", F.explode(parts)).drop("hot")
+    return a.join(b, ["x", "part"], how).drop("part")
 
 
-def _short_grams(df: DataFrame, text_col: str, lengths: list[int], keep: list[str], whole: bool) -> DataFrame:
-    """keep and fps: hashes of all grams of the lengths; of the whole text only if whole."""
+def _places(df: DataFrame, text_col: str, keep: list[str], of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """keep, n_words, and x and at: the hashes that of() gives of a text's words, and their places; one row a hash, one with null for a text without any."""
 
     def kernel(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
         for texts in batches:
-            prints = []
+            counts, found = [], []
             for h in hashes_of(texts):
-                use = [len(h)] if whole and len(h) in lengths else [] if whole else lengths
-                prints.append(np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *(grams(h, n) for n in use)])).astype(np.int64).tolist())
-            yield [pa.array(prints, type=pa.list_(pa.int64()))]
+                x, at = of(h)
+                counts.append(len(h))
+                found.append([{"x": int(a), "at": int(b)} for a, b in zip(x.astype(np.int64), at, strict=True)])
+            yield [pa.array(counts, type=pa.int64()), pa.array(found, type=pa.list_(pa.struct([("x", pa.int64()), ("at", pa.int64())])))]
+
+    pairs = T.ArrayType(T.StructType([T.StructField("x", T.LongType()), T.StructField("at", T.LongType())]))
+    out = map_column(df, text_col, T.StructType([T.StructField("n_words", T.LongType()), T.StructField("found", pairs)]), kernel, keep)
+    return out.select(*keep, "n_words", F.explode_outer("found").alias("f")).select(*keep, "n_words", "f.x", "f.at")
+
 
-    return map_column(df, text_col, T.StructType([T.StructField("fps", T.ArrayType(T.LongType()))]), kernel, keep)
+def _salted(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Grams of a length, told apart from those of other lengths."""
+    return mix(grams(hashes, length) ^ np.uint64(splitmix(7000 + length)))
 
 
 def _shuffled(docs: DataFrame, items: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
-    """Join fingerprints, then compare each document with the items it shares one with."""
+    """Find the documents' fingerprints among the items', extend them to windows, and join these by their hashes.
+
+    Texts meet no items: fingerprints and windows of documents are joined with
+    the distinct ones of all items, and a hit document with the items of its
+    windows; a hash that very many documents have is dealt out.
+    """
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    # Items without identifier are told apart by their texts.
-    items = items.withColumn("own", F.when(F.col("item").isNull(), F.xxhash64("text")))
-    marked = _fingerprints(d, "text", window, gram, ["id", "h"])
-    item_prints = _fingerprints(items, "text", window, gram, ["item", "own"])
-    lengths = [r[0] for r in item_prints.filter(F.col("n_words").between(1, window - 1)).select("n_words").distinct().collect()]
-    left = marked.select("id", "h", F.explode("fps").alias("fp"))
-    right = item_prints.select("item", "own", F.explode("fps").alias("fp"))
-    if lengths:
-        left = left.unionByName(_short_grams(d, "text", lengths, ["id", "h"], whole=False).select("id", "h", F.explode("fps").alias("fp")))
-        right = right.unionByName(_short_grams(items, "text", lengths, ["item", "own"], whole=True).select("item", "own", F.explode("fps").alias("fp")))
-    pairs = left.join(right.distinct(), "fp").select("id", "h", F.col("item").alias("with_item"), F.col("own").alias("with_own")).distinct()
-    texts = d.dropDuplicates(["id", "h"]).withColumnRenamed("text", "doc_text")
-    item_rows = items.filter(F.col("text").isNotNull())
-    met = pairs["with_item"].eqNullSafe(item_rows["item"]) & pairs["with_own"].eqNullSafe(item_rows["own"])
-    both = pairs.join(item_rows, met).join(texts, (pairs["h"] == texts["h"]) & pairs["id"].eqNullSafe(texts["id"])).select(pairs["id"], pairs["h"], "item", "text", "doc_text")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def prints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g = grams(h, gram)
+        at = winnow(g, window - gram + 1)
+        return g[at], at
+
+    def own_windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = min(window, len(h))
+        x = _salted(h, n) if n else np.empty(0, dtype=np.uint64)
+        return x, np.full(len(x), n, dtype=np.int64)
+
+    of_items = settle(_places(items, "text", ["item"], own_windows).filter("x IS NOT NULL").select("item", "x", F.col("at").alias("length")).distinct(), "windows")
+    windows = of_items.select("x", "length").distinct()
+    item_prints = _places(items, "text", [], prints).filter(F.col("n_words") >= window).select("x").filter("x IS NOT NULL").distinct()
+    once = d.dropDuplicates(["id", "h"])
+    marked = settle(_places(once, "text", ["id", "h"], prints), "prints")
+    near = _met(marked.filter("x IS NOT NULL").select("id", "h", "x", "at"), item_prints, "left_semi").groupBy("id", "h").agg(F.collect_set("at").alias("ats"))
+    texts = once.withColumnRenamed("id", "i").withColumnRenamed("h", "g")
+    held = near.join(texts, (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "h", "ats", "text")
+    fields = T.StructType([T.StructField(n, T.LongType()) for n in ("x", "start", "length")])
+    schema = T.StructType([d.schema["id"], T.StructField("h", T.LongType()), *fields])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, spans = [], []
-            for i, (item, text, h) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), hashes_of(b.column(4)), strict=True)):
-                start, end, owners = Index.of([(item, text)], window, gram).match(h)
-                if len(start):
-                    keep.append(i)
-                    spans.append(list(zip(start, end, strict=True)))
-            kept = b.take(pa.array(keep, type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:3], _spans(spans)], names=["id", "h", "item", "spans"])
-
-    schema = T.StructType([both.schema["id"], T.StructField("h", T.LongType()), T.StructField("item", T.StringType()), T.StructField("spans", SPANS)])
-    hits = both.mapInArrow(compare, schema).groupBy("id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    merged = F.aggregate(F.array_sort("spans"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), _merge)
-    hits = hits.withColumn("spans", merged)
-    m = marked.select("id", "h", "n_words")
-    return m.join(hits, (m["h"] == hits["h"]) & m["id"].eqNullSafe(hits["id"]), "left").select(
-        m["id"].alias(id_col), "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
-    )
+            row, x, start = [], [], []
+            for k, (ats, h) in enumerate(zip(b.column(2).to_pylist(), hashes_of(b.column(3)), strict=True)):
+                s = np.unique((np.array(ats)[:, None] - np.arange(window - gram + 1)[None, :]).ravel())
+                s = s[(s >= 0) & (s <= len(h) - window)]
+                row.append(np.full(len(s), k))
+                x.append(_salted(h, window)[s].astype(np.int64))
+                start.append(s)
+            if row:
+                at = pa.array(np.concatenate(row))
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(x)), pa.array(np.concatenate(start).astype(np.int64)), pa.array(np.full(n, window))], names=schema.names)
+
+    found = held.mapInArrow(extend, schema)
+    lengths = [r[0] for r in windows.filter(F.col("length") < window).select("length").distinct().collect()]  # under window of them
+    for n in lengths:
+        short = _places(once, "text", ["id", "h"], lambda h, n=n: (_salted(h, n), np.arange(max(0, len(h) - n + 1))))
+        found = found.unionByName(short.filter("x IS NOT NULL").select("id", "h", "x", F.col("at").alias("start"), F.lit(n).cast("long").alias("length")))
+    hits = settle(_met(found, windows.select("x"), "left_semi"), "hits")
+    spans = hits.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("length")).alias("end")))).alias("spans"))
+    merged = F.aggregate("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), _merge)
+    owners = _met(hits.select("id", "h", "x").distinct(), of_items.filter("item IS NOT NULL").select("x", "item"), "inner").groupBy("id", "h").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    counts = marked.groupBy("id", "h").agg(F.first("n_words").alias("n_words"))
+    both = lambda a, b: (a["h"].eqNullSafe(b["g"])) & a["id"].eqNullSafe(b["i"])
+    spans = spans.select(F.col("id").alias("i"), F.col("h").alias("g"), merged.alias("spans"))
+    owners = owners.select(F.col("id").alias("i"), F.col("h").alias("g"), "items")
+    per = counts.join(spans, both(counts, spans), "left").select("id", "h", "n_words", "spans")
+    per = per.join(owners, both(per, owners), "left").select(F.col("id").alias("i"), F.col("h").alias("g"), "n_words", "spans", "items")
+    rows = d.select("id", "h")
+    none = {"spans": "cast(array() as array<struct<start:bigint,end:bigint>>)", "items": "cast(array() as array<string>)"}
+    return rows.join(per, both(rows, per), "left").select(F.col("id").alias(id_col), "n_words", *[F.coalesce(c, F.expr(e)).alias(c) for c, e in none.items()])
 
 
 def _merge(done, x):

@@ -103,3 +103,16 @@ def test_items_without_identifier_hit(spark, limit):
     assert got == {i: (brute(t, bench)[1], ["5"] if i == 2 else []) for i, t in docs}
     assert len(got[1][0]) == 30 and len(got[4][0]) == 2
     assert sorted(str(r.doc_id) for r in winnow.clean(d, b, limit_words=limit).collect()) == ["3", "None"]
+
+
+def test_a_passage_in_all_documents_and_items(spark, monkeypatch):
+    """The fingerprints of one passage are everyone's: both ways agree, and hot hashes are dealt out."""
+    monkeypatch.setattr(winnow, "HOT", 20)
+    monkeypatch.setattr(winnow, "SALTS", 4)
+    passage = helpers.sentence(77, 30)
+    docs = [(i, f"{helpers.sentence(i, 12)} {passage} {helpers.sentence(i + 500, 15)}") for i in range(60)] + [(99, helpers.sentence(901, 50)), (100, None)]
+    items = [(i, f"{helpers.sentence(i + 1000, 5)} {passage}") for i in range(25)] + [(50, "four words of 5"), (51, helpers.sentence(3, 12))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    ways = [sorted((r.doc_id, r.n_words, [tuple(x) for x in r.spans], r["items"]) for r in winnow.find(d, b, limit_words=n).collect()) for n in (0, 10**6)]
+    assert ways[0] == ways[1]
+    assert all(len(r[3]) >= 25 for r in ways[0] if r[0] < 60) and ways[0][-1][2] == []
