@@ -81,8 +81,8 @@ def shared_matrix(rules: DataFrame, ds: str = "ds") -> DataFrame:
     """left, right, n: common signatures of each pair of data sets; the diagonal is the own number. Pairs without any are 0."""
     p = presence(rules, ds)
     n = p.select(F.explode("present").alias("left"), "present").select("left", F.explode("present").alias("right")).groupBy("left", "right").agg(F.count("*").alias("n"))
-    names = rules.select(F.col(ds).alias("left")).distinct()
-    grid = names.crossJoin(F.broadcast(names.withColumnRenamed("left", "right")))  # a row for each pair of data sets
+    names = rules.select(F.col(ds).alias("name")).distinct().agg(F.collect_list("name").alias("names"))  # one row
+    grid = names.select(F.explode("names").alias("left"), "names").select("left", F.explode("names").alias("right"))
     return grid.join(n, ["left", "right"], "left").fillna(0, ["n"])
 
 
@@ -95,7 +95,7 @@ def jaccard_matrix(rules: DataFrame, ds: str = "ds") -> DataFrame:
     m = shared_matrix(rules, ds)
     own = m.filter(F.col("left") == F.col("right")).select(F.col("left").alias("name"), F.col("n").alias("own"))
     a, b = own.select(F.col("name").alias("left"), F.col("own").alias("na")), own.select(F.col("name").alias("right"), F.col("own").alias("nb"))
-    return m.join(F.broadcast(a), "left").join(F.broadcast(b), "right").select("left", "right", jaccard_of(F.col("n"), F.col("na"), F.col("nb")).alias("jaccard"))
+    return m.join(a, "left").join(b, "right").select("left", "right", jaccard_of(F.col("n"), F.col("na"), F.col("nb")).alias("jaccard"))
 
 
 def superset_counts(sets: DataFrame, n: int) -> DataFrame:
@@ -167,10 +167,9 @@ def confidence_shift(rules: DataFrame, side: str, a: str, b: str, tolerance: flo
 def cross_validation(rules: DataFrame, ds: str = "ds") -> DataFrame:
     """A row for each held-out data set: rules common to all others, those of them it has, the hit rate in percent, mean differences of confidence and lift (held out less others)."""
     names = rules.select(ds).distinct()
-    total = names.agg(F.count("*").alias("total"))
+    all_ = names.agg(F.collect_list(ds).alias("names"), F.count("*").alias("total"))  # one row
     per = rules.groupBy("signature").agg(F.collect_list(F.struct(F.col(ds).alias("ds"), "confidence", "lift")).alias("all"))
-    folds = names.withColumnRenamed(ds, "held_out").crossJoin(F.broadcast(total))
-    cells = per.crossJoin(F.broadcast(folds))  # data sets are few: a row for each rule and fold
+    cells = per.join(F.broadcast(all_)).select("*", F.explode("names").alias("held_out"))  # a row for each rule and data set, within the task
     train, test = F.filter("all", lambda x: x["ds"] != F.col("held_out")), F.filter("all", lambda x: x["ds"] == F.col("held_out"))
     mean = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x[f]) / F.size(xs)
     c = cells.select("held_out", "total", train.alias("train"), test.alias("test")).filter(F.size("train") == F.col("total") - 1)

@@ -19,7 +19,7 @@ def interaction_groups(intervals: DataFrame, demographics: DataFrame, a: str, b:
     d = demographics.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select("client_id", F.concat_ws("_", a, b).alias("grp")).dropDuplicates(["client_id"])
     rows = intervals.join(d, "client_id")
     large = rows.groupBy("grp").agg(F.countDistinct("client_id").alias("n")).filter(F.col("n") >= least).select("grp")
-    return rows.join(F.broadcast(large), "grp", "left_semi")
+    return rows.join(large, "grp", "left_semi")
 
 
 def state_per_client(intervals: DataFrame, group: str) -> DataFrame:
@@ -32,7 +32,8 @@ def feature_share(intervals: DataFrame, group: str) -> DataFrame:
     """group, feature, share of the group's intervals; 0 for features it does not have."""
     f = intervals.select(group, exprs.state_feature(F.col("state")).alias("feature"))
     n, total = f.groupBy(group, "feature").agg(F.count("*").alias("n")), f.groupBy(group).agg(F.count("*").alias("total"))
-    grid = total.join(f.select("feature").distinct())  # groups by features, both few
+    names = f.select("feature").distinct().agg(F.collect_list("feature").alias("names"))  # one row
+    grid = total.join(F.broadcast(names)).select(group, "total", F.explode("names").alias("feature"))
     return grid.join(n, [group, "feature"], "left").select(group, "feature", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share"))
 
 

@@ -279,27 +279,28 @@ def _range_join(spark, d):
 
 @query(
     "nearest_event",
-    f"""WITH {EVENTS_SQL}, a AS (SELECT * FROM ev WHERE var = (SELECT min(var) FROM ev)), b AS (SELECT client_id, seconds, value FROM ev WHERE var = (SELECT max(var) FROM ev)),
+    f"""WITH {EVENTS_SQL}, a AS (SELECT * FROM ev), b AS (SELECT client_id, seconds, value FROM ev WHERE var = (SELECT max(var) FROM ev)),
 c AS (SELECT a.event_id, b.value, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.seconds - b.seconds), b.seconds, b.value) AS no FROM a JOIN b ON a.client_id = b.client_id)
 SELECT a.event_id, round(c.value, 6) AS nearest FROM a LEFT JOIN c ON a.event_id = c.event_id AND c.no = 1""",
 )
 def _nearest(spark, d):
     e = events(spark, d)
-    ends = e.agg(F.min("var").alias("lo"), F.max("var").alias("hi"))
-    both = e.join(F.broadcast(ends))
-    left, right = both.filter("var = lo").select("client_id", "seconds", "event_id"), both.filter("var = hi").select("client_id", F.col("seconds").alias("at"), F.col("value").alias("nearest"))
+    last = e.agg(F.max("var").alias("last"))  # one row: the type whose samples are the references of all events
+    left, right = e.select("client_id", "seconds", "event_id"), e.join(F.broadcast(last), F.col("var") == F.col("last")).select("client_id", F.col("seconds").alias("at"), F.col("value").alias("nearest"))
     return windows.nearest(left, right, ["client_id"], "seconds", "at", "nearest").select("event_id", r6("nearest"))
 
 
 @query(
     "series_outer_merge",
-    f"WITH {EVENTS_SQL}, h AS (SELECT client_id, CAST(floor(seconds / 3600) AS BIGINT) AS hour, var, value FROM ev), n AS (SELECT DISTINCT var, dense_rank() OVER (ORDER BY var) AS i FROM ev) SELECT client_id, hour, round(min(value) FILTER (i = 1), 6) AS first_series, round(min(value) FILTER (i = 2), 6) AS second_series FROM h JOIN n USING (var) WHERE i <= 2 GROUP BY client_id, hour",
+    f"WITH {EVENTS_SQL}, h AS (SELECT client_id, CAST(floor(seconds / 3600) AS BIGINT) AS hour, var, min(value) AS value FROM ev GROUP BY ALL) SELECT client_id, hour, count(value) AS n_series, round(sum(value), 4) AS total FROM h GROUP BY client_id, hour",
 )
 def _series_outer_merge(spark, d):
-    names = sorted(r[0] for r in table(spark, d, "events").select("event_type").distinct().collect())[:2]
-    h = events(spark, d).filter(F.col("var").isin(*names)).select("client_id", F.floor(F.col("seconds") / 3600).alias("hour"), "var", "value")
+    """A row for each client and hour with a column for each event type; of these the number known, and the sum."""
+    names = sorted(r[0] for r in table(spark, d, "events").select("event_type").distinct().collect())
+    h = events(spark, d).select("client_id", F.floor(F.col("seconds") / 3600).alias("hour"), "var", "value")
     m = windows.outer_merge(h, ["client_id", "hour"], "var", "value", names)
-    return m.select("client_id", "hour", r6(names[0], "first_series"), r6(names[1], "second_series"))
+    known = F.array_compact(F.array(*[F.col(f"`{n}`") for n in names]))
+    return m.select("client_id", "hour", F.size(known).cast("long").alias("n_series"), F.round(F.aggregate(known, F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
 
 
 @query(

@@ -86,7 +86,7 @@ def subgroup_universal(intervals: DataFrame, demographics: DataFrame, group: str
     rows = groups.with_group(intervals, demographics, group).withColumn("cell", F.concat_ws("|", group, dataset))
     rules = mined_rules(rows, "cell", params).select(F.split_part(GROUP, F.lit("|"), F.lit(1)).alias(group), F.split_part(GROUP, F.lit("|"), F.lit(2)).alias("ds"), "signature").distinct()
     total = rows.groupBy(F.col(group).cast("string").alias(group)).agg(F.countDistinct(dataset).alias("n"))
-    return rules.groupBy(group, "signature").agg(F.count("*").alias("m")).join(F.broadcast(total), group).filter("m = n").select(group, "signature")
+    return rules.groupBy(group, "signature").agg(F.count("*").alias("m")).join(total, group).filter("m = n").select(group, "signature")
 
 
 def labels_compared(dimensional: DataFrame, discrete: DataFrame, dataset: str = "dataset", params: MiningParams = COMPARISON) -> dict[str, DataFrame]:

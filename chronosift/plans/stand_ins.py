@@ -38,7 +38,7 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = events(spark, sf_dir)
     cut = iv.global_terciles(long, ["client_id"], ["var"])
     scaled = long.withColumn("unit", iv.personal_minmax(long, ["client_id", "var"]))
-    return scaled.join(F.broadcast(cut), "var").withColumn("level", exprs.level_cut(F.col("unit"), iv.tercile_cuts(F.col("p33"), F.col("p67"))))
+    return scaled.join(cut, "var").withColumn("level", exprs.level_cut(F.col("unit"), iv.tercile_cuts(F.col("p33"), F.col("p67"))))
 
 
 LEVELS_SQL = (
