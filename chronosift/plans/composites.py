@@ -11,8 +11,9 @@ from chronosift.operators import intervals as iv
 from chronosift.operators import rules as rule_ops
 from chronosift.plans import experiments
 from chronosift.plans.catalogue import _GRID_SQL, _RULE_COLUMNS, _SIMPLE_SQL, PAIRS, _patterns, mining_sql, query, r6, rules_sql
-from chronosift.plans.stand_ins import EVENTS_SQL, INTERVALS_SQL, PEOPLE_SQL, TRIPLES_SQL, events, people, runs_sql, state_intervals, triples
+from chronosift.plans.stand_ins import CLOSING, EVENTS_SQL, INTERVALS_SQL, PEOPLE_SQL, TRIPLES_SQL, events, levels, people, runs_sql, state_intervals, triples
 from chronosift.sources import readers
+from chronosift.streaming import windows as streams
 
 # --- inputs: intervals named after features, in two to six data sets -----------------------------
 
@@ -351,3 +352,39 @@ def _chained_labels(spark, d):
     segments = e.select("client_id").distinct().select("client_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("no"))
     segments = segments.select("client_id", "no", F.concat(F.lit("v"), F.col("no").cast("string")).alias("label"), ((F.col("client_id").cast("long") % 7 + F.col("no")) * 100000.0).alias("duration"))
     return sessions.chained_labels(e.select("client_id", F.col("seconds").alias("ts"), "event_id"), segments, ["client_id"]).select("event_id", "label")
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+
+def _in_files(rows: DataFrame, path: str, no: str, n: int) -> DataFrame:
+    """rows written in the order of column no (0 to n - 1), and read as a stream, about one of the n at a time."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for i in range(n):
+        rows.filter(F.col(no) == i).drop(no).repartition(tasks).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.drop(no).schema).option("maxFilesPerTrigger", tasks).parquet(path)
+
+
+@query("stream_runs", f"WITH {INTERVALS_SQL} SELECT client_id, state, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time FROM iv")
+def _stream_runs(spark, d):
+    """State intervals from a stream of levels that comes in three files, each row up to a quarter of the time late."""
+    rows = cut(levels(spark, d).select("client_id", "var", "seconds", F.col("event_id").cast("long").alias("tie"), "level", F.lit(False).alias("last")))
+    span = rows.agg(F.max("seconds")).first()[0] or 1.0
+    came = F.col("seconds") + F.pmod(F.xxhash64("tie"), F.lit(1000)) / 1000.0 * (span / 4)
+    numbered = rows.withColumn("no", F.least(F.floor(came / (span * 1.25) * 3), F.lit(2)).cast("int"))
+    ends = rows.select("client_id", "var").distinct().select("client_id", "var", F.lit(0.0).alias("seconds"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast("string").alias("level"), F.lit(True).alias("last"), F.lit(3).alias("no"))
+    path = fresh_path(spark, "stream-runs")
+    stream = _in_files(cut(numbered.unionByName(ends)), f"{path}/in", "no", 4)
+    found = streams.run_to_files(streams.ordered_runs(stream, span, CLOSING), path).filter(F.col("kind") == streams.RUN)
+    return found.select("client_id", F.concat_ws("_", "var", "state").alias("state"), r6("start_time"), r6("end_time")).distinct()
+
+
+@query("stream_windows", f"WITH {EVENTS_SQL} SELECT client_id, var, (w + 1) * CAST(21600 AS DOUBLE) AS seconds, count(value) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS max FROM (SELECT *, CAST(floor(seconds / CAST(21600 AS DOUBLE)) AS BIGINT) AS w FROM ev) x GROUP BY client_id, var, w")
+def _stream_windows(spark, d):
+    """Window features from a stream in three files, in event time with a watermark; a last row far ahead closes the windows that are open."""
+    rows = events(spark, d).select("client_id", "var", F.timestamp_micros((F.col("seconds") * 1e6).cast("long")).alias("ts"), "value", (F.col("event_id") % 3).cast("int").alias("no"))
+    end = spark.range(1).select(F.lit("end").alias("client_id"), F.lit("end").alias("var"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts"), F.lit(0.0).alias("value"), F.lit(3).alias("no"))
+    path = fresh_path(spark, "stream-windows")
+    stream = _in_files(cut(rows.unionByName(end)), f"{path}/in", "no", 4)
+    found = streams.run_to_files(streams.window_features(stream, ["client_id", "var"], "6 hours", "40 days"), path)
+    return found.filter("client_id <> 'end'").select("client_id", "var", F.unix_seconds("window_end").cast("double").alias("seconds"), "n", r6("mean"), r6("max"))

@@ -3,7 +3,9 @@
 Window features are watermarked aggregations. State runs keep one open run for
 each (client, variable) and emit a run when it closes, with
 ``applyInPandasWithState``; rows of a key must arrive in order of time within
-the watermark's delay, later ones are dropped.
+the watermark's delay, later ones are dropped. ``ordered_runs`` waits for rows
+that come late by up to a delay, and emits those that come later still beside
+the runs.
 """
 
 from __future__ import annotations
@@ -57,3 +59,58 @@ def state_runs(stream: DataFrame, closing: float = 30.0, timeout_ms: int = 3_600
 
     ship(stream.sparkSession)
     return stream.groupBy("client_id", "var").applyInPandasWithState(update, "client_id string, var string, state string, start_time double, end_time double", "level string, start double, last double", "append", "ProcessingTimeTimeout")
+
+
+#: What a row of ordered_runs is.
+RUN, LATE = "run", "late"
+
+
+def ordered_runs(stream: DataFrame, delay: float, closing: float = 30.0) -> DataFrame:
+    """kind, client_id, var, state, start_time, end_time of (client_id, var, seconds, tie, level, last) rows.
+
+    Rows of a key are held until its latest time is ``delay`` seconds beyond
+    them, and then read in order of time and tie, so that the runs are those of
+    the batch operator. A row older than what has been read is late: it comes out
+    as it is (kind late, its time as start and end). A row whose ``last`` is true ends its
+    key: all held rows are read, and an open run ends closing seconds after
+    the last one. What is held for a key are the rows of the delay.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        client, var = key
+        level, start, at, seen, held = state.get if state.exists else (None, None, None, None, [])
+        rows = pd.concat(list(batches))
+        out, over = [], bool(rows["last"].any())
+        rows = rows[~rows["last"]]
+        waiting = [tuple(x) for x in held]
+        for seconds, tie, new in zip(rows["seconds"], rows["tie"], rows["level"], strict=True):
+            new = None if pd.isna(new) else new
+            if at is not None and seconds < at:
+                out.append((LATE, client, var, new, float(seconds), float(seconds)))
+            else:
+                waiting.append((float(seconds), int(tie), new))
+        seen = max([x[0] for x in waiting] + ([seen] if seen is not None else []), default=None)
+        waiting.sort(key=lambda x: x[:2])
+        ready = waiting if over else [x for x in waiting if x[0] < seen - delay]
+        for seconds, _, new in ready:
+            if new != level:
+                if level is not None and start < seconds:
+                    out.append((RUN, client, var, level, start, seconds))
+                level, start = new, seconds
+            at = seconds
+        if over and level is not None:
+            out.append((RUN, client, var, level, start, at + closing))
+            level, start = None, None
+        state.update((level, start, at, seen, waiting[len(ready) :]))
+        yield pd.DataFrame(out, columns=["kind", "client_id", "var", "state", "start_time", "end_time"])
+
+    ship(stream.sparkSession)
+    kept = "level string, start double, at double, seen double, held array<struct<seconds: double, tie: bigint, level: string>>"
+    return stream.groupBy("client_id", "var").applyInPandasWithState(update, "kind string, client_id string, var string, state string, start_time double, end_time double", kept, "append", "NoTimeout")
+
+
+def run_to_files(stream: DataFrame, path: str) -> DataFrame:
+    """All there is of a stream, written as Parquet below path and read again; the query ends when its source is read."""
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out")
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
