@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronosift.lineage import shared_folder
 from chronosift.shipping import ship
 
 #: Rows in an Arrow batch, and bytes, so that long texts come few at a time.
@@ -23,19 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where the cluster names one.
-
-    Where it is unset and Spark runs on one machine (tests) a temporary folder
-    is made and set; on a cluster that would be another folder on each machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local[") and master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="chronosift-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder all executors share, see ``lineage.shared_folder``."""
+    return shared_folder(spark).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

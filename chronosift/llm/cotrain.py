@@ -187,7 +187,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Surest,
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, source, lang, size; columns that are missing are null."""
     have = {c.lower() for c in docs.columns}
-    pick = lambda c, kind: (F.col(f"`{c}`") if c in have else F.lit(None)).cast(kind)
+    pick = lambda c, kind: (F.col(f"`{c}`").cast("string") if c in have else F.lit(None)).try_cast(kind)
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), pick("source", "string").alias("source"), pick("lang", "string").alias("lang"), pick("n_chars", "long").alias("size"))
 
 
