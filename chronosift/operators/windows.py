@@ -144,6 +144,51 @@ def heart_rate_grid(beats: DataFrame, by: list[str], ts: str = "ts", ibi: str =
     return grid.select(*by, "ts", hr.alias("hr"))
 
 
+def grid_of_beats(beats: DataFrame, ends: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
+    """by, start, step, n of the grid of each recording (ends: by, max_time) with beats (valid ones).
+
+    The clock is told from the last time: beyond 10000 it counts milliseconds.
+    Beyond 100000 it may be absolute: the grid then starts with the first beat if
+    that is as late, and else one step before the end; other grids start at 0.
+    Recordings of fewer than 2 beats, and those that end before their first
+    absolute beat, have none.
+    """
+    first = beats.groupBy(*by).agg(F.min(ts).alias("_first"), F.count("*").alias("_n")).filter("_n >= 2")
+    step = F.when(F.col("max_time") > 10_000, F.lit(1000.0)).otherwise(F.lit(1.0))
+    absolute = F.when(F.col("_first") > 100_000, F.when(F.col("max_time") > F.col("_first"), F.floor(F.col("_first") / F.col("step")) * F.col("step"))).otherwise(F.col("max_time") - F.col("step"))
+    known = ends.filter("max_time > 0").join(first, by).withColumn("step", step)
+    return _points(known.withColumn("start", F.when(F.col("max_time") > 100_000, absolute).otherwise(F.lit(0.0))), by)
+
+
+def grid_of_signal(signal: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
+    """by, start, step, n of the grid from a signal's first time to its last; beyond 10000 times are milliseconds."""
+    ends = signal.groupBy(*by).agg(F.min(ts).cast("double").alias("start"), F.max(ts).cast("double").alias("max_time"))
+    return _points(ends.withColumn("step", F.when(F.col("max_time") > 10_000, F.lit(1000.0)).otherwise(F.lit(1.0))), by)
+
+
+def _points(grids: DataFrame, by: list[str]) -> DataFrame:
+    return grids.filter("start < max_time").select(*by, F.col("start").cast("double").alias("start"), "step", F.ceil((F.col("max_time") - F.col("start")) / F.col("step")).cast("long").alias("n"))
+
+
+def heart_rate_on(beats: DataFrame, grids: DataFrame, by: list[str], ts: str = "ts", ibi: str = "ibi") -> DataFrame:
+    """by, ts, hr on each recording's own grid (by, start, step, n): 60000 / ibi of beats (ibi in ms), interpolated linearly, null before the first and after the last beat.
+
+    A beat yields the points up to the next one, the first those before it and
+    the last those behind; beats at one time are averaged.
+    """
+    good = beats.filter(exprs.valid_ibi(F.col(ibi))).groupBy(*by, F.col(ts).cast("double").alias("t0")).agg(F.avg(60000.0 / F.col(ibi)).alias("h0"))
+    w = Window.partitionBy(*by).orderBy("t0")
+    seg = good.select(*by, "t0", "h0", F.lead("t0").over(w).alias("t1"), F.lead("h0").over(w).alias("h1"), F.lag("t0").over(w).isNull().alias("_first"))
+    at = lambda t: F.ceil((F.col(t) - F.col("start")) / F.col("step")).cast("long")
+    low = F.when(F.col("_first"), F.lit(0).cast("long")).otherwise(F.greatest(at("t0"), F.lit(0).cast("long")))
+    high = F.least(F.when(F.col("t1").isNull(), F.col("n")).otherwise(at("t1")), F.col("n")) - 1
+    rows = seg.join(grids, by).withColumn("_low", low).withColumn("_high", high).filter("_low <= _high")
+    points = rows.withColumn("_k", F.explode(F.sequence("_low", "_high"))).withColumn("ts", F.col("start") + F.col("_k") * F.col("step"))
+    between = F.col("h0") + (F.col("h1") - F.col("h0")) * (F.col("ts") - F.col("t0")) / (F.col("t1") - F.col("t0"))
+    hr = F.when(F.col("ts") == F.col("t0"), F.col("h0")).when(F.col("ts") > F.col("t0"), between)
+    return points.select(*by, "ts", hr.alias("hr"))
+
+
 def hr_window_features(grid: DataFrame, by: list[str], width: float) -> DataFrame:
     return window_stats(grid, by, width, "ts", "hr").select(*by, "seconds", F.col("mean").alias("hr_mean"), F.col("std").alias("hr_std"))
 
@@ -192,3 +237,17 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], ts: str, right_ts:
 def outer_merge(series: DataFrame, key: list[str], name: str, value: str, names: list[str]) -> DataFrame:
     """Series below one another to one row a key with a column for each name: a full outer merge as one aggregation. Of repeated points the least value counts."""
     return series.groupBy(*key).agg(*[F.min(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names])
+
+
+def merged_series(series: DataFrame, by: list[str], frame: str, name: str, value: str, names: list[str], context: list[str]) -> DataFrame:
+    """by, frame, a column for each of names, and context: the full outer merge of the series of all keys at once.
+
+    The context columns are those of the first series a key has, in the order of
+    names, and null in frames it lacks; of repeated points the least counts.
+    """
+    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(name))
+    known = series.filter(F.col(name).isin(*names)).withColumn("_order", order)
+    first = known.groupBy(*by).agg(F.min("_order").alias("_lead"))
+    leading = F.col("_order") == F.col("_lead")
+    aggs = [F.min(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names] + [F.min(F.when(leading, F.col(c))).alias(c) for c in context]
+    return known.join(first, by).groupBy(*by, frame).agg(*aggs)

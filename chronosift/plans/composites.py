@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronosift.functions import exprs
 from chronosift.lineage import cut, fresh_path
-from chronosift.operators import compare, graph, sessions
+from chronosift.operators import compare, graph, sessions, windows
 from chronosift.operators import intervals as iv
 from chronosift.operators import rules as rule_ops
 from chronosift.plans import experiments
 from chronosift.plans.catalogue import _GRID_SQL, _RULE_COLUMNS, _SIMPLE_SQL, PAIRS, _patterns, mining_sql, query, r6, rules_sql
-from chronosift.plans.stand_ins import CLOSING, EVENTS_SQL, INTERVALS_SQL, PEOPLE_SQL, TRIPLES_SQL, events, levels, people, runs_sql, state_intervals, triples
+from chronosift.plans.stand_ins import CLOSING, EVENTS_SQL, INTERVALS_SQL, PEOPLE_SQL, TRIPLES_SQL, events, levels, people, runs_sql, state_intervals, table, triples
 from chronosift.sources import readers
 from chronosift.streaming import windows as streams
 
@@ -354,6 +355,73 @@ def _chained_labels(spark, d):
     return sessions.chained_labels(e.select("client_id", F.col("seconds").alias("ts"), "event_id"), segments, ["client_id"]).select("event_id", "label")
 
 
+# --- heart rate on grids told from the data, merges of all recordings ------------------------------
+
+_CLOCKS_SQL = """cl AS (SELECT CAST(user_id AS VARCHAR) AS client_id, CASE user_id % 3 WHEN 0 THEN event_id / 7.0 WHEN 1 THEN event_id * 500.0 ELSE 1500000000.0 + event_id * 400.0 END AS ts,
+  (290 + event_id * 7919 % 1730) / CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE 1000.0 END AS ibi FROM events),
+fc AS (SELECT client_id, CASE WHEN avg(ibi) > 100 THEN 1.0 ELSE 1000.0 END AS f FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY ts) AS no FROM cl) x WHERE no <= 10 GROUP BY client_id),
+ms AS (SELECT client_id, ts, ibi * f AS ibi FROM cl JOIN fc USING (client_id)), en AS (SELECT client_id, max(ts) AS max_time FROM ms GROUP BY client_id)"""
+
+
+def _on_grid_sql(beats: str, grids: str) -> str:
+    """CTEs b, s and q (the points with hr) of beats (client_id, t, ibi) on grids gr (client_id, start, step, n)."""
+    return f"""b AS (SELECT client_id, t, avg(60000.0 / ibi) AS hr FROM {beats} WHERE ibi > 300 AND ibi < 2000 GROUP BY ALL), {grids},
+q AS (SELECT client_id, start + k * step AS ts FROM (SELECT *, unnest(range(n)) AS k FROM gr) x),
+lo AS (SELECT q.client_id, q.ts, b.t AS t0, b.hr AS h0 FROM q ASOF LEFT JOIN b ON b.client_id = q.client_id AND b.t <= q.ts),
+hi AS (SELECT lo.*, b.t AS t1, b.hr AS h1 FROM lo ASOF LEFT JOIN b ON b.client_id = lo.client_id AND b.t >= lo.ts)
+SELECT client_id, round(ts, 4) AS ts, round(CASE WHEN t0 = t1 THEN h0 WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN h0 + (h1 - h0) * (ts - t0) / (t1 - t0) END, 6) AS hr FROM hi"""
+
+
+_TOLD = """fi AS (SELECT client_id, min(t) AS f FROM b GROUP BY client_id HAVING count(*) >= 2),
+st AS (SELECT client_id, max_time, f, CASE WHEN max_time > 10000 THEN 1000.0 ELSE 1.0 END AS step FROM en JOIN fi USING (client_id) WHERE max_time > 0),
+gr AS (SELECT client_id, step, start, CAST(ceil((max_time - start) / step) AS BIGINT) AS n FROM (SELECT *, CASE WHEN max_time > 100000 THEN CASE WHEN f > 100000 THEN CASE WHEN max_time > f THEN floor(f / step) * step END ELSE max_time - step END ELSE 0.0 END AS start FROM st) y WHERE start < max_time)"""
+
+
+@query("hr_told_grid", f"WITH {_CLOCKS_SQL}, {_on_grid_sql('(SELECT client_id, ts AS t, ibi FROM ms) m', _TOLD)}")
+def _hr_told_grid(spark, d):
+    """Heart rate of recordings whose intervals are in seconds or milliseconds and whose clocks count either, from 0 or absolutely."""
+    e = table(spark, d, "events")
+    u, i = F.col("user_id"), F.col("event_id")
+    clock = F.when(u % 3 == 0, i / 7.0).when(u % 3 == 1, i * 500.0).otherwise(F.lit(1500000000.0) + i * 400.0)
+    beats = e.select(u.cast("string").alias("client_id"), clock.alias("ts"), ((F.lit(290) + i * 7919 % 1730) / F.when(u % 2 == 0, F.lit(1.0)).otherwise(F.lit(1000.0))).alias("ibi"))
+    beats = beats.join(windows.first_ibi_mean(beats, ["client_id"]), "client_id").withColumn("ibi", F.col("ibi") * F.col("factor"))
+    good = beats.filter(exprs.valid_ibi(F.col("ibi"))).select("client_id", "ts").distinct()
+    ends = beats.groupBy("client_id").agg(F.max("ts").alias("max_time"))
+    found = windows.heart_rate_on(beats, windows.grid_of_beats(good, ends, ["client_id"]), ["client_id"])
+    return found.select("client_id", F.round("ts", 4).alias("ts"), r6("hr"))
+
+
+_PEAKS_SQL = """pk AS (SELECT CAST(user_id AS VARCHAR) AS client_id, CAST(10 AS DOUBLE) * (user_id % 4) + event_id * CAST(0.9 AS DOUBLE) AS t FROM events WHERE event_id % 5 <> 0),
+sg AS (SELECT CAST(user_id AS VARCHAR) AS client_id, CAST(10 AS DOUBLE) * (user_id % 4) + event_id * CAST(0.9 AS DOUBLE) AS t FROM events),
+rr AS (SELECT client_id, (t + lead(t) OVER w) / 2 AS t, (lead(t) OVER w - t) * 1000 / 50 AS ibi FROM pk WINDOW w AS (PARTITION BY client_id ORDER BY t))"""
+
+
+@query("hr_from_peaks", f"WITH {_PEAKS_SQL}, {_on_grid_sql('rr', 'gr AS (SELECT client_id, min(t) AS start, CASE WHEN max(t) > 10000 THEN CAST(1000 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS step, CAST(ceil((max(t) - min(t)) / CASE WHEN max(t) > 10000 THEN CAST(1000 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END) AS BIGINT) AS n FROM sg GROUP BY client_id)')}")
+def _hr_from_peaks(spark, d):
+    """Heart rate from peaks on a grid from the signal's first time; four samples of five stand for peaks, a fiftieth of a second apart each."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("client_id"), "event_id", (F.lit(10.0) * (F.col("user_id") % 4) + F.col("event_id") * 0.9).alias("ts"))
+    beats = windows.rr_intervals(e.filter("event_id % 5 <> 0"), ["client_id"]).withColumn("ibi", F.col("ibi") / 50)
+    found = windows.heart_rate_on(beats, windows.grid_of_signal(e, ["client_id"]), ["client_id"])
+    return found.select("client_id", F.round("ts", 4).alias("ts"), r6("hr"))
+
+
+_TYPES = ["view", "click", "purchase", "signup", "error"]
+
+
+@query(
+    "merge_all_series",
+    f"""WITH {EVENTS_SQL}, se AS (SELECT client_id, 'm' || (event_id % 2) AS method, CAST(floor(seconds / 7200) AS BIGINT) AS frame, var, value, k FROM ev WHERE NOT (var = 'view' AND user_id % 2 = 0)),
+o AS (SELECT *, list_position({_TYPES}, var) AS no FROM se), l AS (SELECT client_id, method, min(no) AS lead_no FROM o GROUP BY ALL)
+SELECT client_id, method, frame, {", ".join(f"round(min(value) FILTER (var = '{t}'), 6) AS {t}" for t in _TYPES)}, round(min(k) FILTER (no = lead_no), 6) AS context FROM o JOIN l USING (client_id, method) GROUP BY client_id, method, frame""",
+)
+def _merge_all_series(spark, d):
+    """The series of all recordings and methods merged by frame, each with the context of its first series."""
+    rows = events(spark, d).filter(~((F.col("var") == "view") & (F.col("user_id") % 2 == 0)))
+    series = rows.select("client_id", F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string")).alias("method"), F.floor(F.col("seconds") / 7200).alias("frame"), "var", "value", F.col("k").alias("context"))
+    found = windows.merged_series(series, ["client_id", "method"], "frame", "var", "value", _TYPES, ["context"])
+    return found.select("client_id", "method", "frame", *[r6(t) for t in _TYPES], r6("context"))
+
+
 # --- streams --------------------------------------------------------------------------------------
 
 
