@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,6 +74,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def trim() -> None:
+    """Give memory that this worker has freed back to the system: workers are reused, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -113,6 +122,7 @@ def map_column(
 
         for arrays in kernel(texts()):
             yield pa.RecordBatch.from_arrays([*held.pop(0).columns[:n], *arrays], names=names)
+        trim()
 
     out = body.mapInArrow(run, schema)
     place = {c: f"k{i}" for i, c in enumerate(others)} | {text_col: "t"}

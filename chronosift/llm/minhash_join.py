@@ -103,7 +103,7 @@ def near(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 #: Sets of 5 shingles or fewer are similar to equal ones only: the next larger pair is 5 of 6, under 85 %.
-METHOD = partenum.Method(SHINGLE, PERCENT, 6, lambda spark, scanned: give, vector=vectors, near=near)
+METHOD = partenum.Method(SHINGLE, PERCENT, 6, lambda spark, scanned: give, vector=vectors, near=near, at_once=10_000_000)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

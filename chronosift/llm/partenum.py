@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from chronosift.llm.common import BROADCAST_ROWS, forget, free_name, map_column, release, settle, small, small_batches
+from chronosift.llm.common import BROADCAST_ROWS, forget, free_name, map_column, release, settle, small, small_batches, trim
 from chronosift.llm.components import connected
 from chronosift.llm.textops import PLACES, distinct_sorted, grams, mix, splitmix, word_hashes
 
@@ -112,6 +112,7 @@ class Method:
     counts: bool = False
     vector: Callable[[list[np.ndarray]], list[bytes]] | None = None
     near: Callable[[list[bytes], list[bytes]], np.ndarray] | None = None
+    at_once: int = 0  # in place of PAIRS_AT_ONCE, where screens make more pairs cheap
 
     def sizes_allow(self, a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})"
@@ -302,6 +303,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str, n: int, counted: bool) ->
             x, df = counts.often(REPORTED_FROM)
             none = pa.nulls(len(x), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(len(x), id_type), none, none, none, pa.array(x.astype(np.int64)), pa.array(df)], names=schema.names)
+        del counts, seen
+        trim()
 
     return body.mapInArrow(run, schema)
 
@@ -387,6 +390,8 @@ def signatures(docs: DataFrame, text_col: str, n: int, least: int, give: Callabl
                     buckets, keys, held = [], [], 0
         if held:
             yield sent(buckets, keys)
+        buckets, keys = [], []
+        trim()
 
     return body.mapInArrow(run, "bucket long, k long")
 
@@ -407,6 +412,8 @@ def shared_buckets(rows: DataFrame, partitions: int) -> DataFrame:
             spread = [bucket[met] & ~SPREAD, k[met], np.full(int(met.sum()), LOCAL, dtype=np.int64)]
             bucket, k, n, _ = _distinct(bucket[~met], k[~met])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y[n > 1]])) for x, y in zip(spread, (bucket, k, n), strict=True)], names=["bucket", "k", "n"])
+            del bucket, k, n, spread, met
+        trim()
 
     key = F.when(F.col("bucket").bitwiseAND(F.lit(1)) == 1, F.col("k")).otherwise(F.col("bucket"))
     return rows.repartition(partitions, key).mapInArrow(run, "bucket long, k long, n long")
@@ -415,7 +422,7 @@ def shared_buckets(rows: DataFrame, partitions: int) -> DataFrame:
 #: Buckets of at most so many nodes have all their open pairs compared; those of larger ones are sifted first.
 LIGHT = 16
 #: Open pairs of sifted buckets looked at at once: so many a row, or this many if there are few rows. Sizes and places rule most of them out where they are joined.
-PAIRS_A_ROW, PAIRS_AT_ONCE = 20, 10_000_000
+PAIRS_A_ROW, PAIRS_AT_ONCE = 20, 200_000
 #: Partners of a node that are compared in one part.
 PARTNERS = 1024
 
@@ -487,6 +494,7 @@ def linked(pairs: DataFrame, sets_of: DataFrame, few: bool, hot: bool, percent:
         for b in batches:
             ok = [similar(x, y, percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
+        trim()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -671,7 +679,7 @@ def _resolve(sifted: DataFrame, links: _Links) -> None:
     while True:
         rows = settle(_open(sifted, links), "open")
         n, pairs = _open_pairs(rows)
-        at_once = max(PAIRS_AT_ONCE, PAIRS_A_ROW * n)
+        at_once = max(links.method.at_once or PAIRS_AT_ONCE, PAIRS_A_ROW * n)
         if pairs <= at_once or not links.compare(_star(rows)):
             break
         forget(rows)

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronosift.llm import tokens
-from chronosift.llm.common import fresh_path, small_batches
+from chronosift.llm.common import fresh_path, small_batches, trim
 
 BLOCK_BYTES = 64 * 1024
 #: Values in a shard before it is closed; bounds a shard's index and filter, and what a reader holds.
@@ -243,6 +243,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, part
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        trim()
         enc, part = tokens.encoder(tokenizer), TaskContext.get().partitionId()
         id_bytes = 2 if enc.tok.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
         tail = b"" if end_id is None else end_id.to_bytes(id_bytes, "little")
