@@ -114,3 +114,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest identifier reachable by links) and kept of each row."""
     return partenum.components(docs, id_col, text_col, METHOD).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def oracle() -> str:
+    """DuckDB SQL of components()."""
+    return partenum.oracle(SHINGLE, PERCENT, ", doc_id = component_id AS kept")

@@ -707,3 +707,27 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = comp.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again"))
     key = d[f"`{id_col}`"].eqNullSafe(again["again"])
     return d.join(again, key, "left_anti").unionByName(d.join(again, key, "left_semi").dropDuplicates([id_col, text_col]))
+
+
+def oracle(n: int = SHINGLE, percent: int = PARTENUM.percent, more: str = "") -> str:
+    """DuckDB SQL of components(): all pairs of texts that share a shingle, and all that links reach; for tables of some thousand texts."""
+    return f"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), s AS (
+    SELECT DISTINCT row, array_to_string(list_slice(words, i, i + {n - 1}), ' ') AS shingle FROM (SELECT row, words, unnest(range(1, greatest(len(words) - {n - 1}, 1) + 1)) AS i FROM d WHERE len(words) > 0) x
+), size AS (
+    SELECT row, count(*) AS n FROM s GROUP BY row
+), shared AS (
+    SELECT a.row AS a, b.row AS b, count(*) AS n_both FROM s a JOIN s b ON a.shingle = b.shingle AND a.row < b.row GROUP BY ALL
+), link AS (
+    SELECT a, b FROM shared JOIN size x ON x.row = a JOIN size y ON y.row = b WHERE 100 * n_both >= {percent} * (x.n + y.n - n_both)
+), edge AS (
+    SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+    SELECT row, row AS at FROM d UNION SELECT r.row, e.b FROM reach r JOIN edge e ON e.a = r.at
+), lowest AS (
+    SELECT r.row, min(o.doc_id) AS component_id FROM reach r JOIN d o ON o.row = r.at GROUP BY r.row
+)
+SELECT doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles, component_id{more} FROM d JOIN lowest USING (row) LEFT JOIN size USING (row)
+"""

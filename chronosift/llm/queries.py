@@ -125,6 +125,8 @@ ORACLE_SQL: dict[str, str] = {
     "op6_fair_mix": fair_mix.oracle(),
     "op7_decontaminate": winnow.oracle(),
     "op9_quality_rules": rule_ledger.oracle(),
+    "op10_jaccard_join": partenum.oracle(),
+    "op11_minhash_dedup": minhash_join.oracle(),
     "op12_conversation_repair": conv_repair.oracle(),
     "op13_conversation_trie": conv_trie.oracle(),
     "quality_rule_ablation": rule_ledger.oracle_ablation(),

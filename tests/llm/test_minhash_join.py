@@ -136,3 +136,14 @@ def test_query_equals_brute_force(spark):
     got = queries.op11_minhash_dedup(spark, helpers.SF).collect()
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == brute(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_sql_equals_brute_force():
+    import duckdb
+
+    rows = near_copies() + [(None, "a b c d e f g h"), (2001, "a b c d e f g h"), (2002, None), (2003, " "), (2004, "x"), (2005, "X")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = con.execute(minhash_join.oracle()).fetchall()
+    assert sorted((str(r[0]), r[1], r[2]) for r in got) == brute(rows)
