@@ -111,3 +111,19 @@ def test_least_lengths_of_signals():
     x = np.sin(np.arange(4000) / 8.0)
     assert len(kernels.ecg_peaks(x[:399], 200.0)) == 0 and len(kernels.ecg_peaks(x, 8.0)) == 0
     assert len(kernels.pulse_peaks(x[:15], 8.0)) == 0 and len(kernels.pulse_peaks(x[:64], 8.0)) > 0
+
+
+def test_recordings_without_plausible_beats_keep_their_points(spark):
+    beats = spark.createDataFrame([("a", 1.0, 600.0), ("a", 3.0, 1000.0), ("b", 1.0, 9.0)], "c string, ts double, ibi double")
+    grids = spark.createDataFrame([(c, 0.0, 1.0, 4) for c in "abc"], "c string, start double, step double, n long")
+    got = {(r.c, r.ts): r.hr for r in windows.heart_rate_on(beats, grids, ["c"]).collect()}
+    assert got == {**{("a", t): h for t, h in zip((0.0, 1.0, 2.0, 3.0), (None, 100.0, 80.0, 60.0), strict=True)}, **{(c, float(t)): None for c in "bc" for t in range(4)}}
+
+
+def test_points_that_meet_a_beat_but_for_rounding(spark):
+    start, step = 0.1, 0.1
+    times = sorted({start + k * step for k in range(0, 60, 2)})
+    beats = spark.createDataFrame([("a", t, 1000.0 - 3 * i) for i, t in enumerate(times)], "c string, ts double, ibi double")
+    grids = spark.createDataFrame([("a", start, step, 59)], "c string, start double, step double, n long")
+    got = {r.ts: r.hr for r in windows.heart_rate_on(beats, grids, ["c"]).collect()}
+    assert all(got[t] == 60000.0 / (1000.0 - 3 * i) for i, t in enumerate(times))
