@@ -133,15 +133,45 @@ def heart_rate_grid(beats: DataFrame, by: list[str], ts: str = "ts", ibi: str =
     Each beat yields the grid points up to the next one, so that no table of
     grid points is joined. Beats at one time are averaged.
     """
+    grid = _stretches(beats, by, ts, ibi, step).withColumn("_k", F.explode(F.sequence("_low", "_high"))).withColumn("ts", F.col("_k") * F.lit(step))
+    return grid.select(*by, "ts", (F.col("h0") + F.col("_rise") * (F.col("ts") - F.col("t0")) / F.col("_long")).alias("hr"))
+
+
+def _stretches(beats: DataFrame, by: list[str], ts: str, ibi: str, step: float) -> DataFrame:
+    """by, t0, h0, _rise over _long and the grid points _low to _high of each beat that has any: those up to, but without, the next beat; the last beat has its own point only."""
     good = beats.filter(exprs.valid_ibi(F.col(ibi))).groupBy(*by, ts).agg(F.avg(60000.0 / F.col(ibi)).alias("hr"))
     w = Window.partitionBy(*by).orderBy(ts)
     seg = good.select(*by, F.col(ts).alias("t0"), F.col("hr").alias("h0"), F.lead(ts).over(w).alias("t1"), F.lead("hr").over(w).alias("h1"))
     first = F.ceil(F.greatest(F.col("t0"), F.lit(0.0)) / step).cast("long")
-    # Up to, but without, the next beat; the last beat yields its own point only.
     last = F.when(F.col("t1").isNull(), F.floor(F.col("t0") / step)).otherwise(F.ceil(F.col("t1") / step) - 1).cast("long")
-    grid = seg.filter(first <= last).withColumn("_k", F.explode(F.sequence(first, last))).withColumn("ts", F.col("_k") * F.lit(step))
-    hr = F.when(F.col("t1").isNull(), F.col("h0")).otherwise(F.col("h0") + (F.col("h1") - F.col("h0")) * (F.col("ts") - F.col("t0")) / (F.col("t1") - F.col("t0")))
-    return grid.select(*by, "ts", hr.alias("hr"))
+    rise, long = F.coalesce(F.col("h1") - F.col("h0"), F.lit(0.0)), F.coalesce(F.col("t1") - F.col("t0"), F.lit(1.0))
+    return seg.select(*by, "t0", "h0", rise.alias("_rise"), long.alias("_long"), first.alias("_low"), last.alias("_high")).filter("_low <= _high")
+
+
+def heart_rate_windows(beats: DataFrame, by: list[str], width: float, ts: str = "ts", ibi: str = "ibi", step: float = 1.0) -> DataFrame:
+    """by, seconds, hr_mean, hr_std: ``hr_window_features`` of ``heart_rate_grid``, without its points.
+
+    The points of one beat in one window are an arithmetic progression, of which
+    number, mean and squared deviations are known; so a beat yields a row for
+    each window it reaches, and not one for each point.
+    """
+    window = lambda k: F.floor(k * F.lit(step) / F.lit(float(width))).cast("long")
+    # The first point of a window, as window_id places points: the quotient may be wrong by one.
+    near = lambda w: F.ceil(w * F.lit(float(width)) / F.lit(step)).cast("long")
+    first = lambda w: near(w) - (window(near(w) - 1) >= w).cast("long") + (window(near(w)) < w).cast("long")
+    wid = F.col("_w")
+    parts = _stretches(beats, by, ts, ibi, step).withColumn("_w", F.explode(F.sequence(window(F.col("_low")), window(F.col("_high")))))
+    parts = parts.withColumn("_a", F.greatest("_low", first(wid))).withColumn("_z", F.least(F.col("_high"), first(wid + 1) - 1)).filter("_a <= _z")
+    n, middle = (F.col("_z") - F.col("_a") + 1).cast("double"), (F.col("_a") + F.col("_z")) / F.lit(2.0) * F.lit(step)
+    slope = F.col("_rise") * F.lit(step) / F.col("_long")
+    parts = parts.select(*by, "_w", n.alias("_n"), (F.col("h0") + F.col("_rise") * (middle - F.col("t0")) / F.col("_long")).alias("_m"), (slope * slope * n * (n * n - 1) / 12).alias("_d"))
+    agg = parts.groupBy(*by, "_w").agg(
+        F.sum("_n").alias("_n"), (F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("hr_mean"), F.sum("_d").alias("_inner"),
+        F.sum(F.col("_n") * F.col("_m") * F.col("_m")).alias("_squares"), (F.min("_m") == F.max("_m")).alias("_level"),
+    )
+    between = F.when(F.col("_level"), F.lit(0.0)).otherwise(F.greatest(F.col("_squares") - F.col("_n") * F.col("hr_mean") * F.col("hr_mean"), F.lit(0.0)))
+    std = F.when(F.col("_n") == 1, F.lit(0.0)).otherwise(F.sqrt((F.col("_inner") + between) / (F.col("_n") - 1)))
+    return agg.select(*by, window_end(wid, width).alias("seconds"), "hr_mean", std.alias("hr_std"))
 
 
 def grid_of_beats(beats: DataFrame, ends: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:

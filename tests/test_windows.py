@@ -127,3 +127,14 @@ def test_points_that_meet_a_beat_but_for_rounding(spark):
     grids = spark.createDataFrame([("a", start, step, 59)], "c string, start double, step double, n long")
     got = {r.ts: r.hr for r in windows.heart_rate_on(beats, grids, ["c"]).collect()}
     assert all(got[t] == 60000.0 / (1000.0 - 3 * i) for i, t in enumerate(times))
+
+
+def test_heart_rate_windows_equal_those_of_the_points(spark):
+    rng = random.Random(3)
+    rows = [(c, rng.choice([0.5, 1.0, 3.7]) * i + rng.random(), rng.uniform(250, 2100)) for c in "abcd" for i in range(80)] + [("e", 4.0, 700.0), ("f", 1.2, 1000.0), ("f", 900.0, 1000.0)]
+    df = spark.createDataFrame(rows, "c string, ts double, ibi double")
+    for width, step in ((10.0, 1.0), (7.5, 0.1), (100.0, 3.0)):
+        want = {(r.c, r.seconds): (r.hr_mean, r.hr_std) for r in windows.hr_window_features(windows.heart_rate_grid(df, ["c"], step=step), ["c"], width).collect()}
+        got = {(r.c, r.seconds): (r.hr_mean, r.hr_std) for r in windows.heart_rate_windows(df, ["c"], width, step=step).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
