@@ -275,7 +275,7 @@ class Counts:
         return self.keys[self.upper >= least], self.upper[self.upper >= least]
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, n: int, counted: bool) -> DataFrame:
+def scan(docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE, counted: bool = True) -> DataFrame:
     """A row of doc_id, h (the hash of the text), n_shingles and k, the hash of the set (null if it is empty), for each document.
 
     If counted, other rows, of which shingle is not null, are each task's
