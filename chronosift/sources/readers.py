@@ -9,8 +9,10 @@ from __future__ import annotations
 import csv
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from io import BytesIO
+from itertools import islice
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,8 @@ from chronosift.functions import exprs
 from chronosift.shipping import ship
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+#: Triples in a batch that a parser hands on.
+RDF_ROWS = 10_000
 
 
 def csv_by_header(spark: SparkSession, path: str | list[str], columns: list[str], renames: dict[str, str] | None = None, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -221,25 +225,32 @@ def demographics_xlsx(spark: SparkSession, path: str, dataset: str, participant:
 
 
 def rdf_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Triples (s, p, o) of RDF/XML files; each file is parsed by one task, many files in parallel."""
+    """Triples (s, p, o) of RDF/XML files; each file is parsed by one task, many files in parallel. Of a file only its bytes and one node of its top level are held."""
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
+    names = ["s", "p", "o"]
 
     def parse(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            rows = [t for content in pdf["content"] for t in parse_rdf(content)]
-            yield pd.DataFrame(rows, columns=["s", "p", "o"])
+        for b in batches:
+            for content in b.column(0):
+                found = rdf_triples(content.as_py()) if len(content.as_py()) else iter(())
+                while rows := list(islice(found, RDF_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.string()) for x in zip(*rows, strict=True)], names=names)
 
-    return files.mapInPandas(parse, "s string, p string, o string").distinct()
+    return files.mapInArrow(parse, "s string, p string, o string").distinct()
 
 
 def parse_rdf(content: bytes) -> list[tuple[str, str, str]]:
     """Triples of one RDF/XML document: typed nodes, property attributes, references, nested nodes and literals."""
+    return list(rdf_triples(content))
+
+
+def rdf_triples(content: bytes) -> Iterator[tuple[str, str, str]]:
+    """The triples of parse_rdf, node by node of the top level; a node is dropped when its triples are out."""
     about, ident, resource, base = f"{{{RDF}}}about", f"{{{RDF}}}ID", f"{{{RDF}}}resource", "{http://www.w3.org/XML/1998/namespace}base"
-    root, out, blanks = ET.fromstring(content), [], 0
-    prefix = root.get(base, "")
+    prefix, out, blanks = "", [], 0
     full = lambda u: u if "://" in u or not prefix else prefix + u if u.startswith("#") else f"{prefix}#{u}"
     name = lambda tag: tag[1:].replace("}", "") if tag.startswith("{") else tag
 
@@ -265,9 +276,19 @@ def parse_rdf(content: bytes) -> list[tuple[str, str, str]]:
                 out.append((s, name(p.tag), (p.text or "").strip()))
         return s
 
-    for e in root:
-        node(e)
-    return out
+    root, depth = None, 0
+    for event, e in ET.iterparse(BytesIO(content), ("start", "end")):
+        if event == "start":
+            if root is None:
+                root, prefix = e, e.get(base, "")
+            depth += 1
+            continue
+        depth -= 1
+        if depth == 1:
+            node(e)
+            yield from out
+            out.clear()
+            root.clear()
 
 
 def href_links(pages: DataFrame, html: str, base: str = "", pattern: str = 'href="([^"]*\\.csv)"') -> DataFrame:

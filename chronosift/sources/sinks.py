@@ -7,6 +7,7 @@ one file unless asked to.
 from __future__ import annotations
 
 import json
+from itertools import islice
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame
@@ -64,19 +65,24 @@ def triples_text(triples: DataFrame, path: str) -> None:
     triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), o, F.lit(" .")).alias("value")).write.mode("overwrite").text(path)
 
 
+#: Triples in an RDF/XML document, some 4 MB, which one task reads.
+RDF_DOCUMENT = 20_000
+
+
 def rdf_xml(triples: DataFrame, path: str) -> None:
-    """RDF/XML: a document for each partition, an element for each triple; objects with a scheme or a # are resources, others literals."""
+    """RDF/XML: documents of at most RDF_DOCUMENT triples, an element for each; objects with a scheme or a # are resources, others literals."""
     ship(triples.sparkSession)
+    size = RDF_DOCUMENT
 
-    def document(batches):
-        import pandas as pd
+    def documents(batches):
+        import pyarrow as pa
 
-        yield pd.DataFrame({"value": ['<?xml version="1.0" encoding="UTF-8"?>', f'<rdf:RDF xmlns:rdf="{RDF}">']})
-        for pdf in batches:
-            yield pd.DataFrame({"value": [rdf_element(*t) for t in zip(pdf["s"], pdf["p"], pdf["o"], strict=True)]}, dtype="object")
-        yield pd.DataFrame({"value": ["</rdf:RDF>"]})
+        elements = (rdf_element(*(x.as_py() for x in t)) for b in batches for t in zip(*b.columns, strict=True))
+        while lines := list(islice(elements, size)):
+            text = "\n".join(['<?xml version="1.0" encoding="UTF-8"?>', f'<rdf:RDF xmlns:rdf="{RDF}">', *lines, "</rdf:RDF>"])
+            yield pa.RecordBatch.from_arrays([pa.array([text])], names=["value"])
 
-    triples.select("s", "p", "o").mapInPandas(document, "value string").write.mode("overwrite").text(path)
+    triples.select("s", "p", "o").mapInArrow(documents, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def rdf_element(s: str, p: str, o: str) -> str:

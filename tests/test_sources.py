@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -125,3 +126,23 @@ def test_cached_csv_is_made_once(spark, tmp_path):
         found = readers.cached_csv(spark, f"{tmp_path}/c", fields, make)
         assert sorted(map(tuple, found.collect()), key=str) == [("a", 1), (None, 2)]
     assert calls == [1]
+
+
+def test_graphs_are_written_in_bounded_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "RDF_DOCUMENT", 10)
+    t = spark.range(25, numPartitions=1).selectExpr("concat('urn#a', id) AS s", "'urn#p' AS p", "concat('x < ', id, '\n&') AS o")
+    sinks.rdf_xml(t, f"{tmp_path}/g")
+    assert len(list((tmp_path / "g").glob("part-*"))) == 3
+    assert sorted(map(tuple, readers.rdf_xml(spark, f"{tmp_path}/g").collect())) == sorted((r.s, r.p, r.o.strip()) for r in t.collect())
+    sinks.rdf_xml(t.limit(0), f"{tmp_path}/none")
+    assert readers.rdf_xml(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_graph_is_parsed_node_by_node():
+    nodes = "".join(f'<rdf:Description rdf:about="urn://a#s{i}"><c:p>v{i}</c:p></rdf:Description>' for i in range(20000))
+    document = f'<rdf:RDF xmlns:rdf="{readers.RDF}" xmlns:c="urn:x#">{nodes}</rdf:RDF>'.encode()
+    tracemalloc.start()
+    assert sum(1 for _ in readers.rdf_triples(document)) == 20000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
