@@ -142,16 +142,15 @@ JSON_SIGNALS = {"ACC_RawData": ("ACC_X", "ACC_Y", "ACC_Z"), "EDA_RawData": ("EDA
 
 
 def json_signals(spark: SparkSession, path: str, arrays: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """file, video, signal, ts, value of nested signal files: the first record's videos, each with an array for each modality."""
+    """file, video, signal, ts, value of nested signal files: the first record's videos, each with an array for each modality. Files are read once for all modalities."""
     arrays = arrays or JSON_SIGNALS
     video = ", ".join(["VideoID: string", *(f"{k}: {_SAMPLE % ','.join(f'{v}:double' for v in vs)}" for k, vs in arrays.items())])
     raw = spark.read.json(path, schema=f"Physio_RawData array<struct<Video_Physio_RawData: array<struct<{video}>>>>", multiLine=True)
     videos = raw.select(F.col("_metadata.file_name").alias("file"), F.explode(F.try_element_at("Physio_RawData", F.lit(1))["Video_Physio_RawData"]).alias("v")).select("file", "v.*")
-    parts = []
-    for key, values in arrays.items():
-        s = videos.select("file", F.col("VideoID").alias("video"), F.explode(key).alias("x"))
-        parts += [s.select("file", "video", F.lit(v).alias("signal"), F.col("x.TimeStamp").alias("ts"), exprs.known(F.col(f"x.{v}")).alias("value")) for v in values]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    sample = lambda key, v: F.transform(key, lambda x: F.struct(F.lit(v).alias("signal"), x["TimeStamp"].alias("ts"), exprs.known(x[v]).alias("value")))
+    none = F.array().cast("array<struct<signal:string,ts:double,value:double>>")
+    samples = F.concat(*[F.coalesce(sample(key, v), none) for key, values in arrays.items() for v in values])
+    return videos.select("file", F.col("VideoID").alias("video"), F.explode(samples).alias("x")).select("file", "video", "x.*")
 
 
 def json_annotations(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import tracemalloc
 from pyspark.sql import functions as F
 
 from chronosift.operators import graph
+from chronosift.plans import catalogue, exchange
 from chronosift.sources import readers, sinks
 from chronosift.streaming import windows as streams
 
@@ -146,3 +147,23 @@ def test_graph_is_parsed_node_by_node():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2_000_000
+
+
+def test_nested_signals_are_one_scan_of_few_files(spark, tmp_path):
+    rows = [{"VideoID": "v", "EDA_RawData": [{"TimeStamp": 1.0, "EDA": 2.0}, {"TimeStamp": 2.0}], "ACC_RawData": [{"TimeStamp": 3.0, "ACC_X": 4.0, "ACC_Y": 5.0, "ACC_Z": 6.0}]}, {"VideoID": "w"}]
+    (tmp_path / "a.json").write_text(json.dumps({"Physio_RawData": [{"Video_Physio_RawData": rows}]}))
+    found = readers.json_signals(spark, f"{tmp_path}/a.json")
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan json") == 1
+    got = sorted((r.video, r.signal, r.ts, r.value) for r in found.collect() if r.value is not None)
+    assert got == [("v", "ACC_X", 3.0, 4.0), ("v", "ACC_Y", 3.0, 5.0), ("v", "ACC_Z", 3.0, 6.0), ("v", "EDA", 1.0, 2.0)]
+    assert found.count() == 5
+
+
+def test_nested_files_hold_several_users(spark, tmp_path):
+    ts = F.timestamp_seconds(F.col("id"))
+    spark.range(130).select(F.col("id").alias("event_id"), ts.alias("ts"), F.col("id").alias("user_id"), F.when(F.col("id") > 0, "a:b").alias("event_type"), F.col("id").cast("double").alias("value"), F.lit('{"k": 1}').alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    path = exchange._nested(spark, str(tmp_path), F.struct(F.col("seconds").alias("TimeStamp"), F.col("value").alias("EDA")), "EDA_RawData", "Video_Physio_RawData", "Physio_RawData", "n.json")
+    assert readers.file_names(spark, f"{path}/*.json").count() == 3
+    for name in ("json_signals", "json_annotations"):
+        got = sorted((str(r.video), r.ts) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted([("None", 0.0), *(("a:b", float(i)) for i in range(1, 130))])
