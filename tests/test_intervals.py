@@ -76,3 +76,15 @@ def test_validation(spark):
     rows = [("c", "s", 1.0, 2.0), ("c", "s", 1.0, 2.0), ("c", "s", 3.0, 3.0), ("d", "t", -1.0, 2.0)]
     r = iv.validate(spark.createDataFrame(rows, "client_id string, state string, start_time double, end_time double")).first()
     assert (r.n_rows, r.n_clients, r.n_states, r.n_empty, r.n_negative, r.n_duplicates, r.valid) == (4, 2, 2, 1, 1, 1, False)
+
+
+def test_thresholds_do_not_bring_a_variable_into_one_task(spark):
+    wide = spark.createDataFrame([("a", float(i), float(i)) for i in range(5)], "client_id string, seconds double, hr_mean double")
+    cuts = spark.createDataFrame([("hr_mean", 0.3, 0.6)], "var string, p33 double, p67 double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = iv.state_intervals(wide, cuts)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [var" in plan and "hashpartitioning(var#" not in plan
