@@ -79,12 +79,13 @@ def ordered_runs(stream: DataFrame, delay: float, closing: float = 30.0) -> Data
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         client, var = key
         level, start, at, seen, held = state.get if state.exists else (None, None, None, None, [])
-        rows = pd.concat(list(batches))
-        out, over = [], bool(rows["last"].any())
-        rows = rows[~rows["last"]]
-        waiting = [tuple(x) for x in held]
-        for seconds, tie, new in zip(rows["seconds"], rows["tie"], rows["level"], strict=True):
-            new = None if pd.isna(new) else new
+        out, over, waiting = [], False, [tuple(x) for x in held]
+        # A key has few rows: lists take a fraction of the time of frame operations.
+        for seconds, tie, new, last in (x for b in batches for x in zip(*(b[c].tolist() for c in ("seconds", "tie", "level", "last")), strict=True)):
+            if last:
+                over = True
+                continue
+            new = new if isinstance(new, str) else None
             if at is not None and seconds < at:
                 out.append((LATE, client, var, new, float(seconds), float(seconds)))
             else:
@@ -102,7 +103,8 @@ def ordered_runs(stream: DataFrame, delay: float, closing: float = 30.0) -> Data
             out.append((RUN, client, var, level, start, at + closing))
             level, start = None, None
         state.update((level, start, at, seen, waiting[len(ready) :]))
-        yield pd.DataFrame(out, columns=["kind", "client_id", "var", "state", "start_time", "end_time"])
+        if out:
+            yield pd.DataFrame(out, columns=["kind", "client_id", "var", "state", "start_time", "end_time"])
 
     ship(stream.sparkSession)
     kept = "level string, start double, at double, seen double, held array<struct<seconds: double, tie: bigint, level: string>>"
