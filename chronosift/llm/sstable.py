@@ -243,8 +243,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, part
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        trim()
         enc, part = tokens.encoder(tokenizer), TaskContext.get().partitionId()
+        trim()
         id_bytes = 2 if enc.tok.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
         tail = b"" if end_id is None else end_id.to_bytes(id_bytes, "little")
         fs, base = open_fs(folder)

@@ -1,4 +1,5 @@
 import io
+import os
 import random
 import struct
 import zlib
@@ -63,6 +64,28 @@ def test_encoding_of_random_texts():
     same_ids(texts, limit=2000)
 
 
+def test_plain_letters_are_encoded_as_by_the_library():
+    """All letters before the settled ones' end, in both cases, alone and in words with tails."""
+    letters = [c for c in map(chr, range(0x590)) if c.isalpha()]
+    same_ids([f"{c} {c}a., b{c}{c.upper()}. {c.lower()}\u0301" for c in letters] + ["".join(letters), " ".join(letters)])
+
+
+def test_words_met_again_stay_remembered(monkeypatch):
+    """Beyond the limit, only words that came once are encoded again; the library's threads, which cost more CPU, are off."""
+    enc = tokens.ChunkEncoder(queries.tokenizer_path(), limit=50)
+    asked = []
+    plain = enc._plain
+    monkeypatch.setattr(enc, "_plain", lambda words: (asked.extend(words.to_pylist()), plain(words))[1])
+    letters = "abcdefghij"
+    rare = [f"z{a}{b}" for a in letters for b in letters]
+    for i in range(10):
+        enc.encode(pa.array(["The often met, words. " + " ".join(rare[10 * i : 10 * i + 10])]))
+    assert all(asked.count(w) == 1 for w in (b"the", b"often", b"met", b"words")) and len(enc.words.words) <= 50
+    enc.encode(pa.array([rare[0]]))
+    assert asked.count(rare[0].encode()) == 2
+    assert tokens.encoder(queries.tokenizer_path()) and os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_round_trip(spark):
     manifest, n = sstable.encode_to_shards(spark, helpers.clashing(spark), queries.tokenizer_path(), queries.END_ID, partitions=3)
     got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in sstable.read(manifest, n).collect()), key=lambda r: (r[1]))
