@@ -66,3 +66,20 @@ def test_top_rules_and_groups(spark):
     assert [r.signature for r in rule_ops.top_rules(df, 2).collect()] == ["s9", "t"]
     assert {(r.grp, r.signature) for r in rule_ops.top_in_group(df, "grp", "confidence", 1).collect()} == {("g", "s9"), ("h", "t")}
     assert rule_ops.details(df.union(df)).count() == 11
+
+
+def test_permuted_universal_mines_once(spark, monkeypatch):
+    """Original and shuffled data sets are mined in one job, with the counts of two; a row without data set has no part."""
+    from chronosift.operators.miner import GROUP, MiningParams
+    from chronosift.plans import experiments
+
+    rows = [(f"d{c % 2}", f"c{c}", "xyzu"[(i * (1 + c % 3) + c) % 4], float(i), i + 1.0) for c in range(6) for i in range(5)] + [(None, "n", "x", 0.0, 1.0)]
+    intervals = spark.createDataFrame(rows, "dataset string, client_id string, state string, start_time double, end_time double")
+    params = MiningParams(0.3, 0.1, -1.0, 2)
+    want = []
+    for part in (intervals, experiments.permuted(intervals, ["dataset", "client_id"])):
+        want.append(compare.universal(experiments.mined_rules(part, "dataset", params).withColumnRenamed(GROUP, "ds")).count())
+    calls, mined = [], experiments.mined_rules
+    monkeypatch.setattr(experiments, "mined_rules", lambda *a: (calls.append(a), mined(*a))[1])
+    assert [tuple(r) for r in experiments.permuted_universal(intervals, params=params).collect()] == [tuple(want)] and sum(want) > 0
+    assert len(calls) == 1
