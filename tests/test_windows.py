@@ -138,3 +138,16 @@ def test_heart_rate_windows_equal_those_of_the_points(spark):
         got = {(r.c, r.seconds): (r.hr_mean, r.hr_std) for r in windows.heart_rate_windows(df, ["c"], width, step=step).collect()}
         assert got.keys() == want.keys()
         assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_beats_of_a_grid_are_dealt_out_once(spark):
+    rows = [("c", 0.5, 1000.0), ("c", 2.5, 400.0), ("c", 2.5, 600.0), ("c", 6.0, 750.0), ("c", None, 800.0), ("d", 3.0, 600.0), ("d", 3.0, 300.0)]
+    df = spark.createDataFrame(rows, "c string, ts double, ibi double")
+    grid = windows.heart_rate_grid(df, ["c"])
+    assert exchanges(grid) == 1
+    want = {("c", float(k)): float(np.interp(k, [0.5, 2.5, 6.0], [60.0, 125.0, 80.0])) for k in range(1, 7)} | {("d", 3.0): 100.0}
+    assert sorted((r.c, r.ts) for r in grid.collect()) == sorted(want) and {(r.c, r.ts): r.hr for r in grid.collect()} == pytest.approx(want)
