@@ -3,7 +3,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from chronosift.functions import exprs
 from chronosift.operators import kernels, windows
 
 
@@ -151,3 +153,18 @@ def test_beats_of_a_grid_are_dealt_out_once(spark):
     assert exchanges(grid) == 1
     want = {("c", float(k)): float(np.interp(k, [0.5, 2.5, 6.0], [60.0, 125.0, 80.0])) for k in range(1, 7)} | {("d", 3.0): 100.0}
     assert sorted((r.c, r.ts) for r in grid.collect()) == sorted(want) and {(r.c, r.ts): r.hr for r in grid.collect()} == pytest.approx(want)
+
+
+def test_told_heart_rate_takes_one_exchange_and_no_join(spark):
+    rng, rows = random.Random(5), [("i", 3.0, 0.8), ("j", 1.5e6, 5.0), (None, 1.0, 0.9), (None, 2.0, 0.9)]
+    for c, origin, rate, unit in (("a", 0.0, 1.0, 1.0), ("b", 0.0, 700.0, 0.001), ("d", 1.5e9, 900.0, 1.0), ("e", 90_000.0, 800.0, 0.001), ("f", 250_000.0, 650.0, 1.0), ("g", 0.0, 90.0, 1.0), ("h", -50.0, 2.0, 0.001)):
+        rows += [(c, origin + rate * (i + rng.random()), rng.uniform(250, 2100) * unit) for i in range(60)]
+    rows += [("k", 7.0, 600.0), ("k", 7.0, 900.0), ("l", 7.0, 600.0), ("l", 7.0, 900.0), ("l", 9.0, 700.0)]
+    df = spark.createDataFrame(rows, "c string, ts double, ibi double")
+    told = windows.heart_rate_told(df, ["c"])
+    assert exchanges(told) == 1 and "Join" not in told._jdf.queryExecution().executedPlan().toString()
+    beats = df.join(windows.first_ibi_mean(df, ["c"]), "c").withColumn("ibi", F.col("ibi") * F.col("factor"))
+    grids = windows.grid_of_beats(beats.filter(exprs.valid_ibi(F.col("ibi"))).select("c", "ts").distinct(), beats.groupBy("c").agg(F.max("ts").alias("max_time")), ["c"])
+    want, got = ([(r.c, r.ts, r.hr) for r in x.collect()] for x in (windows.heart_rate_on(beats, grids, ["c"]), told))
+    assert {c for c, _, _ in want} == set("abdefghl") and len(got) == len(want) == len({x[:2] for x in want})
+    assert {x[:2]: x[2] for x in got} == pytest.approx({x[:2]: x[2] for x in want})
