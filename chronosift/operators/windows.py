@@ -137,52 +137,75 @@ def heart_rate_grid(beats: DataFrame, by: list[str], ts: str = "ts", ibi: str =
     return grid.select(*by, "ts", (F.col("h0") + F.col("_rise") * (F.col("ts") - F.col("t0")) / F.col("_long")).alias("hr"))
 
 
-def _beats_and_next(beats: DataFrame, by: list[str], ts: str, ibi: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def _beats_and_next(beats: DataFrame, by: list[str], ts: str, ibi: str, keep: tuple[str, ...] = (), order: tuple[str, ...] = ("t0",)) -> DataFrame:
     """by, keep, t0, h0, t1, h1 and _first: each plausible beat with the next one; beats at one time are averaged, those without a time dropped.
 
     All of it is windows over one order of the key, so that beats are dealt out
-    and sorted once; keep are columns that are constant within a key.
+    and sorted once; keep are columns that are constant within a key and time,
+    and order is one by time: columns of keep may go before it that grow with it.
     """
-    order = Window.partitionBy(*by).orderBy("t0")
+    order = Window.partitionBy(*by).orderBy(*order)
     good = beats.filter(exprs.valid_ibi(F.col(ibi)) & F.col(ts).isNotNull()).select(*by, *keep, F.col(ts).cast("double").alias("t0"), (60000.0 / F.col(ibi)).alias("_hr"))
     mean = F.avg("_hr").over(order.rangeBetween(Window.currentRow, Window.currentRow))
     ranked = good.select("*", mean.alias("h0"), F.row_number().over(order).alias("_no"), F.rank().over(order).alias("_rank")).filter("_no = _rank")
     return ranked.select(*by, *keep, "t0", "h0", F.lead("t0").over(order).alias("t1"), F.lead("h0").over(order).alias("h1"), (F.col("_no") == 1).alias("_first"))
 
 
-def _stretches(beats: DataFrame, by: list[str], ts: str, ibi: str, step: float) -> DataFrame:
-    """by, t0, h0, _rise over _long and the grid points _low to _high of each beat that has any: those up to, but without, the next beat; the last beat has its own point only."""
-    seg = _beats_and_next(beats, by, ts, ibi)
-    first = F.ceil(F.greatest(F.col("t0"), F.lit(0.0)) / step).cast("long")
+def _first_point(t: Column, step: float) -> Column:
+    return F.ceil(F.greatest(t, F.lit(0.0)) / step).cast("long")
+
+
+def _stretches(beats: DataFrame, by: list[str], ts: str, ibi: str, step: float, keep: tuple[str, ...] = (), order: tuple[str, ...] = ("t0",)) -> DataFrame:
+    """by, keep, t0, h0, _rise over _long and the grid points _low to _high of each beat that has any: those up to, but without, the next beat; the last beat has its own point only."""
+    seg = _beats_and_next(beats, by, ts, ibi, keep, order)
     last = F.when(F.col("t1").isNull(), F.floor(F.col("t0") / step)).otherwise(F.ceil(F.col("t1") / step) - 1).cast("long")
     rise, long = F.coalesce(F.col("h1") - F.col("h0"), F.lit(0.0)), F.coalesce(F.col("t1") - F.col("t0"), F.lit(1.0))
-    return seg.select(*by, "t0", "h0", rise.alias("_rise"), long.alias("_long"), first.alias("_low"), last.alias("_high")).filter("_low <= _high")
+    return seg.select(*by, *keep, "t0", "h0", rise.alias("_rise"), long.alias("_long"), _first_point(F.col("t0"), step).alias("_low"), last.alias("_high")).filter("_low <= _high")
 
 
 def heart_rate_windows(beats: DataFrame, by: list[str], width: float, ts: str = "ts", ibi: str = "ibi", step: float = 1.0) -> DataFrame:
     """by, seconds, hr_mean, hr_std: ``hr_window_features`` of ``heart_rate_grid``, without its points.
 
     The points of one beat in one window are an arithmetic progression, of which
-    number, mean and squared deviations are known; so a beat yields a row for
-    each window it reaches, and not one for each point.
+    number, mean and squared deviations are known. A window has points of the
+    beats whose first point is in it (_f), and of one beat before these at most,
+    so that it is told from windows over the one order in which beats are
+    sorted; the further windows that a beat reaches are its own, and are made
+    last. There is no aggregation of them, however far apart beats are.
     """
     window = lambda k: F.floor(k * F.lit(step) / F.lit(float(width))).cast("long")
-    # The first point of a window, as window_id places points: the quotient may be wrong by one.
-    near = lambda w: F.ceil(w * F.lit(float(width)) / F.lit(step)).cast("long")
-    first = lambda w: near(w) - (window(near(w) - 1) >= w).cast("long") + (window(near(w)) < w).cast("long")
+
+    def edges(rows: DataFrame, w: Column) -> DataFrame:
+        """With _a and _e, the first and last point of window w, as window_id places points: the quotient may be wrong by one."""
+        near = lambda w: F.ceil(w * F.lit(float(width)) / F.lit(step)).cast("long")
+        first = lambda k, w: k - (window(k - 1) >= w).cast("long") + (window(k) < w).cast("long")
+        return rows.withColumns({"_a": near(w), "_e": near(w + 1)}).withColumns({"_a": first(F.col("_a"), w), "_e": first(F.col("_e"), w + 1) - 1})
+
+    def points(a: str, z: str, beat=F.col) -> Column:
+        """n, m (mean) and d (squared deviations from it) of a beat's points a to z; null where there are none."""
+        n, slope = (F.col(z) - F.col(a) + 1).cast("double"), beat("_rise") * F.lit(step) / beat("_long")
+        m = beat("h0") + beat("_rise") * ((F.col(a) + F.col(z)) / F.lit(2.0) * F.lit(step) - beat("t0")) / beat("_long")
+        return F.when(F.col(a) <= F.col(z), F.struct(n.alias("n"), m.alias("m"), (slope * slope * n * (n * n - 1) / 12).alias("d")))
+
+    # Columns are named step by step: written as one expression they are a method too large for the JVM to compile.
+    placed = beats.repartition(*by).withColumn("_f", window(_first_point(F.col(ts).cast("double"), step)))
+    order, same = Window.partitionBy(*by).orderBy("_f", "t0"), Window.partitionBy(*by, "_f")
+    beat = F.struct("t0", "h0", "_rise", "_long", "_high", "_f")
+    rows = _stretches(placed, by, ts, ibi, step, ("_f",), ("_f", "t0")).select("*", F.lag(beat).over(order).alias("_b"), F.lead("_f").over(order).alias("_next"))
+    rows = edges(rows, F.col("_f")).withColumns({"_z": F.least("_high", "_e"), "_y": F.when(F.col("_b._f") < F.col("_f"), F.least("_b._high", "_e"))})
+    rows = rows.withColumns({"_p": points("_low", "_z"), "_q": points("_a", "_y", lambda c: F.col(f"_b.{c}"))})
+    both = lambda f: F.sum(f("_p") + F.coalesce(f("_q"), F.lit(0.0))).over(same)
+    rows = rows.withColumns({"_n": both(lambda p: F.col(f"{p}.n")), "_s": both(lambda p: F.col(f"{p}.n") * F.col(f"{p}.m"))}).withColumn("_m", F.col("_s") / F.col("_n"))
+    off = lambda p: F.col(f"{p}.m") - F.col("_m")
+    rows = rows.withColumn("_d", both(lambda p: F.col(f"{p}.d") + F.col(f"{p}.n") * off(p) * off(p)))
+    # The last beat of a window goes on to the window in which the next beat begins, which is that one's.
+    reach = F.least(window(F.col("_high")), F.col("_next") - 1)
+    lasts = rows.filter("_next IS NULL OR _next > _f").select(*by, "t0", "h0", "_rise", "_long", "_high", "_f", F.struct(F.col("_n").alias("n"), F.col("_m").alias("m"), F.col("_d").alias("d")).alias("_own"), reach.alias("_reach"))
     wid = F.col("_w")
-    parts = _stretches(beats, by, ts, ibi, step).withColumn("_w", F.explode(F.sequence(window(F.col("_low")), window(F.col("_high")))))
-    parts = parts.withColumn("_a", F.greatest("_low", first(wid))).withColumn("_z", F.least(F.col("_high"), first(wid + 1) - 1)).filter("_a <= _z")
-    n, middle = (F.col("_z") - F.col("_a") + 1).cast("double"), (F.col("_a") + F.col("_z")) / F.lit(2.0) * F.lit(step)
-    slope = F.col("_rise") * F.lit(step) / F.col("_long")
-    parts = parts.select(*by, "_w", n.alias("_n"), (F.col("h0") + F.col("_rise") * (middle - F.col("t0")) / F.col("_long")).alias("_m"), (slope * slope * n * (n * n - 1) / 12).alias("_d"))
-    agg = parts.groupBy(*by, "_w").agg(
-        F.sum("_n").alias("_n"), (F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("hr_mean"), F.sum("_d").alias("_inner"),
-        F.sum(F.col("_n") * F.col("_m") * F.col("_m")).alias("_squares"), (F.min("_m") == F.max("_m")).alias("_level"),
-    )
-    between = F.when(F.col("_level"), F.lit(0.0)).otherwise(F.greatest(F.col("_squares") - F.col("_n") * F.col("hr_mean") * F.col("hr_mean"), F.lit(0.0)))
-    std = F.when(F.col("_n") == 1, F.lit(0.0)).otherwise(F.sqrt((F.col("_inner") + between) / (F.col("_n") - 1)))
-    return agg.select(*by, window_end(wid, width).alias("seconds"), "hr_mean", std.alias("hr_std"))
+    parts = edges(lasts.withColumn("_w", F.explode(F.sequence("_f", "_reach"))), wid).withColumn("_z", F.least("_high", "_e")).filter("_w = _f OR _a <= _z")
+    found = parts.select(*by, "_w", F.when(wid == F.col("_f"), F.col("_own")).otherwise(points("_a", "_z")).alias("_p"))
+    std = F.when(F.col("_p.n") == 1, F.lit(0.0)).otherwise(F.sqrt(F.col("_p.d") / (F.col("_p.n") - 1)))
+    return found.select(*by, window_end(wid, width).alias("seconds"), F.col("_p.m").alias("hr_mean"), std.alias("hr_std"))
 
 
 def grid_of_beats(beats: DataFrame, ends: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:

@@ -155,6 +155,18 @@ def test_beats_of_a_grid_are_dealt_out_once(spark):
     assert sorted((r.c, r.ts) for r in grid.collect()) == sorted(want) and {(r.c, r.ts): r.hr for r in grid.collect()} == pytest.approx(want)
 
 
+def test_windows_of_beats_far_apart_are_not_aggregated(spark):
+    rows = [("c", 0.5, 1000.0), ("c", 3.2, 400.0), ("c", 3.2, 600.0), ("c", 4.1, 750.0), ("c", 40_000.5, 500.0), ("c", 40_001.0, 600.0), ("c", 40_009.0, 700.0), ("c", None, 800.0), (None, -7.0, 600.0), (None, 35.0, 900.0), ("d", -3.0, 600.0), ("e", 0.2, 600.0), ("e", 0.4, 700.0)]
+    df = spark.createDataFrame(rows, "c string, ts double, ibi double")
+    for width, step in ((10.0, 1.0), (1.0, 3.0), (0.7, 0.1)):
+        found = windows.heart_rate_windows(df, ["c"], width, step=step)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert exchanges(found) == 1 and plan.count("Sort [") == 1 and "Aggregate" not in plan
+        want = {(r.c, r.seconds): (r.hr_mean, r.hr_std) for r in windows.hr_window_features(windows.heart_rate_grid(df, ["c"], step=step), ["c"], width).collect()}
+        got = [(r.c, r.seconds, r.hr_mean, r.hr_std) for r in found.collect()]
+        assert len(got) == len(want) and all(x[2:] == pytest.approx(want[x[:2]], abs=1e-6) for x in got)
+
+
 def test_told_heart_rate_takes_one_exchange_and_no_join(spark):
     rng, rows = random.Random(5), [("i", 3.0, 0.8), ("j", 1.5e6, 5.0), (None, 1.0, 0.9), (None, 2.0, 0.9)]
     for c, origin, rate, unit in (("a", 0.0, 1.0, 1.0), ("b", 0.0, 700.0, 0.001), ("d", 1.5e9, 900.0, 1.0), ("e", 90_000.0, 800.0, 0.001), ("f", 250_000.0, 650.0, 1.0), ("g", 0.0, 90.0, 1.0), ("h", -50.0, 2.0, 0.001)):
