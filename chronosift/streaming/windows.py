@@ -5,16 +5,18 @@ each (client, variable) and emit a run when it closes, with
 ``applyInPandasWithState``; rows of a key must arrive in order of time within
 the watermark's delay, later ones are dropped. ``ordered_runs`` waits for rows
 that come late by up to a delay, and emits those that come later still beside
-the runs.
+the runs; it reads all keys of a batch by windows, and keeps its state in files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronosift.shipping import ship
 
@@ -61,11 +63,22 @@ def state_runs(stream: DataFrame, closing: float = 30.0, timeout_ms: int = 3_600
     return stream.groupBy("client_id", "var").applyInPandasWithState(update, "client_id string, var string, state string, start_time double, end_time double", "level string, start double, last double", "append", "ProcessingTimeTimeout")
 
 
-#: What a row of ordered_runs is.
+#: What a row of ordered_runs is, and what is kept between batches: rows that wait, and each key's open run.
 RUN, LATE = "run", "late"
+HELD, OPEN = "held", "open"
+_KEPT = "kind string, client_id string, var string, seconds double, tie bigint, level string, at double, seen double"
 
 
-def ordered_runs(stream: DataFrame, delay: float, closing: float = 30.0) -> DataFrame:
+@dataclass(frozen=True)
+class OrderedRuns:
+    """Runs of a stream as ``run_to_files`` writes them."""
+
+    stream: DataFrame
+    delay: float
+    closing: float
+
+
+def ordered_runs(stream: DataFrame, delay: float, closing: float = 30.0) -> OrderedRuns:
     """kind, client_id, var, state, start_time, end_time of (client_id, var, seconds, tie, level, last) rows.
 
     Rows of a key are held until its latest time is ``delay`` seconds beyond
@@ -73,46 +86,63 @@ def ordered_runs(stream: DataFrame, delay: float, closing: float = 30.0) -> Data
     the batch operator. A row older than what has been read is late: it comes out
     as it is (kind late, its time as start and end). A row whose ``last`` is true ends its
     key: all held rows are read, and an open run ends closing seconds after
-    the last one. What is held for a key are the rows of the delay.
+    the last one. What is held for a key are the rows of the delay; rows without a time are in no run.
     """
+    return OrderedRuns(stream, delay, closing)
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        client, var = key
-        level, start, at, seen, held = state.get if state.exists else (None, None, None, None, [])
-        out, over, waiting = [], False, [tuple(x) for x in held]
-        # A key has few rows: lists take a fraction of the time of frame operations.
-        for seconds, tie, new, last in (x for b in batches for x in zip(*(b[c].tolist() for c in ("seconds", "tie", "level", "last")), strict=True)):
-            if last:
-                over = True
-                continue
-            new = new if isinstance(new, str) else None
-            if at is not None and seconds < at:
-                out.append((LATE, client, var, new, float(seconds), float(seconds)))
-            else:
-                waiting.append((float(seconds), int(tie), new))
-        seen = max([x[0] for x in waiting] + ([seen] if seen is not None else []), default=None)
-        waiting.sort(key=lambda x: x[:2])
-        ready = waiting if over else [x for x in waiting if x[0] < seen - delay]
-        for seconds, _, new in ready:
-            if new != level:
-                if level is not None and start < seconds:
-                    out.append((RUN, client, var, level, start, seconds))
-                level, start = new, seconds
-            at = seconds
-        if over and level is not None:
-            out.append((RUN, client, var, level, start, at + closing))
-            level, start = None, None
-        state.update((level, start, at, seen, waiting[len(ready) :]))
-        if out:
-            yield pd.DataFrame(out, columns=["kind", "client_id", "var", "state", "start_time", "end_time"])
-
-    ship(stream.sparkSession)
-    kept = "level string, start double, at double, seen double, held array<struct<seconds: double, tie: bigint, level: string>>"
-    return stream.groupBy("client_id", "var").applyInPandasWithState(update, "kind string, client_id string, var string, state string, start_time double, end_time double", kept, "append", "NoTimeout")
 
+def _step(batch: DataFrame, kept: DataFrame, delay: float, closing: float) -> DataFrame:
+    """kind, client_id, var, seconds, tie, level, at, seen, end_time: what a batch and what is kept give, runs and late rows as well as what is kept from then on.
 
-def run_to_files(stream: DataFrame, path: str) -> DataFrame:
+    All keys at once, by windows over one order of each. An open row has the
+    open run's level and start (seconds), the time read last (at) and the latest seen.
+    """
+    new = batch.filter("last OR seconds IS NOT NULL").select("client_id", "var", F.col("seconds").cast("double").alias("seconds"), F.col("tie").cast("long").alias("tie"), "level", F.coalesce("last", F.lit(False)).alias("last"))
+    rows = new.withColumn("kind", F.lit(HELD)).unionByName(kept.withColumn("last", F.lit(False)), allowMissingColumns=True)
+    whole = Window.partitionBy("client_id", "var")
+    rows = rows.withColumns({"_over": F.max("last").over(whole), "_at": F.max("at").over(whole)}).filter("NOT last")
+    late = (F.col("kind") == HELD) & F.coalesce(F.col("seconds") < F.col("_at"), F.lit(False))
+    rows = rows.withColumn("kind", F.when(late, F.lit(LATE)).otherwise(F.col("kind")))
+    rows = rows.withColumn("_seen", F.max(F.greatest(F.when(F.col("kind") == HELD, F.col("seconds")), "seen")).over(whole))
+    read = (F.col("kind") == OPEN) | ((F.col("kind") == HELD) & (F.col("_over") | (F.col("seconds") < F.col("_seen") - F.lit(float(delay)))))
+    # Open rows go first; rows that are not read are a part of their own, so that a run is told from rows that are.
+    part, among = Window.partitionBy("client_id", "var", "_read"), Window.partitionBy("client_id", "var", "_read").orderBy("_no", "seconds", "tie")
+    rows = rows.withColumns({"_read": read, "_no": (F.col("kind") != OPEN).cast("int")}).withColumns({
+        "_first": (F.row_number().over(among) == 1) | ~F.col("level").eqNullSafe(F.lag("level").over(among)),
+        "_to": F.max(F.greatest("at", F.when(F.col("kind") == HELD, F.col("seconds")))).over(part),
+    }).filter("_first OR NOT _read")
+    rows = rows.withColumn("_next", F.lead("seconds").over(among))
+    opened = F.col("_read") & F.col("_next").isNull()
+    closed = F.struct(F.lit(RUN).alias("kind"), "seconds", "level", F.coalesce("_next", F.col("_to") + F.lit(float(closing))).alias("end_time"), F.lit(None).cast("double").alias("at"), F.lit(None).cast("double").alias("seen"))
+    still = F.struct(F.lit(OPEN).alias("kind"), F.when(~F.col("_over"), F.col("seconds")).alias("seconds"), F.when(~F.col("_over"), F.col("level")).alias("level"), F.lit(None).cast("double").alias("end_time"), F.col("_to").alias("at"), F.col("_seen").alias("seen"))
+    asis = F.struct("kind", "seconds", "level", F.col("seconds").alias("end_time"), F.lit(None).cast("double").alias("at"), F.lit(None).cast("double").alias("seen"))
+    out = F.when(~F.col("_read"), F.array(asis)).when(~opened, F.array(closed)).when(F.col("_over"), F.array(closed, still)).otherwise(F.array(still))
+    found = rows.select("client_id", "var", "tie", F.explode(out).alias("_o")).select("client_id", "var", "tie", "_o.*")
+    return found.filter((F.col("kind") != RUN) | (F.col("level").isNotNull() & (F.col("seconds") < F.col("end_time"))))
+
+
+def run_to_files(stream: DataFrame | OrderedRuns, path: str) -> DataFrame:
     """All there is of a stream, written as Parquet below path and read again; the query ends when its source is read."""
+    if isinstance(stream, OrderedRuns):
+        return _ordered_to_files(stream, path)
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out")
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def _ordered_to_files(runs: OrderedRuns, path: str) -> DataFrame:
+    """A batch is one Spark job over its rows and what is kept, whose result takes the place of the last but one; a batch that is run again overwrites what it wrote."""
+    schema = "kind string, client_id string, var string, state string, start_time double, end_time double"
+
+    def step(batch: DataFrame, no: int) -> None:
+        spark = batch.sparkSession
+        kept = spark.read.schema(_KEPT).parquet(f"{path}/step/{(no + 1) % 2}").filter(F.col("kind").isin(HELD, OPEN)) if no else spark.createDataFrame([], _KEPT)
+        _step(batch, kept, runs.delay, runs.closing).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("kind").parquet(f"{path}/step/{no % 2}")
+        done = spark.read.schema(f"{_KEPT}, end_time double").parquet(f"{path}/step/{no % 2}").filter(F.col("kind").isin(RUN, LATE))
+        done.select("kind", "client_id", "var", F.col("level").alias("state"), F.col("seconds").alias("start_time"), "end_time").write.mode("overwrite").parquet(f"{path}/out/batch={no}")
+
+    spark = runs.stream.sparkSession
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/out/batch=-1")  # there is something to read without a batch, too
+    query = runs.stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/out/batch=*")
